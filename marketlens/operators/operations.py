@@ -16,31 +16,44 @@ MIN_REVIEWED_ORDERS = 20
 HIGH_VALUE_RANK = 100
 RISK_SEGMENT_ORDER = ["High-Value At Risk", "High Risk", "Monitor", "Stable"]
 
-VALID = F.col("is_valid_delivery_record")
-LATE = F.col("is_late_delivery")
-REVIEWED = F.col("has_review_record")
-LOW_REVIEW = F.col("average_review_score") <= 2
+
+
+def _valid() -> F.Column:
+    return F.col("is_valid_delivery_record")
+
+
+def _late() -> F.Column:
+    return F.col("is_late_delivery")
+
+
+def _reviewed() -> F.Column:
+    return F.col("has_review_record")
+
+
+def _low_review() -> F.Column:
+    # "Low review" tests the rounded per-order average.
+    return F.col("average_review_score") <= 2
 
 
 def _delivery_aggs(with_estimated: bool = True) -> list:
     """The shared block of delivery and review metrics (valid-delivery denominators)."""
     a = [
-        count_if(VALID).alias("valid_delivery_order_count"),
-        count_if(VALID & LATE).alias("late_delivery_order_count"),
-        pct(count_if(VALID & LATE), count_if(VALID)).alias("late_delivery_rate_pct"),
-        avg_round_if(VALID, "delivery_days").alias("average_delivery_days"),
+        count_if(_valid()).alias("valid_delivery_order_count"),
+        count_if(_valid() & _late()).alias("late_delivery_order_count"),
+        pct(count_if(_valid() & _late()), count_if(_valid())).alias("late_delivery_rate_pct"),
+        avg_round_if(_valid(), "delivery_days").alias("average_delivery_days"),
     ]
     if with_estimated:
-        a.append(avg_round_if(VALID, "estimated_delivery_days").alias("average_estimated_delivery_days"))
+        a.append(avg_round_if(_valid(), "estimated_delivery_days").alias("average_estimated_delivery_days"))
     return a
 
 
 def _review_aggs() -> list:
     return [
-        count_if(REVIEWED).alias("reviewed_order_count"),
-        avg_round_if(REVIEWED, "average_review_score").alias("average_review_score"),
-        count_if(LOW_REVIEW).alias("low_review_order_count"),
-        pct(count_if(LOW_REVIEW), count_if(REVIEWED)).alias("low_review_rate_pct"),
+        count_if(_reviewed()).alias("reviewed_order_count"),
+        avg_round_if(_reviewed(), "average_review_score").alias("average_review_score"),
+        count_if(_low_review()).alias("low_review_order_count"),
+        pct(count_if(_low_review()), count_if(_reviewed())).alias("low_review_rate_pct"),
     ]
 
 
@@ -127,8 +140,8 @@ def seller_performance(seller_orders: DataFrame, order_item_detail: DataFrame, o
         ratio(F.sum("item_price_total"), n).alias("average_item_value_per_order"),
         ratio(F.sum("item_count"), n).alias("average_items_per_order"),
         *_delivery_aggs(with_estimated=False),
-        avg_round_if(VALID, "carrier_handling_days").alias("average_carrier_handling_days"),
-        avg_round_if(VALID & LATE, "delivery_delay_days").alias("average_delay_days_when_late"),
+        avg_round_if(_valid(), "carrier_handling_days").alias("average_carrier_handling_days"),
+        avg_round_if(_valid() & _late(), "delivery_delay_days").alias("average_delay_days_when_late"),
         count_if(breach).alias("shipping_limit_breach_count"),
         pct(count_if(breach), n).alias("shipping_limit_breach_rate_pct"),
         *_review_aggs(),
@@ -158,9 +171,9 @@ def monthly_delivery(monthly_sales_df: DataFrame, order_summary: DataFrame) -> D
     d = completed_orders(order_summary).where(F.col("purchase_month").isNotNull())
     mo = d.groupBy("purchase_month").agg(
         *_delivery_aggs(),
-        avg_round_if(VALID, "carrier_handling_days").alias("average_carrier_handling_days"),
-        avg_round_if(VALID, "delivery_delay_days").alias("average_delivery_delay_days"),
-        avg_round_if(VALID & LATE, "delivery_delay_days").alias("average_delay_days_when_late"),
+        avg_round_if(_valid(), "carrier_handling_days").alias("average_carrier_handling_days"),
+        avg_round_if(_valid(), "delivery_delay_days").alias("average_delivery_delay_days"),
+        avg_round_if(_valid() & _late(), "delivery_delay_days").alias("average_delay_days_when_late"),
         *_review_aggs(),
     )
     ms = monthly_sales_df.select(
@@ -203,8 +216,8 @@ def state_delivery(order_summary: DataFrame) -> DataFrame:
         round_money(F.sum(fr)).alias("freight_total"),
         pct(F.sum(fr), F.sum(ip + fr)).alias("freight_share_pct"),
         *_delivery_aggs(),
-        avg_round_if(VALID, "delivery_delay_days").alias("average_delivery_delay_days"),
-        avg_round_if(VALID & LATE, "delivery_delay_days").alias("average_delay_days_when_late"),
+        avg_round_if(_valid(), "delivery_delay_days").alias("average_delivery_delay_days"),
+        avg_round_if(_valid() & _late(), "delivery_delay_days").alias("average_delay_days_when_late"),
         *_review_aggs(),
     )
 
@@ -215,9 +228,9 @@ def operations_kpis(order_summary: DataFrame, seller_orders: DataFrame) -> DataF
     om = d.agg(
         F.count(F.lit(1)).alias("completed_order_count"),
         *_delivery_aggs(),
-        avg_round_if(VALID, "carrier_handling_days").alias("average_carrier_handling_days"),
-        avg_round_if(VALID, "delivery_delay_days").alias("average_delivery_delay_days"),
-        avg_round_if(VALID & LATE, "delivery_delay_days").alias("average_delay_days_when_late"),
+        avg_round_if(_valid(), "carrier_handling_days").alias("average_carrier_handling_days"),
+        avg_round_if(_valid(), "delivery_delay_days").alias("average_delivery_delay_days"),
+        avg_round_if(_valid() & _late(), "delivery_delay_days").alias("average_delay_days_when_late"),
         *_review_aggs(),
     )
     breach = F.col("shipped_after_shipping_limit")
@@ -235,23 +248,23 @@ def operations_kpis(order_summary: DataFrame, seller_orders: DataFrame) -> DataF
 
 def delivery_status_expr() -> F.Column:
     # CASE WHEN is_late THEN 'Late' ELSE ...: NULL goes to the ELSE branch (trap T14).
-    return F.when(F.coalesce(LATE, F.lit(False)), "Late").otherwise("On Time or Early")
+    return F.when(F.coalesce(_late(), F.lit(False)), "Late").otherwise("On Time or Early")
 
 
 def delivery_review_impact(order_summary: DataFrame) -> DataFrame:
     """Valid completed deliveries, Late vs On Time or Early."""
-    d = completed_orders(order_summary).where(VALID)
+    d = completed_orders(order_summary).where(_valid())
     wc = F.col("has_written_comment")
     return d.groupBy(delivery_status_expr().alias("delivery_status")).agg(
         F.count(F.lit(1)).alias("order_count"),
-        count_if(REVIEWED).alias("reviewed_order_count"),
+        count_if(_reviewed()).alias("reviewed_order_count"),
         avg_round("delivery_days").alias("average_delivery_days"),
         avg_round("delivery_delay_days").alias("average_delivery_delay_days"),
-        avg_round_if(REVIEWED, "average_review_score").alias("average_review_score"),
-        count_if(LOW_REVIEW).alias("low_review_order_count"),
-        pct(count_if(LOW_REVIEW), count_if(REVIEWED)).alias("low_review_rate_pct"),
+        avg_round_if(_reviewed(), "average_review_score").alias("average_review_score"),
+        count_if(_low_review()).alias("low_review_order_count"),
+        pct(count_if(_low_review()), count_if(_reviewed())).alias("low_review_rate_pct"),
         count_if(wc).alias("written_comment_order_count"),
-        pct(count_if(wc), count_if(REVIEWED)).alias("written_comment_rate_pct"),
+        pct(count_if(wc), count_if(_reviewed())).alias("written_comment_rate_pct"),
     )
 
 
@@ -318,8 +331,8 @@ def risk_segment_summary(risk: DataFrame) -> DataFrame:
 
 def late_rate(order_summary: DataFrame) -> DataFrame:
     """D3: late-delivery rate over valid delivery records."""
-    d = order_summary.where(VALID)
-    return d.agg(pct(count_if(LATE), F.count(F.lit(1))).alias("late_delivery_rate_pct"))
+    d = order_summary.where(_valid())
+    return d.agg(pct(count_if(_late()), F.count(F.lit(1))).alias("late_delivery_rate_pct"))
 
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("DataFrame", "F", "is_completed")]

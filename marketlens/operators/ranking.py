@@ -13,7 +13,7 @@ and pulls the whole relation into one task. Instead:
 3. ``repartitionByRange(n, _b)``: one shuffle. Range partitioning on ``_b``
    satisfies the clustering a ``Window.partitionBy('_b')`` needs, so the local
    row_number / dense_rank / running sum add only a local sort.
-4. A per-bucket stats frame (at most ``n`` rows) gives prefix offsets; it is
+4. Per-bucket stats (at most ``n`` rows) give prefix offsets; they are
    broadcast back (size bounded by the bucket count, not by the data).
 
 Dense ranks are corrected for values that straddle a bucket boundary.
@@ -23,12 +23,15 @@ Sort keys must be non-NULL (all uses rank totals or rates over filtered rows).
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegerType, LongType, StructField, StructType
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
+DEFAULT_BYTES_PER_BUCKET = 256 * 1024 * 1024
+MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 40
 
 
@@ -68,6 +71,13 @@ def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n: int, total: int,
     return bounds
 
 
+def _estimated_rows(df: DataFrame) -> tuple[int, int]:
+    """(bytes, rows) estimates from the optimizer's statistics; no job runs."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    width = sum(8 if f.dataType.typeName() not in ("string", "binary") else 24 for f in df.schema.fields) or 8
+    return size, max(1, size // width)
+
+
 def rank_globally(
     df: DataFrame,
     order: list[tuple[str, bool]],
@@ -76,7 +86,8 @@ def rank_globally(
     ntiles: dict[str, int] | None = None,
     running_sum: tuple[str, str] | None = None,
     total_count: str | None = None,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    buckets: int | None = None,
+    bytes_per_bucket: int = DEFAULT_BYTES_PER_BUCKET,
     persist: bool = True,
 ) -> DataFrame:
     """Add global ranking columns ordered by ``order`` [(column, descending)].
@@ -85,11 +96,16 @@ def rank_globally(
     ``order``). ``ntiles={out: k}`` follows PostgreSQL NTILE on the full order.
     ``running_sum=(src, out)`` is ``SUM(src) OVER (ORDER BY ... ROWS UNBOUNDED
     PRECEDING)``. ``total_count`` is ``COUNT(*) OVER ()``.
+
+    ``buckets`` defaults to the optimizer's size estimate / ``bytes_per_bucket``
+    (capped at MAX_BUCKETS); the bucket count only affects parallelism, never
+    the result.
     """
+    spark = df.sparkSession
     ntiles = ntiles or {}
-    total = df.count()  # one cheap pass over the pruned input; sizes the buckets
-    n = max(1, math.ceil(total / rows_per_bucket))
-    bounds = _boundaries(df, order, n, total) if n > 1 else []
+    size, rows = _estimated_rows(df)
+    n = buckets if buckets is not None else min(MAX_BUCKETS, max(1, math.ceil(size / bytes_per_bucket)))
+    bounds = _boundaries(df, order, n, rows) if n > 1 else []
     b = _bucket_expr(order, bounds) if bounds else F.lit(0)
     nb = len(bounds) + 1
 
@@ -108,33 +124,43 @@ def rank_globally(
     if persist:
         t = t.persist(StorageLevel.MEMORY_AND_DISK)
 
-    # Per-bucket stats: at most nb rows.
+    # Per-bucket stats: at most nb rows (bounded by the bucket count, not the
+    # data). They are brought to the driver so the offsets frame carries no
+    # lineage of ``t``; referencing ``t`` twice would double the plan at every
+    # chained ranking.
     aggs = [F.count(F.lit(1)).alias("_n")]
     if dense_rank:
-        _, vcols = dense_rank
-        vstruct = F.struct(*[F.col(c) for c in vcols])
-        aggs += [
-            F.max("_ldr").alias("_d"),
-            F.min_by(vstruct, F.col("_lrn")).alias("_first"),
-            F.max_by(vstruct, F.col("_lrn")).alias("_last"),
-        ]
+        vstruct = F.struct(*[F.col(c) for c in dense_rank[1]])
+        aggs += [F.max("_ldr").alias("_d"), F.min_by(vstruct, F.col("_lrn")).alias("_first"), F.max_by(vstruct, F.col("_lrn")).alias("_last")]
     if running_sum:
         aggs.append(F.sum(running_sum[0]).alias("_s"))
-    stats = t.groupBy("_b").agg(*aggs)
-    sw = Window.orderBy("_b")  # over <= nb rows
-    before = sw.rowsBetween(Window.unboundedPreceding, -1)
-    offs = {"_on": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_N": F.sum("_n").over(Window.partitionBy())}
-    if dense_rank:
-        straddle = F.coalesce((F.col("_first") == F.lag("_last").over(sw)).cast("int"), F.lit(0))
-        stats = stats.withColumn("_straddle", straddle)
-        offs["_od"] = F.coalesce(F.sum("_d").over(before), F.lit(0)) - F.sum("_straddle").over(
-            sw.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-    if running_sum:
-        offs["_os"] = F.coalesce(F.sum("_s").over(before), F.lit(0))
-    stats = stats.withColumns(offs).select("_b", *offs.keys())
+    stats = sorted(t.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
+    total = sum(r["_n"] for r in stats)
+    sum_type = t.schema["_lrs"].dataType if running_sum else None
+    zero = Decimal(0) if isinstance(sum_type, DecimalType) else 0
+    rows_out, on, od, os_, prev_last = [], 0, 0, None, None
+    for r in stats:
+        if dense_rank and prev_last is not None and r["_first"] == prev_last:
+            od -= 1  # the first value of this bucket continues the previous bucket's last value
+        rows_out.append((r["_b"], on, total, od, os_ if os_ is not None else zero))
+        on += r["_n"]
+        if dense_rank:
+            od += r["_d"]
+            prev_last = r["_last"]
+        if running_sum and r["_s"] is not None:
+            os_ = r["_s"] if os_ is None else os_ + r["_s"]
+    schema = StructType(
+        [
+            StructField("_b", IntegerType()),
+            StructField("_on", LongType()),
+            StructField("_N", LongType()),
+            StructField("_od", LongType()),
+            StructField("_os", sum_type or LongType()),
+        ]
+    )
+    offsets = spark.createDataFrame(rows_out, schema)
 
-    out = t.join(F.broadcast(stats), "_b")
+    out = t.join(F.broadcast(offsets), "_b")
     rn = F.col("_on") + F.col("_lrn")
     cols = {}
     if row_number:

@@ -34,7 +34,7 @@ def segment_expr(r: F.Column, f: F.Column, m: F.Column, completed: F.Column) ->
     )
 
 
-def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, rows_per_bucket: int | None = None) -> DataFrame:
+def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, buckets: int | None = None) -> DataFrame:
     """Recency / frequency / monetary scores and segment for every customer."""
     done = _completed(order_summary)
     ref = done.agg(F.date_add(F.max("purchase_date"), 1).alias("analysis_reference_date"))
@@ -55,7 +55,7 @@ def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, rows_
     vals = vals.withColumns(
         {"recency_score": rec, "frequency_score": F.least(F.col("completed_order_count"), F.lit(5)).cast("int")}
     )
-    kw = {} if rows_per_bucket is None else {"rows_per_bucket": rows_per_bucket}
+    kw = {} if buckets is None else {"buckets": buckets}
     # NTILE(5) OVER (ORDER BY value, customer): distributed, no single-partition window.
     scored = rank_globally(vals, [("completed_payment_value", False), (CUSTOMER, False)], ntiles={"monetary_score": 5}, **kw)
 

@@ -1,0 +1,176 @@
+"""Generated by tools/gen_decimal_columns.py: exact DECIMAL outputs per query."""
+
+DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue', 'freight_value'],
+ 'category_performance': ['item_price_total',
+                          'freight_total',
+                          'item_and_freight_total',
+                          'average_item_price',
+                          'average_items_per_order',
+                          'freight_share_pct',
+                          'item_revenue_share_pct'],
+ 'cohort_benchmark': ['weighted_retention_rate_pct',
+                      'average_cohort_retention_pct',
+                      'minimum_cohort_retention_pct',
+                      'maximum_cohort_retention_pct'],
+ 'cohort_matrix_12m': ['month_0',
+                       'month_1',
+                       'month_2',
+                       'month_3',
+                       'month_4',
+                       'month_5',
+                       'month_6',
+                       'month_7',
+                       'month_8',
+                       'month_9',
+                       'month_10',
+                       'month_11',
+                       'month_12'],
+ 'cohort_retention': ['payment_value',
+                      'retention_rate_pct',
+                      'orders_per_active_customer',
+                      'payment_per_active_customer'],
+ 'customer_kpis': ['all_order_repeat_customer_rate_pct',
+                   'completed_repeat_customer_rate_pct',
+                   'completed_payment_value',
+                   'average_completed_order_value',
+                   'average_completed_customer_value',
+                   'average_completed_orders_per_customer'],
+ 'customer_monthly_activity': ['monthly_payment_value', 'monthly_average_order_payment'],
+ 'customer_rfm': ['all_order_payment_value', 'monetary_value', 'average_completed_order_payment'],
+ 'customer_summary': ['total_product_value',
+                      'total_freight_value',
+                      'total_gross_item_value',
+                      'total_payment_value',
+                      'average_order_payment',
+                      'average_items_per_order',
+                      'average_review_score',
+                      'average_delivery_days',
+                      'late_delivery_rate_pct'],
+ 'customer_validation': ['actual_value', 'expected_value'],
+ 'database_validation': ['actual_value', 'expected_value'],
+ 'delivery_review_impact': ['average_delivery_days',
+                            'average_delivery_delay_days',
+                            'average_review_score',
+                            'low_review_rate_pct',
+                            'written_comment_rate_pct'],
+ 'late_rate': ['late_delivery_rate_pct'],
+ 'model_validation': ['actual_value', 'expected_value'],
+ 'monthly_customer_growth': ['payment_value',
+                             'previous_payment_value',
+                             'active_customer_growth_pct',
+                             'new_customer_growth_pct',
+                             'payment_growth_pct'],
+ 'monthly_customer_metrics': ['payment_value',
+                              'average_payment_per_order',
+                              'orders_per_active_customer',
+                              'new_customer_rate_pct',
+                              'returning_customer_rate_pct'],
+ 'monthly_delivery': ['payment_value_total',
+                      'late_delivery_rate_pct',
+                      'average_delivery_days',
+                      'average_estimated_delivery_days',
+                      'average_carrier_handling_days',
+                      'average_delivery_delay_days',
+                      'average_delay_days_when_late',
+                      'average_review_score',
+                      'low_review_rate_pct'],
+ 'monthly_order_performance': ['total_payment_value'],
+ 'monthly_sales': ['item_price_total',
+                   'freight_total',
+                   'item_and_freight_total',
+                   'payment_value_total',
+                   'average_order_value',
+                   'freight_share_pct',
+                   'payment_difference',
+                   'payment_growth_pct'],
+ 'operations_kpis': ['late_delivery_rate_pct',
+                     'average_delivery_days',
+                     'average_estimated_delivery_days',
+                     'average_carrier_handling_days',
+                     'average_delivery_delay_days',
+                     'average_delay_days_when_late',
+                     'average_review_score',
+                     'low_review_rate_pct',
+                     'shipping_limit_breach_rate_pct',
+                     'same_state_delivery_rate_pct'],
+ 'operations_validation': ['expected_value', 'actual_value', 'difference'],
+ 'order_item_detail': ['price', 'freight_value', 'gross_item_value'],
+ 'order_items_agg': ['item_price_total', 'freight_total', 'gross_item_value'],
+ 'order_summary': ['approval_hours',
+                   'item_price_total',
+                   'freight_total',
+                   'gross_item_value',
+                   'payment_value_total',
+                   'average_review_score',
+                   'payment_difference'],
+ 'payments_agg': ['payment_value_total'],
+ 'priority_sellers': ['item_price_total',
+                      'late_delivery_rate_pct',
+                      'average_delivery_days',
+                      'shipping_limit_breach_rate_pct',
+                      'average_review_score',
+                      'low_review_rate_pct',
+                      'seller_revenue_share_pct'],
+ 'product_performance': ['item_price_total',
+                         'freight_total',
+                         'average_item_price',
+                         'minimum_item_price',
+                         'maximum_item_price',
+                         'item_revenue_share_pct',
+                         'cumulative_item_revenue_pct'],
+ 'revenue_concentration': ['threshold_pct', 'product_share_required_pct'],
+ 'reviews_agg': ['average_review_score'],
+ 'risk_segment_summary': ['average_late_delivery_rate_pct', 'average_low_review_rate_pct', 'item_price_total'],
+ 'sales_kpis': ['item_price_total',
+                'freight_total',
+                'item_and_freight_total',
+                'payment_value_total',
+                'average_order_value',
+                'average_items_per_order',
+                'freight_share_pct',
+                'payment_difference'],
+ 'sales_validation': ['expected_value', 'actual_value', 'difference'],
+ 'segment_summary': ['customer_share_pct',
+                     'monetary_value',
+                     'average_recency_days',
+                     'average_completed_orders',
+                     'average_customer_value'],
+ 'seller_order_performance': ['item_price_total', 'freight_total', 'gross_item_value', 'average_review_score'],
+ 'seller_performance': ['item_price_total',
+                        'freight_total',
+                        'gross_item_value',
+                        'average_item_value_per_order',
+                        'average_items_per_order',
+                        'late_delivery_rate_pct',
+                        'average_delivery_days',
+                        'average_carrier_handling_days',
+                        'average_delay_days_when_late',
+                        'shipping_limit_breach_rate_pct',
+                        'average_review_score',
+                        'low_review_rate_pct',
+                        'same_state_delivery_rate_pct',
+                        'seller_revenue_share_pct'],
+ 'seller_risk': ['item_price_total',
+                 'late_delivery_rate_pct',
+                 'average_delivery_days',
+                 'shipping_limit_breach_rate_pct',
+                 'average_review_score',
+                 'low_review_rate_pct',
+                 'seller_revenue_share_pct'],
+ 'state_delivery': ['payment_value_total',
+                    'freight_total',
+                    'freight_share_pct',
+                    'late_delivery_rate_pct',
+                    'average_delivery_days',
+                    'average_estimated_delivery_days',
+                    'average_delivery_delay_days',
+                    'average_delay_days_when_late',
+                    'average_review_score',
+                    'low_review_rate_pct'],
+ 'top_products': ['item_price_total',
+                  'freight_total',
+                  'average_item_price',
+                  'minimum_item_price',
+                  'maximum_item_price',
+                  'item_revenue_share_pct',
+                  'cumulative_item_revenue_pct']}

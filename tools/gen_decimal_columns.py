@@ -1,0 +1,24 @@
+"""Regenerate marketlens/plans/decimal_columns.py from the Spark builders' schemas."""
+
+import pprint
+import sys
+
+sys.path.insert(0, ".")
+from pyspark.sql.types import DecimalType  # noqa: E402
+
+from marketlens.plans.registry import ALL_QUERIES, views  # noqa: E402
+from marketlens.session import local_session  # noqa: E402
+
+spark = local_session()
+sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
+v = views(spark, sf)
+out = {}
+for name, q in ALL_QUERIES.items():
+    df = q.build(v)
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)]
+    if cols:
+        out[name] = cols
+with open("marketlens/plans/decimal_columns.py", "w") as fh:
+    fh.write('"""Generated by tools/gen_decimal_columns.py: exact DECIMAL outputs per query."""\n\n')
+    fh.write("DECIMAL_COLUMNS: dict[str, list[str]] = " + pprint.pformat(out, width=120, sort_dicts=True) + "\n")
+print(len(out), "queries with decimal outputs")
