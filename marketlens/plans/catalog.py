@@ -9,12 +9,15 @@ executor only recomputes its partitions from lineage.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.operators import cleaning, model
+from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources import testdata
 
 # The adapter's extra translation (its untranslated category) on top of the
@@ -27,21 +30,45 @@ TEST_MANUAL_TRANSLATIONS = cleaning.MANUAL_TRANSLATIONS + [
 class Marketplace:
     """Raw, clean and model frames for one data root."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True):
+    def __init__(self, spark: SparkSession, sf_dir: str, persist: bool = True, land: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
         self._persist = persist
+        self._land_layers = land
+        self._run = uuid.uuid4().hex[:12]
 
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
 
+    def _land(self, layer: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Write a layer as parquet in the shared checkpoint folder and read it back.
+
+        This is the reference's "clean CSV -> load" boundary: downstream jobs
+        read a materialized table (lineage cut, survives executor loss) instead
+        of re-running the adapter and cleaning plans for every report.
+        """
+        if not self._land_layers:
+            return frames
+        base = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/marketlens-{self._run}/{layer}"
+
+        def write(item: tuple[str, DataFrame]) -> str:
+            name, df = item
+            df.write.mode("overwrite").parquet(f"{base}/{name}")
+            return name
+
+        # The nine writes are independent jobs; submitting them together lets
+        # the scheduler overlap them instead of running nine small jobs in turn.
+        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+            done = list(pool.map(write, frames.items()))
+        return {name: self.spark.read.parquet(f"{base}/{name}") for name in done}
+
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
-        return testdata.raw_tables(self.spark, self.sf_dir)
+        return self._land("raw", testdata.raw_tables(self.spark, self.sf_dir))
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
-        return cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS)
+        return self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS))
 
     def table(self, name: str) -> DataFrame:
         return self.clean[name]

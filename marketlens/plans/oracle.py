@@ -64,12 +64,22 @@ BODIES: dict[str, str] = {
         + " AS late_delivery_rate_pct FROM v_order_summary WHERE is_valid_delivery_record"
     ),
 }
+BODIES.update(
+    {
+        "database_validation": "SELECT * FROM v_database_validation",
+        "model_validation": "SELECT * FROM v_analytics_model_validation",
+        "customer_validation": "SELECT * FROM v_customer_analytics_validation",
+    }
+)
 BODIES.update(getattr(sqlviews, "EXTRA_BODIES", {}))
 
 
 def _with_clause() -> str:
     return sqlbase.prefix(
-        TEST_MANUAL_TRANSLATIONS, *sqlviews.VIEWS.values(), sqlviews.seller_risk_sql(HIGH_VALUE_RANK)
+        TEST_MANUAL_TRANSLATIONS,
+        *sqlviews.VIEWS.values(),
+        sqlviews.seller_risk_sql(HIGH_VALUE_RANK),
+        sqlviews.database_validation_sql(len(TEST_MANUAL_TRANSLATIONS)),
     )
 
 

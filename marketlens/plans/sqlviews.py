@@ -595,3 +595,142 @@ v_operations_validation AS (
   {_ocheck('seller_duplicate_grains', '0', 'v.sdup', 'v.sdup = 0')} FROM v_ov_v v UNION ALL
   {_ocheck('seller_order_duplicate_grains', '0', 'v.sodup', 'v.sodup = 0')} FROM v_ov_v v
 )"""
+
+
+# ---------------------------------------------------------------- PASS/FAIL check views
+def _status_rows(one: str, checks: list[tuple[str, str, str]]) -> str:
+    return "\n  UNION ALL ".join(
+        f"SELECT '{n}' AS check_name, CAST({a} AS DECIMAL(38,2)) AS actual_value, CAST({e} AS DECIMAL(38,2)) AS expected_value, "
+        f"CASE WHEN CAST({a} AS DECIMAL(38,2)) = CAST({e} AS DECIMAL(38,2)) THEN 'PASS' ELSE 'FAIL' END AS status FROM {one}"
+        for n, a, e in checks
+    )
+
+
+_TABLES9 = ["category_translation", "customers", "geolocation", "order_items", "orders", "payments", "products", "reviews", "sellers"]
+_ORPHANS = [
+    ("orphan_orders_customers", "cl_orders", "cl_customers", "customer_id", "customer_id"),
+    ("orphan_items_orders", "cl_order_items", "cl_orders", "order_id", "order_id"),
+    ("orphan_items_products", "cl_order_items", "cl_products", "product_id", "product_id"),
+    ("orphan_items_sellers", "cl_order_items", "cl_sellers", "seller_id", "seller_id"),
+    ("orphan_payments_orders", "cl_payments", "cl_orders", "order_id", "order_id"),
+    ("orphan_reviews_orders", "cl_reviews", "cl_orders", "order_id", "order_id"),
+    ("orphan_products_categories", "cl_products", "cl_category_translation", "product_category_name", "product_category_name"),
+]
+
+
+def database_validation_sql(manual_rows: int) -> str:
+    sel = [f"(SELECT COUNT(*) FROM cl_{t}) AS a_{t}" for t in _TABLES9]
+    sel += [f"(SELECT COUNT(*) FROM raw_{t}) AS e_{t}" for t in ["customers", "order_items", "orders", "payments", "products", "reviews", "sellers"]]
+    sel.append(f"(SELECT COUNT(*) FROM raw_category_translation) + {manual_rows} AS e_category_translation")
+    sel.append(
+        "(SELECT COUNT(DISTINCT geolocation_zip_code_prefix) FROM raw_geolocation "
+        "WHERE geolocation_lat BETWEEN -90 AND 90 AND geolocation_lng BETWEEN -180 AND 180) AS e_geolocation"
+    )
+    for name, child, parent, ck, pk in _ORPHANS:
+        sel.append(f"(SELECT COUNT(*) FROM {child} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{ck})) AS a_{name}")
+    sel += [
+        "(SELECT COUNT(*) FROM cl_payments WHERE payment_installments < 1) AS a_invalid_payment_installments",
+        "(SELECT COUNT(*) FROM cl_products WHERE product_weight_g <= 0) AS a_non_positive_product_weights",
+        "(SELECT COUNT(*) FROM cl_products WHERE product_category_name_english IS NULL) AS a_missing_english_categories",
+        "(SELECT COUNT(*) FROM cl_geolocation WHERE geolocation_lat NOT BETWEEN -90 AND 90 OR geolocation_lng NOT BETWEEN -180 AND 180)"
+        " AS a_invalid_geolocation_coordinates",
+        "0 AS zero",
+    ]
+    checks = [(f"row_count_{t}", f"a_{t}", f"e_{t}") for t in _TABLES9]
+    checks += [(n, f"a_{n}", "zero") for n, *_ in _ORPHANS]
+    checks += [
+        (n, f"a_{n}", "zero")
+        for n in ["invalid_payment_installments", "non_positive_product_weights", "missing_english_categories", "invalid_geolocation_coordinates"]
+    ]
+    return f"""
+v_dbv_one AS (SELECT {", ".join(sel)}),
+v_database_validation AS (
+  {_status_rows("v_dbv_one", checks)}
+)"""
+
+
+VIEWS["v_analytics_model_validation"] = f"""
+v_amv_one AS (
+  SELECT * FROM (
+    SELECT COUNT(*) AS os_n, COUNT(DISTINCT order_id) AS os_u, SUM(item_count) AS os_items,
+      SUM(review_record_count) AS os_reviews, {cnt('customer_unique_id IS NULL')} AS os_missing_cust,
+      {cnt('is_valid_delivery_record AND delivery_days < 0')} AS os_bad_days,
+      {cnt('delivery_delay_days IS NOT NULL AND is_late_delivery IS DISTINCT FROM (delivery_delay_days > 0)')} AS os_flag_mismatch,
+      {cnt('NOT has_item_record')} AS os_no_items, {cnt('NOT has_payment_record')} AS os_no_pay,
+      {cnt('NOT has_review_record')} AS os_no_rev
+    FROM v_order_summary),
+  (SELECT COUNT(*) AS d_n, COUNT(DISTINCT (order_id, order_item_id)) AS d_u, SUM(gross_item_value) AS d_gross,
+      {cnt('product_category_name_english IS NULL')} AS d_missing_cat, {cnt('seller_state IS NULL')} AS d_missing_seller
+    FROM v_order_item_detail),
+  (SELECT COUNT(*) AS ia_n, SUM(item_price_total) AS ia_price, SUM(freight_total) AS ia_freight,
+      SUM(gross_item_value) AS ia_gross FROM v_order_items_agg),
+  (SELECT COUNT(*) AS pa_n, SUM(payment_value_total) AS pa_value FROM v_payments_agg),
+  (SELECT COUNT(*) AS ra_n FROM v_reviews_agg),
+  (SELECT COUNT(*) AS e_orders FROM cl_orders),
+  (SELECT COUNT(*) AS e_items, COUNT(DISTINCT order_id) AS e_item_orders, SUM(price) AS e_price,
+      SUM(freight_value) AS e_freight, SUM(price + freight_value) AS e_gross FROM cl_order_items),
+  (SELECT COUNT(DISTINCT order_id) AS e_pay_orders, SUM(payment_value) AS e_pay FROM cl_payments),
+  (SELECT COUNT(*) AS e_reviews, COUNT(DISTINCT order_id) AS e_rev_orders FROM cl_reviews),
+  (SELECT COUNT(*) AS e_no_items FROM cl_orders o WHERE NOT EXISTS (SELECT 1 FROM cl_order_items i WHERE i.order_id = o.order_id)),
+  (SELECT COUNT(*) AS e_no_pay FROM cl_orders o WHERE NOT EXISTS (SELECT 1 FROM cl_payments i WHERE i.order_id = o.order_id)),
+  (SELECT COUNT(*) AS e_no_rev FROM cl_orders o WHERE NOT EXISTS (SELECT 1 FROM cl_reviews i WHERE i.order_id = o.order_id)),
+  (SELECT 0 AS zero)
+),
+v_analytics_model_validation AS (
+  {_status_rows("v_amv_one", [
+      ("order_summary_row_count", "os_n", "e_orders"), ("order_summary_unique_orders", "os_u", "e_orders"),
+      ("item_detail_row_count", "d_n", "e_items"), ("item_detail_unique_items", "d_u", "e_items"),
+      ("items_aggregation_row_count", "ia_n", "e_item_orders"), ("payments_aggregation_row_count", "pa_n", "e_pay_orders"),
+      ("reviews_aggregation_row_count", "ra_n", "e_rev_orders"), ("order_summary_item_count_total", "os_items", "e_items"),
+      ("order_summary_review_count_total", "os_reviews", "e_reviews"), ("item_price_total_reconciliation", "ia_price", "e_price"),
+      ("freight_total_reconciliation", "ia_freight", "e_freight"), ("gross_item_total_reconciliation", "ia_gross", "e_gross"),
+      ("payment_total_reconciliation", "pa_value", "e_pay"), ("item_detail_gross_reconciliation", "d_gross", "e_gross"),
+      ("missing_customer_unique_id", "os_missing_cust", "zero"), ("missing_item_product_category", "d_missing_cat", "zero"),
+      ("missing_item_seller", "d_missing_seller", "zero"), ("invalid_valid_delivery_days", "os_bad_days", "zero"),
+      ("late_delivery_flag_mismatch", "os_flag_mismatch", "zero"), ("orders_without_items", "os_no_items", "e_no_items"),
+      ("orders_without_payments", "os_no_pay", "e_no_pay"), ("orders_without_reviews", "os_no_rev", "e_no_rev"),
+  ])}
+)"""
+
+_BAD_SCORES = (
+    "(completed_order_count > 0 AND (recency_score NOT BETWEEN 1 AND 5 OR frequency_score NOT BETWEEN 1 AND 5 "
+    "OR monetary_score NOT BETWEEN 1 AND 5)) OR (completed_order_count = 0 AND (recency_score <> 0 OR frequency_score <> 0 "
+    "OR monetary_score <> 0))"
+)
+VIEWS["v_customer_analytics_validation"] = f"""
+v_cav_one AS (
+  SELECT *, e_customers - e_buyers AS e_no_buyers FROM (
+    SELECT COUNT(*) AS cs_n, COUNT(DISTINCT customer_unique_id) AS cs_u, SUM(order_count) AS cs_orders,
+      {cnt('is_repeat_customer')} AS cs_repeat, {cnt('NOT is_repeat_customer')} AS cs_once FROM v_customer_summary),
+  (SELECT SUM(new_customer_count) AS m_new, SUM(order_count) AS m_orders,
+      {cnt('active_customer_count <> new_customer_count + returning_customer_count')} AS m_bal FROM v_monthly_customer_metrics),
+  (SELECT {cnt('months_since_first_order < 0')} AS a_neg FROM v_customer_monthly_activity),
+  (SELECT SUM(active_customer_count) FILTER (WHERE months_since_first_order = 0) AS r_m0,
+      {cnt('months_since_first_order = 0 AND retention_rate_pct <> 100')} AS r_bad0,
+      {cnt('retention_rate_pct < 0 OR retention_rate_pct > 100')} AS r_bad FROM v_customer_cohort_retention),
+  (SELECT COUNT(*) AS rfm_n, COUNT(DISTINCT customer_unique_id) AS rfm_u, {cnt('customer_segment IS NULL')} AS rfm_unseg,
+      {cnt(_BAD_SCORES)} AS rfm_bad, SUM(completed_order_count) AS rfm_orders, SUM(monetary_value) AS rfm_value,
+      {cnt('completed_order_count = 0')} AS rfm_none FROM v_customer_rfm),
+  (SELECT SUM(customer_count) AS seg_n FROM v_customer_segment_summary),
+  (SELECT COUNT(*) AS e_customers, SUM(n) AS e_orders, {cnt('n > 1')} AS e_repeat, {cnt('n = 1')} AS e_once
+    FROM (SELECT c.customer_unique_id, COUNT(*) AS n FROM cl_customers c JOIN cl_orders o ON c.customer_id = o.customer_id
+          GROUP BY c.customer_unique_id)),
+  (SELECT COUNT(*) AS e_done_orders, SUM(payment_value_total) AS e_done_value, COUNT(DISTINCT customer_unique_id) AS e_buyers
+    FROM v_order_summary WHERE order_status = 'delivered' AND has_payment_record),
+  (SELECT 0 AS zero)
+),
+v_customer_analytics_validation AS (
+  {_status_rows("v_cav_one", [
+      ("customer_summary_row_count", "cs_n", "e_customers"), ("customer_summary_unique_customers", "cs_u", "e_customers"),
+      ("customer_summary_order_reconciliation", "cs_orders", "e_orders"), ("repeat_customer_count", "cs_repeat", "e_repeat"),
+      ("one_time_customer_count", "cs_once", "e_once"), ("monthly_new_customer_reconciliation", "m_new", "e_customers"),
+      ("monthly_order_reconciliation", "m_orders", "e_orders"), ("monthly_customer_balance_mismatch", "m_bal", "zero"),
+      ("negative_months_since_first_order", "a_neg", "zero"), ("cohort_month_0_customer_reconciliation", "r_m0", "e_customers"),
+      ("invalid_month_0_retention", "r_bad0", "zero"), ("invalid_retention_rate", "r_bad", "zero"),
+      ("rfm_customer_row_count", "rfm_n", "e_customers"), ("rfm_unique_customer_count", "rfm_u", "e_customers"),
+      ("rfm_unsegmented_customers", "rfm_unseg", "zero"), ("rfm_invalid_scores", "rfm_bad", "zero"),
+      ("rfm_completed_order_reconciliation", "rfm_orders", "e_done_orders"),
+      ("rfm_payment_value_reconciliation", "rfm_value", "e_done_value"),
+      ("segment_customer_reconciliation", "seg_n", "e_customers"), ("customers_without_completed_purchase", "rfm_none", "e_no_buyers"),
+  ])}
+)"""
