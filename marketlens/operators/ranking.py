@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StructField, StructType
 
-DEFAULT_BYTES_PER_BUCKET = 256 * 1024 * 1024
+DEFAULT_ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 40
 
@@ -71,13 +71,6 @@ def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n: int, total: int,
     return bounds
 
 
-def _estimated_rows(df: DataFrame) -> tuple[int, int]:
-    """(bytes, rows) estimates from the optimizer's statistics; no job runs."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    width = sum(8 if f.dataType.typeName() not in ("string", "binary") else 24 for f in df.schema.fields) or 8
-    return size, max(1, size // width)
-
-
 def rank_globally(
     df: DataFrame,
     order: list[tuple[str, bool]],
@@ -87,8 +80,7 @@ def rank_globally(
     running_sum: tuple[str, str] | None = None,
     total_count: str | None = None,
     buckets: int | None = None,
-    bytes_per_bucket: int = DEFAULT_BYTES_PER_BUCKET,
-    persist: bool = True,
+    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add global ranking columns ordered by ``order`` [(column, descending)].
 
@@ -97,19 +89,22 @@ def rank_globally(
     ``running_sum=(src, out)`` is ``SUM(src) OVER (ORDER BY ... ROWS UNBOUNDED
     PRECEDING)``. ``total_count`` is ``COUNT(*) OVER ()``.
 
-    ``buckets`` defaults to the optimizer's size estimate / ``bytes_per_bucket``
-    (capped at MAX_BUCKETS); the bucket count only affects parallelism, never
-    the result.
+    ``buckets`` defaults to rows / ``rows_per_bucket`` (capped at MAX_BUCKETS);
+    the bucket count only affects parallelism, never the result.
+
+    The input is persisted once: its row count, the boundary sample and the
+    ranking pass all read that copy, so the upstream plan runs once.
     """
     spark = df.sparkSession
     ntiles = ntiles or {}
-    size, rows = _estimated_rows(df)
-    n = buckets if buckets is not None else min(MAX_BUCKETS, max(1, math.ceil(size / bytes_per_bucket)))
-    bounds = _boundaries(df, order, n, rows) if n > 1 else []
+    inp = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = inp.count()
+    n = buckets if buckets is not None else min(MAX_BUCKETS, max(1, math.ceil(rows / rows_per_bucket)))
+    bounds = _boundaries(inp, order, n, rows) if n > 1 else []
     b = _bucket_expr(order, bounds) if bounds else F.lit(0)
     nb = len(bounds) + 1
 
-    t = df.withColumn("_b", b.cast("int")).repartitionByRange(nb, "_b")
+    t = inp.withColumn("_b", b.cast("int")).repartitionByRange(nb, "_b")
     sort_cols = [F.col(k).desc() if d else F.col(k).asc() for k, d in order]
     w = Window.partitionBy("_b").orderBy(*sort_cols)
     local = {"_lrn": F.row_number().over(w)}
@@ -120,9 +115,7 @@ def rank_globally(
     if running_sum:
         src, _ = running_sum
         local["_lrs"] = F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumns(local)
-    if persist:
-        t = t.persist(StorageLevel.MEMORY_AND_DISK)
+    t = t.withColumns(local).persist(StorageLevel.MEMORY_AND_DISK)
 
     # Per-bucket stats: at most nb rows (bounded by the bucket count, not the
     # data). They are brought to the driver so the offsets frame carries no
@@ -135,6 +128,7 @@ def rank_globally(
     if running_sum:
         aggs.append(F.sum(running_sum[0]).alias("_s"))
     stats = sorted(t.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
+    inp.unpersist(blocking=False)  # t is materialized now
     total = sum(r["_n"] for r in stats)
     sum_type = t.schema["_lrs"].dataType if running_sum else None
     zero = Decimal(0) if isinstance(sum_type, DecimalType) else 0
