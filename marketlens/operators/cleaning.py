@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from marketlens.functions.exprs import count_if
+from marketlens.functions.exprs import count_if, pct
+from marketlens.sources.schemas import CLEAN_COLUMNS, conform
 
 # Fixed values that must equal the reference's.
 DATE_COLUMNS = {
@@ -293,7 +294,7 @@ def zip_coverage(customers: DataFrame, sellers: DataFrame, geolocation: DataFram
                 F.col("rows").cast("long").alias("rows_with_zip"),
                 F.col("um").cast("long").alias("unmatched_rows"),
                 F.col("umu").cast("long").alias("unmatched_unique_zip_codes"),
-                F.round(F.lit(100.0) * (F.col("rows") - F.col("um")) / F.nullif(F.col("rows"), F.lit(0)), 2).alias("coverage_pct"),
+                pct(F.col("rows") - F.col("um"), F.col("rows")).alias("coverage_pct"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -351,6 +352,18 @@ def treat_products(products: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- full job
+def dates_and_zips(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables as they enter the text step (C1 and C2 applied)."""
+    out = {}
+    for name, df in raw.items():
+        if name in DATE_COLUMNS:
+            df = convert_dates(df, DATE_COLUMNS[name])
+        if name in ZIP_COLUMNS:
+            df = df.withColumn(ZIP_COLUMNS[name], standardize_zip(ZIP_COLUMNS[name]))
+        out[name] = df
+    return out
+
+
 def standardize(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Dates, ZIP codes and text (C1-C3), before any repair."""
     out = {}
@@ -381,7 +394,7 @@ def clean_tables(raw: dict[str, DataFrame], manual_translations: list[tuple[str,
         {"payment_sequential": F.col("payment_sequential").cast("int"), "payment_value": F.col("payment_value").cast("decimal(12,2)")}
     )
     reviews = t["reviews"].withColumn("review_score", F.col("review_score").cast("short"))
-    return {
+    frames = {
         "customers": t["customers"],
         "geolocation": clean_geolocation(t["geolocation"]),
         "order_items": items,
@@ -392,3 +405,4 @@ def clean_tables(raw: dict[str, DataFrame], manual_translations: list[tuple[str,
         "sellers": t["sellers"],
         "category_translation": translation,
     }
+    return {name: conform(df, CLEAN_COLUMNS[name]) for name, df in frames.items()}

@@ -48,11 +48,18 @@ DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue
                       'late_delivery_rate_pct'],
  'customer_validation': ['actual_value', 'expected_value'],
  'database_validation': ['actual_value', 'expected_value'],
+ 'delivery_comparison': ['average_delivery_days',
+                         'average_delivery_delay_days',
+                         'average_review_score',
+                         'low_review_rate_pct',
+                         'written_comment_rate_pct'],
  'delivery_review_impact': ['average_delivery_days',
                             'average_delivery_delay_days',
                             'average_review_score',
                             'low_review_rate_pct',
                             'written_comment_rate_pct'],
+ 'foreign_key_checks': ['coverage_pct'],
+ 'growth_sign': ['active_customer_growth_pct'],
  'late_rate': ['late_delivery_rate_pct'],
  'model_validation': ['actual_value', 'expected_value'],
  'monthly_customer_growth': ['payment_value',
@@ -104,6 +111,7 @@ DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue
                    'average_review_score',
                    'payment_difference'],
  'payments_agg': ['payment_value_total'],
+ 'peak_month': ['peak_payment_value'],
  'priority_sellers': ['item_price_total',
                       'late_delivery_rate_pct',
                       'average_delivery_days',
@@ -121,6 +129,7 @@ DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue
  'revenue_concentration': ['threshold_pct', 'product_share_required_pct'],
  'reviews_agg': ['average_review_score'],
  'risk_segment_summary': ['average_late_delivery_rate_pct', 'average_low_review_rate_pct', 'item_price_total'],
+ 'risk_summary_frame': ['item_price_total', 'mean_late_delivery_rate_pct', 'mean_low_review_rate_pct'],
  'sales_kpis': ['item_price_total',
                 'freight_total',
                 'item_and_freight_total',
@@ -130,6 +139,8 @@ DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue
                 'freight_share_pct',
                 'payment_difference'],
  'sales_validation': ['expected_value', 'actual_value', 'difference'],
+ 'schema_overview': ['missing_pct'],
+ 'segment_distribution': ['customer_share_pct'],
  'segment_summary': ['customer_share_pct',
                      'monetary_value',
                      'average_recency_days',
@@ -167,10 +178,13 @@ DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue
                     'average_delay_days_when_late',
                     'average_review_score',
                     'low_review_rate_pct'],
+ 'status_counts': ['order_pct'],
+ 'top_categories_frame': ['item_price_total', 'freight_share_pct', 'overall_freight_share_pct'],
  'top_products': ['item_price_total',
                   'freight_total',
                   'average_item_price',
                   'minimum_item_price',
                   'maximum_item_price',
                   'item_revenue_share_pct',
-                  'cumulative_item_revenue_pct']}
+                  'cumulative_item_revenue_pct'],
+ 'zip_coverage': ['coverage_pct']}

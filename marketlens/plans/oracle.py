@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from marketlens.functions.sqltext import dbl
 from marketlens.operators.operations import HIGH_VALUE_RANK
-from marketlens.plans import sqlbase, sqlviews
+from marketlens.plans import sqlbase, sqlquality, sqlviews
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS
 from marketlens.plans.decimal_columns import DECIMAL_COLUMNS
 
@@ -71,7 +71,7 @@ BODIES.update(
         "customer_validation": "SELECT * FROM v_customer_analytics_validation",
     }
 )
-BODIES.update(getattr(sqlviews, "EXTRA_BODIES", {}))
+BODIES.update(sqlquality.bodies(len(TEST_MANUAL_TRANSLATIONS)))
 
 
 def _with_clause() -> str:
@@ -80,6 +80,7 @@ def _with_clause() -> str:
         *sqlviews.VIEWS.values(),
         sqlviews.seller_risk_sql(HIGH_VALUE_RANK),
         sqlviews.database_validation_sql(len(TEST_MANUAL_TRANSLATIONS)),
+        sqlquality.STD,
     )
 
 

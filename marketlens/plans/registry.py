@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.exprs import finish
-from marketlens.operators import customers, model, operations, rfm, sales, validation
+from marketlens.operators import cleaning, customers, model, operations, quality, reports, rfm, sales, validation
+from marketlens.sources import io
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS, Marketplace, marketplace
 
 
@@ -170,4 +171,46 @@ ANALYTIC_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "late_rate": _q(lambda v: operations.late_rate(v.os)),
 }
 
-ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ANALYTIC_QUERIES}
+def _std(v: Views) -> dict[str, DataFrame]:
+    return v._get("std", lambda: cleaning.standardize(v.m.raw))
+
+
+QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "clean_dates": _q(lambda v: cleaning.date_conversion_report(v.m.raw)),
+    "clean_zip": _q(lambda v: cleaning.zip_report(v.m.raw)),
+    "clean_text": _q(lambda v: cleaning.text_report(cleaning.dates_and_zips(v.m.raw))),
+    "clean_categories": _q(
+        lambda v: cleaning.category_report(_std(v)["products"], _std(v)["category_translation"], TEST_MANUAL_TRANSLATIONS)
+    ),
+    "untranslated_categories": _q(lambda v: cleaning.untranslated_categories(_std(v)["products"], _std(v)["category_translation"])),
+    "clean_geolocation": _q(lambda v: cleaning.geolocation_report(_std(v)["geolocation"])),
+    "zip_coverage": _q(lambda v: cleaning.zip_coverage(v.t("customers"), v.t("sellers"), v.t("geolocation"))),
+    "order_timestamp_checks": _q(lambda v: cleaning.order_timestamp_checks(v.t("orders"))),
+    "status_counts": _q(lambda v: quality.status_counts(v.t("orders"))),
+    "numeric_profile": _q(lambda v: quality.numeric_profile(v.m.raw)),
+    "business_rules": _q(lambda v: quality.business_rules(v.m.raw)),
+    "constraint_checks": _q(lambda v: quality.constraint_checks(v.m.clean)),
+    "invalid_rows": _q(lambda v: quality.invalid_rows(v.m.raw)),
+    "numeric_treatment": _q(lambda v: quality.treatment_summary(v.m.raw, v.t("orders"))),
+    "final_key_checks": _q(lambda v: quality.final_key_checks(v.m.clean)),
+    "key_checks": _q(lambda v: quality.key_checks(v.m.raw)),
+    "foreign_key_checks": _q(lambda v: quality.foreign_key_checks(v.m.raw)),
+    "schema_overview": _q(lambda v: quality.schema_overview(v.m.raw)),
+    "data_type_checks": _q(lambda v: quality.data_type_checks(v.m.clean)),
+    "dataset_inventory": _q(lambda v: quality.dataset_inventory(v.m.raw)),
+    "cleaning_summary": _q(lambda v: quality.cleaning_summary(v.m.raw, v.m.clean)),
+    "table_row_counts": _q(lambda v: io.table_row_counts(v.m.clean)),
+}
+
+REPORT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "peak_month": _q(lambda v: reports.peak_month(v.monthly_sales())),
+    "growth_sign": _q(lambda v: reports.growth_sign(customers.monthly_customer_growth(v.monthly_metrics()))),
+    "retention_heatmap_frame": _q(lambda v: reports.retention_heatmap_frame(customers.cohort_matrix_12m(v.retention()))),
+    "segment_distribution": _q(lambda v: reports.segment_distribution(v.segments())),
+    "top_categories_frame": _q(lambda v: reports.top_categories_frame(v.categories())),
+    "delivery_comparison": _q(lambda v: reports.delivery_comparison(v.impact())),
+    "state_scatter_frame": _q(lambda v: reports.state_scatter_frame(v.state_delivery(), v.ops_kpis())),
+    "risk_summary_frame": _q(lambda v: reports.risk_summary_frame(v.risk())),
+}
+
+ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ANALYTIC_QUERIES, **QUALITY_QUERIES, **REPORT_QUERIES}

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketlens.sources.schemas import RAW_COLUMNS, conform
+
 # Fixed values of the adapter (FIXTURES.md B); both twins must use them.
 BASE_TIMESTAMP = "2016-09-04 00:00:00"
 ORDER_DATE_ORIGIN = "1995-01-01"
@@ -204,7 +206,7 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.col("n_name").alias("geolocation_state"),
     )
 
-    return {
+    frames = {
         "customers": customers,
         "geolocation": geolocation,
         "order_items": order_items,
@@ -215,3 +217,4 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "sellers": sellers,
         "category_translation": category_translation,
     }
+    return {t: conform(df, RAW_COLUMNS[t]) for t, df in frames.items()}
