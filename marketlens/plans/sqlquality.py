@@ -394,7 +394,32 @@ def bodies(manual_rows: int) -> dict[str, str]:
         "delivery_comparison": DELIVERY_COMPARISON,
         "state_scatter_frame": STATE_SCATTER,
         "risk_summary_frame": RISK_SUMMARY,
+        "final_assertions": final_assertions(),
     }
 
 
 __all__ = ["bodies", "STD", "avg"]
+
+
+def final_assertions() -> str:
+    pf = " + ".join(
+        f"(SELECT COUNT(*) FROM raw_{t} WHERE " + " OR ".join(f"({c} IS NOT NULL AND TRY_CAST({c} AS TIMESTAMP) IS NULL)" for c in cols) + ")"
+        for t, cols in DATE_COLUMNS.items()
+    )
+    rows = [
+        ("no_date_parse_failures", pf),
+        ("every_product_has_english_category", "(SELECT COUNT(*) FROM cl_products WHERE product_category_name_english IS NULL)"),
+        ("one_geolocation_row_per_zip", "(SELECT COUNT(*) - COUNT(DISTINCT geolocation_zip_code_prefix) FROM cl_geolocation)"),
+        ("installments_at_least_one", "(SELECT COUNT(*) FROM cl_payments WHERE payment_installments < 1)"),
+        ("weights_positive_when_present", "(SELECT COUNT(*) FROM cl_products WHERE product_weight_g <= 0)"),
+        (
+            "order_flags_not_null",
+            "(SELECT COUNT(*) FROM cl_orders WHERE has_timestamp_anomaly IS NULL OR has_status_date_mismatch IS NULL "
+            "OR is_valid_delivery_record IS NULL)",
+        ),
+    ]
+    rows += [
+        (f"row_count_unchanged_{t}", f"ABS((SELECT COUNT(*) FROM raw_{t}) - (SELECT COUNT(*) FROM cl_{t}))")
+        for t in ["customers", "order_items", "payments", "reviews", "orders", "products", "sellers"]
+    ]
+    return U.join(f"SELECT '{n}' AS assertion, CAST({q} AS BIGINT) AS failing_rows, CAST({q} AS BIGINT) = 0 AS passed" for n, q in rows)
