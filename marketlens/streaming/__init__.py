@@ -1,0 +1,2 @@
+"""No streaming operators: the reference processes static historical files only
+(SURVEY section 2.12), so nothing here is built."""
