@@ -52,6 +52,22 @@ def count_if(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
+def money_sum(c: str | Column, precision: int = 22, scale: int = 2) -> Column:
+    """Exact ``SUM`` of a 2-dp money column, accumulated as LONG cents.
+
+    Spark widens ``sum(decimal(12,2))`` past 18 digits and then adds
+    BigDecimal objects row by row; summing unscaled cents keeps the hot loop
+    on primitive longs (overflow raises under ANSI) and converts once per group.
+    """
+    unscaled = (col(c) * F.lit(10**scale)).cast("long")
+    return (F.sum(unscaled).cast(DecimalType(precision, 0)) / F.lit(10**scale)).cast(DecimalType(precision, scale))
+
+
+def avg_money(c: str | Column, scale: int = 2) -> Column:
+    """``ROUND(AVG(money), scale)`` with the cents-based sum."""
+    return ratio(money_sum(c), F.count(col(c)), scale)
+
+
 def money(c: str | Column, precision: int = 14) -> Column:
     return col(c).cast(DecimalType(precision, 2))
 

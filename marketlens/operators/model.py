@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.exprs import day_diff, money, ratio
+from marketlens.functions.exprs import day_diff, money, money_sum, ratio
 
 
 def order_items_agg(order_items: DataFrame) -> DataFrame:
@@ -21,9 +21,9 @@ def order_items_agg(order_items: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("item_count"),
         F.count_distinct("product_id").cast("int").alias("distinct_product_count"),
         F.count_distinct("seller_id").cast("int").alias("seller_count"),
-        money(F.sum("price")).alias("item_price_total"),
-        money(F.sum("freight_value")).alias("freight_total"),
-        money(F.sum(F.col("price") + F.col("freight_value"))).alias("gross_item_value"),
+        money(money_sum("price")).alias("item_price_total"),
+        money(money_sum("freight_value")).alias("freight_total"),
+        money(money_sum(F.col("price") + F.col("freight_value"))).alias("gross_item_value"),
     )
 
 
@@ -36,7 +36,7 @@ def payments_agg(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
         F.count(F.lit(1)).cast("int").alias("payment_record_count"),
         F.count_distinct("payment_type").cast("int").alias("payment_type_count"),
-        money(F.sum("payment_value")).alias("payment_value_total"),
+        money(money_sum("payment_value")).alias("payment_value_total"),
         F.max("payment_installments").alias("maximum_installments"),
         # STRING_AGG(DISTINCT t, ', ' ORDER BY t): NULL when no value (trap T7).
         # The distinct set per order is bounded by the number of payment types.

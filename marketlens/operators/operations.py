@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.exprs import avg_round, avg_round_if, count_if, is_completed, pct, ratio, round_money
+from marketlens.functions.exprs import avg_round, avg_round_if, count_if, is_completed, money_sum, pct, ratio, round_money
 from marketlens.operators.ranking import rank_globally
 from marketlens.operators.sales import completed_orders
 
@@ -67,9 +67,9 @@ def seller_order_performance(order_item_detail: DataFrame, order_summary: DataFr
         F.count(F.lit(1)).alias("item_count"),
         F.count_distinct("product_id").alias("distinct_product_count"),
         F.count_distinct(F.coalesce("product_category_name_english", F.lit(UNKNOWN))).alias("category_count"),
-        round_money(F.sum("price")).alias("item_price_total"),
-        round_money(F.sum("freight_value")).alias("freight_total"),
-        round_money(F.sum("gross_item_value")).alias("gross_item_value"),
+        money_sum("price").alias("item_price_total"),
+        money_sum("freight_value").alias("freight_total"),
+        money_sum("gross_item_value").alias("gross_item_value"),
         F.bool_or("shipped_after_shipping_limit").alias("shipped_after_shipping_limit"),
     )
     os = completed_orders(order_summary).select(

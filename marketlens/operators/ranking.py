@@ -25,9 +25,9 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from marketlens.session import ensure_checkpoint_dir
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StructField, StructType
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
@@ -92,12 +92,15 @@ def rank_globally(
     ``buckets`` defaults to rows / ``rows_per_bucket`` (capped at MAX_BUCKETS);
     the bucket count only affects parallelism, never the result.
 
-    The input is persisted once: its row count, the boundary sample and the
-    ranking pass all read that copy, so the upstream plan runs once.
+    The input and the locally ranked frame are checkpointed (reliable
+    checkpoint in the session's checkpoint folder): the upstream plan runs
+    once, every later job reads files, lineage stays short when rankings are
+    chained, and a lost executor re-reads instead of recomputing.
     """
     spark = df.sparkSession
     ntiles = ntiles or {}
-    inp = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(spark)
+    inp = df.checkpoint(eager=True)
     rows = inp.count()
     n = buckets if buckets is not None else min(MAX_BUCKETS, max(1, math.ceil(rows / rows_per_bucket)))
     bounds = _boundaries(inp, order, n, rows) if n > 1 else []
@@ -115,7 +118,7 @@ def rank_globally(
     if running_sum:
         src, _ = running_sum
         local["_lrs"] = F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumns(local).persist(StorageLevel.MEMORY_AND_DISK)
+    t = t.withColumns(local).checkpoint(eager=True)
 
     # Per-bucket stats: at most nb rows (bounded by the bucket count, not the
     # data). They are brought to the driver so the offsets frame carries no
@@ -128,7 +131,6 @@ def rank_globally(
     if running_sum:
         aggs.append(F.sum(running_sum[0]).alias("_s"))
     stats = sorted(t.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
-    inp.unpersist(blocking=False)  # t is materialized now
     total = sum(r["_n"] for r in stats)
     sum_type = t.schema["_lrs"].dataType if running_sum else None
     zero = Decimal(0) if isinstance(sum_type, DecimalType) else 0

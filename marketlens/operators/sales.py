@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.exprs import avg_round, is_completed, money, pct, ratio, round_money
+from marketlens.functions.exprs import avg_money, avg_round, is_completed, money, money_sum, pct, ratio, round_money
 from marketlens.operators.customers import _month_calendar, growth_pct
 from marketlens.operators.ranking import rank_globally
 
@@ -96,10 +96,10 @@ def category_performance(order_items: DataFrame, order_summary: DataFrame, produ
         F.count_distinct("product_id").alias("product_count"),
         F.count_distinct("seller_id").alias("seller_count"),
         F.count_distinct("customer_unique_id").alias("customer_count"),
-        round_money(F.sum("price")).alias("item_price_total"),
-        round_money(F.sum("freight_value")).alias("freight_total"),
-        round_money(F.sum(F.col("price") + F.col("freight_value"))).alias("item_and_freight_total"),
-        avg_round("price").alias("average_item_price"),
+        money_sum("price").alias("item_price_total"),
+        money_sum("freight_value").alias("freight_total"),
+        money_sum(F.col("price") + F.col("freight_value")).alias("item_and_freight_total"),
+        avg_money("price").alias("average_item_price"),
     )
     g = g.crossJoin(_total(g, "item_price_total", "_tot"))
     g = rank_globally(
@@ -154,9 +154,9 @@ def product_ranked(order_items: DataFrame, order_summary: DataFrame, products: D
         F.count(F.lit(1)).alias("item_count"),
         F.count_distinct("customer_unique_id").alias("customer_count"),
         F.count_distinct("seller_id").alias("seller_count"),
-        round_money(F.sum("price")).alias("item_price_total"),
-        round_money(F.sum("freight_value")).alias("freight_total"),
-        avg_round("price").alias("average_item_price"),
+        money_sum("price").alias("item_price_total"),
+        money_sum("freight_value").alias("freight_total"),
+        avg_money("price").alias("average_item_price"),
         round_money(F.min("price")).alias("minimum_item_price"),
         round_money(F.max("price")).alias("maximum_item_price"),
         F.min("purchase_date").alias("first_purchase_date"),
