@@ -357,3 +357,25 @@ def operations_validation(
         ("seller_order_duplicate_grains", "zero", "sodup", F.col("sodup") == 0),
     ]
     return diff_checks(one, checks)
+
+
+def model_profile(order_summary: DataFrame) -> DataFrame:
+    """Q11: ad-hoc profile of the order model (orders lacking children, reconstructed counts)."""
+    return order_summary.agg(
+        F.count(F.lit(1)).alias("order_count"),
+        count_if(~F.col("has_item_record")).alias("orders_without_items"),
+        count_if(~F.col("has_payment_record")).alias("orders_without_payments"),
+        count_if(~F.col("has_review_record")).alias("orders_without_reviews"),
+        F.sum("item_count").alias("reconstructed_item_count"),
+        F.sum("review_record_count").alias("reconstructed_review_count"),
+    )
+
+
+def share_checks(categories: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Q12: revenue shares must add up to (about) 100 % per view."""
+    parts = [
+        categories.agg(F.sum("item_revenue_share_pct").alias("total_share_pct")).select(F.lit("category_performance").alias("view_name"), "total_share_pct"),
+        products.agg(F.sum("item_revenue_share_pct").alias("total_share_pct")).select(F.lit("product_performance").alias("view_name"), "total_share_pct"),
+        sellers.agg(F.sum("seller_revenue_share_pct").alias("total_share_pct")).select(F.lit("seller_performance").alias("view_name"), "total_share_pct"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

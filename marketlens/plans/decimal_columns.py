@@ -168,6 +168,7 @@ DECIMAL_COLUMNS: dict[str, list[str]] = {'category_items_all': ['product_revenue
                  'average_review_score',
                  'low_review_rate_pct',
                  'seller_revenue_share_pct'],
+ 'share_checks': ['total_share_pct'],
  'state_delivery': ['payment_value_total',
                     'freight_total',
                     'freight_share_pct',

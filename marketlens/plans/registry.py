@@ -201,6 +201,8 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cleaning_summary": _q(lambda v: quality.cleaning_summary(v.m.raw, v.m.clean)),
     "table_row_counts": _q(lambda v: io.table_row_counts(v.m.clean)),
     "final_assertions": _q(lambda v: quality.final_assertions(v.m.raw, v.m.clean)),
+    "model_profile": _q(lambda v: validation.model_profile(v.os)),
+    "share_checks": _q(lambda v: validation.share_checks(v.categories(), v.products(), v.sellers())),
 }
 
 REPORT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -215,3 +217,12 @@ REPORT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ANALYTIC_QUERIES, **QUALITY_QUERIES, **REPORT_QUERIES}
+
+
+def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> list[str]:
+    """Expose every query as a named temp view for SQL users (lazy, nothing runs)."""
+    out = []
+    for name in names or list(ALL_QUERIES):
+        ALL_QUERIES[name](spark, sf_dir).createOrReplaceTempView(f"v_{name}")
+        out.append(f"v_{name}")
+    return out

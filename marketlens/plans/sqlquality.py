@@ -395,6 +395,8 @@ def bodies(manual_rows: int) -> dict[str, str]:
         "state_scatter_frame": STATE_SCATTER,
         "risk_summary_frame": RISK_SUMMARY,
         "final_assertions": final_assertions(),
+        "model_profile": MODEL_PROFILE,
+        "share_checks": SHARE_CHECKS,
     }
 
 
@@ -423,3 +425,18 @@ def final_assertions() -> str:
         for t in ["customers", "order_items", "payments", "reviews", "orders", "products", "sellers"]
     ]
     return U.join(f"SELECT '{n}' AS assertion, CAST({q} AS BIGINT) AS failing_rows, CAST({q} AS BIGINT) = 0 AS passed" for n, q in rows)
+
+
+MODEL_PROFILE = (
+    "SELECT COUNT(*) AS order_count, COUNT(*) FILTER (WHERE NOT has_item_record) AS orders_without_items, "
+    "COUNT(*) FILTER (WHERE NOT has_payment_record) AS orders_without_payments, "
+    "COUNT(*) FILTER (WHERE NOT has_review_record) AS orders_without_reviews, "
+    "SUM(item_count) AS reconstructed_item_count, SUM(review_record_count) AS reconstructed_review_count FROM v_order_summary"
+)
+SHARE_CHECKS = (
+    "SELECT 'category_performance' AS view_name, SUM(item_revenue_share_pct) AS total_share_pct FROM v_category_performance"
+    + U
+    + "SELECT 'product_performance', SUM(item_revenue_share_pct) FROM v_product_performance"
+    + U
+    + "SELECT 'seller_performance', SUM(seller_revenue_share_pct) FROM v_seller_performance"
+)
