@@ -69,3 +69,12 @@ def table_row_counts(frames: dict[str, DataFrame]) -> DataFrame:
     """table_name, row_count for every table, ordered by name."""
     parts = [df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(t).alias("table_name"), "row_count") for t, df in frames.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def file_inventory(spark: SparkSession, pattern: str) -> DataFrame:
+    """One row per matching file with its size in MB (content column pruned, not read)."""
+    files = spark.read.format("binaryFile").load(pattern).select("path", "length")
+    return files.select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
+        F.round(F.col("length") / F.lit(1024 * 1024), 2).alias("file_size_mb"),
+    )
