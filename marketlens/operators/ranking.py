@@ -25,12 +25,14 @@ from __future__ import annotations
 import math
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from marketlens.session import ensure_checkpoint_dir
 from pyspark.sql.types import DecimalType, IntegerType, LongType, StructField, StructType
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
+MIN_ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 4096
 SAMPLES_PER_BUCKET = 40
 
@@ -81,6 +83,7 @@ def rank_globally(
     total_count: str | None = None,
     buckets: int | None = None,
     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    materialize: str = "checkpoint",
 ) -> DataFrame:
     """Add global ranking columns ordered by ``order`` [(column, descending)].
 
@@ -92,17 +95,23 @@ def rank_globally(
     ``buckets`` defaults to rows / ``rows_per_bucket`` (capped at MAX_BUCKETS);
     the bucket count only affects parallelism, never the result.
 
-    The input and the locally ranked frame are checkpointed (reliable
-    checkpoint in the session's checkpoint folder): the upstream plan runs
-    once, every later job reads files, lineage stays short when rankings are
-    chained, and a lost executor re-reads instead of recomputing.
+    The locally ranked frame is checkpointed (reliable checkpoint in the
+    session's checkpoint folder): the stats job and the final join read files,
+    lineage stays short when rankings are chained, and a lost executor
+    re-reads instead of recomputing. Inputs are aggregates (one row per
+    customer, product or seller), read by the count and the sample.
     """
     spark = df.sparkSession
     ntiles = ntiles or {}
     ensure_checkpoint_dir(spark)
-    inp = df.checkpoint(eager=True)
+    inp = df
     rows = inp.count()
-    n = buckets if buckets is not None else min(MAX_BUCKETS, max(1, math.ceil(rows / rows_per_bucket)))
+    if buckets is None:
+        # enough buckets to use the cluster once the data is not tiny, and
+        # never more than ~rows_per_bucket rows in one bucket
+        parallel = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = max(math.ceil(rows / rows_per_bucket), min(parallel, rows // MIN_ROWS_PER_BUCKET))
+    n = min(MAX_BUCKETS, max(1, buckets))
     bounds = _boundaries(inp, order, n, rows) if n > 1 else []
     b = _bucket_expr(order, bounds) if bounds else F.lit(0)
     nb = len(bounds) + 1
@@ -118,7 +127,8 @@ def rank_globally(
     if running_sum:
         src, _ = running_sum
         local["_lrs"] = F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumns(local).checkpoint(eager=True)
+    t = t.withColumns(local)
+    t = t.checkpoint(eager=True) if materialize == "checkpoint" else t.persist(StorageLevel.MEMORY_AND_DISK)
 
     # Per-bucket stats: at most nb rows (bounded by the bucket count, not the
     # data). They are brought to the driver so the offsets frame carries no
