@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.exprs import finish
@@ -24,9 +25,15 @@ class Views:
         self.m = m
         self._memo: dict[str, DataFrame] = {}
 
+    # Views read by several reports are kept (MEMORY_AND_DISK) once built.
+    SHARED = {"cs", "act", "sop", "ms", "ret"}
+
     def _get(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         if key not in self._memo:
-            self._memo[key] = build()
+            df = build()
+            if key in self.SHARED:
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._memo[key] = df
         return self._memo[key]
 
     @property
