@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
 
 # Working precision for exact ratios: 20 integer digits, 4 fractional.
 _WORK = DecimalType(24, 4)
@@ -97,11 +97,13 @@ def day_diff(later: str | Column, earlier: str | Column) -> Column:
 
 
 def finish(df: DataFrame) -> DataFrame:
-    """Result contract: exact DECIMALs become DOUBLE at the very end."""
+    """Result contract: exact DECIMALs become DOUBLE and integers BIGINT, at the very end."""
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, DecimalType):
             out.append(F.col(f.name).cast("double").alias(f.name))
+        elif isinstance(f.dataType, (ByteType, ShortType, IntegerType)):
+            out.append(F.col(f.name).cast("long").alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

@@ -7,11 +7,20 @@ projection that turns exact DECIMAL results into DOUBLE, like ``finish``.
 
 from __future__ import annotations
 
-from marketlens.functions.sqltext import dbl
 from marketlens.operators.operations import HIGH_VALUE_RANK
 from marketlens.plans import sqlbase, sqlquality, sqlviews
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS
-from marketlens.plans.decimal_columns import DECIMAL_COLUMNS
+from marketlens.plans.decimal_columns import OUTPUT_TYPES
+
+# Spark result type -> DuckDB type of the oracle's final projection.
+DUCK_TYPES = {
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+    "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP",
+}
 
 BODIES: dict[str, str] = {
     "order_items_agg": "SELECT * FROM v_order_items_agg",
@@ -88,6 +97,6 @@ def oracle_queries() -> dict[str, str]:
     head = _with_clause()
     out = {}
     for name, body in BODIES.items():
-        cols = DECIMAL_COLUMNS.get(name, [])
-        out[name] = f"{head}\nSELECT {dbl(cols)} FROM (\n{body}\n) AS q"
+        cols = ", ".join(f"CAST(q.{c} AS {DUCK_TYPES[t]}) AS {c}" for c, t in OUTPUT_TYPES[name])
+        out[name] = f"{head}\nSELECT {cols} FROM (\n{body}\n) AS q"
     return out

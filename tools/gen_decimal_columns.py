@@ -1,4 +1,9 @@
-"""Regenerate marketlens/plans/decimal_columns.py from the Spark builders' schemas."""
+"""Regenerate marketlens/plans/decimal_columns.py from the Spark results' schemas.
+
+Records, per query, the DECIMAL columns of the un-finished result and the
+final (finished) type of every column, so the oracle can cast its output to
+exactly the same types.
+"""
 
 import pprint
 import sys
@@ -6,19 +11,22 @@ import sys
 sys.path.insert(0, ".")
 from pyspark.sql.types import DecimalType  # noqa: E402
 
+from marketlens.functions.exprs import finish  # noqa: E402
 from marketlens.plans.registry import ALL_QUERIES, views  # noqa: E402
 from marketlens.session import local_session  # noqa: E402
 
 spark = local_session()
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
 v = views(spark, sf)
-out = {}
+dec, types = {}, {}
 for name, q in ALL_QUERIES.items():
     df = q.build(v)
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)]
     if cols:
-        out[name] = cols
+        dec[name] = cols
+    types[name] = [(f.name, f.dataType.simpleString()) for f in finish(df).schema.fields]
 with open("marketlens/plans/decimal_columns.py", "w") as fh:
-    fh.write('"""Generated by tools/gen_decimal_columns.py: exact DECIMAL outputs per query."""\n\n')
-    fh.write("DECIMAL_COLUMNS: dict[str, list[str]] = " + pprint.pformat(out, width=120, sort_dicts=True) + "\n")
-print(len(out), "queries with decimal outputs")
+    fh.write('"""Generated by tools/gen_decimal_columns.py: exact DECIMAL outputs and final types per query."""\n\n')
+    fh.write("DECIMAL_COLUMNS: dict[str, list[str]] = " + pprint.pformat(dec, width=120, sort_dicts=True) + "\n\n")
+    fh.write("OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = " + pprint.pformat(types, width=120, sort_dicts=True) + "\n")
+print(len(types), "queries")
