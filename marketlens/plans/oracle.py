@@ -7,6 +7,8 @@ projection that turns exact DECIMAL results into DOUBLE, like ``finish``.
 
 from __future__ import annotations
 
+import re
+
 from marketlens.operators.operations import HIGH_VALUE_RANK
 from marketlens.plans import sqlbase, sqlquality, sqlviews
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS
@@ -83,20 +85,64 @@ BODIES.update(
 BODIES.update(sqlquality.bodies(len(TEST_MANUAL_TRANSLATIONS)))
 
 
-def _with_clause() -> str:
-    return sqlbase.prefix(
-        TEST_MANUAL_TRANSLATIONS,
+def _ctes() -> list[tuple[str, str]]:
+    """All CTEs in dependency order as (name, text)."""
+    chunks = [
+        sqlbase.RAW,
+        sqlbase.clean_ctes(TEST_MANUAL_TRANSLATIONS),
+        sqlbase.MODEL,
         *sqlviews.VIEWS.values(),
         sqlviews.seller_risk_sql(HIGH_VALUE_RANK),
         sqlviews.database_validation_sql(len(TEST_MANUAL_TRANSLATIONS)),
         sqlquality.STD,
-    )
+    ]
+    out = []
+    for chunk in chunks:
+        for part in _split_top_level(chunk):
+            m = re.match(r"\s*(\w+)\s+AS\s*\(", part)
+            if m:
+                out.append((m.group(1), part.strip()))
+    return out
+
+
+def _split_top_level(text: str) -> list[str]:
+    """Split a CTE list on commas outside parentheses and quotes."""
+    parts, depth, quote, cur = [], 0, False, []
+    for ch in text:
+        if ch == "'":
+            quote = not quote
+        elif not quote and ch == "(":
+            depth += 1
+        elif not quote and ch == ")":
+            depth -= 1
+        if ch == "," and depth == 0 and not quote:
+            parts.append("".join(cur))
+            cur = []
+        else:
+            cur.append(ch)
+    parts.append("".join(cur))
+    return [p for p in parts if p.strip()]
+
+
+def _needed(ctes: list[tuple[str, str]], body: str) -> str:
+    """WITH clause holding only the CTEs the body needs (transitively)."""
+    names = [n for n, _ in ctes]
+    text = dict(ctes)
+    need: set[str] = set()
+    frontier = [body]
+    while frontier:
+        t = frontier.pop()
+        for n in names:
+            if n not in need and re.search(rf"\b{n}\b", t):
+                need.add(n)
+                frontier.append(text[n])
+    return "WITH " + ",\n".join(text[n] for n in names if n in need)
 
 
 def oracle_queries() -> dict[str, str]:
-    head = _with_clause()
+    ctes = _ctes()
     out = {}
     for name, body in BODIES.items():
         cols = ", ".join(f"CAST(q.{c} AS {DUCK_TYPES[t]}) AS {c}" for c, t in OUTPUT_TYPES[name])
-        out[name] = f"{head}\nSELECT {cols} FROM (\n{body}\n) AS q"
+        out[name] = f"{_needed(ctes, body)}\nSELECT {cols} FROM (\n{body}\n) AS q"
     return out
