@@ -196,3 +196,77 @@ def ntile_from_row_number(r: Column, n: Column, k: int) -> Column:
         .otherwise(extra + F.ceil((r - big) / F.greatest(base, F.lit(1))))
         .cast("int")
     )
+
+
+def row_number_within(
+    df: DataFrame,
+    partition_cols: list[str],
+    order: list[tuple[str, bool]],
+    out: str = "row_number",
+    buckets: int | None = None,
+    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY p ORDER BY o)`` that survives a hot group.
+
+    A plain window sends each group to one task, so a group holding a third
+    of all rows becomes one straggler. Here rows are bucketed on the full key
+    (group columns, then the order), so a hot group is split over consecutive
+    buckets; local row numbers are computed per (bucket, group) and the groups
+    that continue across a bucket boundary get the count of their rows in
+    earlier buckets as an offset (at most one group per bucket, so the offset
+    frame is bounded by the bucket count).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    full = [(c, False) for c in partition_cols] + list(order)
+    rows = df.count()
+    if buckets is None:
+        parallel = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        buckets = max(math.ceil(rows / rows_per_bucket), min(parallel, rows // MIN_ROWS_PER_BUCKET))
+    n = min(MAX_BUCKETS, max(1, buckets))
+    bounds = _boundaries(df, full, n, rows) if n > 1 else []
+    b = _bucket_expr(full, bounds) if bounds else F.lit(0)
+    nb = len(bounds) + 1
+    sort_cols = [F.col(k).desc() if d else F.col(k).asc() for k, d in full]
+    key = F.struct(*[F.col(c) for c in partition_cols])
+    t = (
+        df.withColumn("_b", b.cast("int"))
+        .repartitionByRange(nb, "_b")
+        .withColumns(
+            {
+                "_pos": F.row_number().over(Window.partitionBy("_b").orderBy(*sort_cols)),
+                "_lrn": F.row_number().over(Window.partitionBy("_b", *partition_cols).orderBy(*sort_cols)),
+                "_kcnt": F.count(F.lit(1)).over(Window.partitionBy("_b", *partition_cols)),
+                "_key": key,
+            }
+        )
+        .checkpoint(eager=True)
+    )
+    stats = sorted(
+        t.groupBy("_b")
+        .agg(
+            F.min_by("_key", "_pos").alias("_first"),
+            F.min_by("_kcnt", "_pos").alias("_first_cnt"),
+            F.max_by("_key", "_pos").alias("_last"),
+            F.max_by("_kcnt", "_pos").alias("_last_cnt"),
+        )
+        .collect(),
+        key=lambda r: r["_b"],
+    )
+    offsets, prev_last, carry = [], None, 0
+    for r in stats:
+        off = carry if prev_last is not None and r["_first"] == prev_last else 0
+        if off:
+            offsets.append((r["_b"], off))
+        carry = off + r["_last_cnt"] if r["_last"] == r["_first"] else r["_last_cnt"]
+        prev_last = r["_last"]
+    first_keys = {r["_b"]: r["_first"] for r in stats}
+    if not offsets:
+        return t.withColumn(out, F.col("_lrn")).drop("_b", "_pos", "_lrn", "_kcnt", "_key")
+    # Only the first group of a bucket can continue from the previous bucket.
+    key_type = t.schema["_key"].dataType
+    schema = StructType([StructField("_b", IntegerType()), StructField("_okey", key_type), StructField("_off", LongType())])
+    off_df = spark.createDataFrame([(bk, first_keys[bk], o) for bk, o in offsets], schema)
+    j = t.join(F.broadcast(off_df), "_b", "left")
+    rn = F.col("_lrn") + F.when(F.col("_key") == F.col("_okey"), F.col("_off")).otherwise(F.lit(0))
+    return j.withColumn(out, rn.cast("int")).drop("_b", "_pos", "_lrn", "_kcnt", "_key", "_okey", "_off")

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marketlens.operators.ranking import row_number_within
 from marketlens.sources.schemas import RAW_COLUMNS, conform
 
 # Fixed values of the adapter (FIXTURES.md B); both twins must use them.
@@ -117,20 +118,22 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     li = _read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
     )
-    item_w = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"
+    # order_item_id = ROW_NUMBER() per order; distributed so one huge order
+    # cannot land in a single task (see ranking.row_number_within).
+    numbered = row_number_within(
+        li.join(of.select("o_orderkey", "ts"), F.col("l_orderkey") == F.col("o_orderkey"), "inner"),
+        ["l_orderkey"],
+        [(c, False) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")],
+        out="order_item_id",
     )
-    order_items = (
-        li.join(of.select("o_orderkey", "ts"), F.col("l_orderkey") == F.col("o_orderkey"), "inner")
-        .select(
-            F.col("l_orderkey").cast("string").alias("order_id"),
-            F.row_number().over(item_w).cast("int").alias("order_item_id"),
-            F.col("l_partkey").cast("string").alias("product_id"),
-            F.col("l_suppkey").cast("string").alias("seller_id"),
-            _text_ts(F.col("ts") + _days(2 + F.pmod(F.col("l_linenumber"), F.lit(4)))).alias("shipping_limit_date"),
-            F.col("l_extendedprice").alias("price"),
-            F.col("l_quantity").alias("freight_value"),
-        )
+    order_items = numbered.select(
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("order_item_id").cast("int").alias("order_item_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_suppkey").cast("string").alias("seller_id"),
+        _text_ts(F.col("ts") + _days(2 + F.pmod(F.col("l_linenumber"), F.lit(4)))).alias("shipping_limit_date"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_quantity").alias("freight_value"),
     )
 
     type_map = F.create_map(*[x for kv in PAYMENT_TYPE_BY_FLAG.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])

@@ -66,3 +66,19 @@ def test_no_single_partition_exchange(spark):
     plan = r._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
     assert r.rdd.getNumPartitions() >= 1
+
+
+@pytest.mark.parametrize("buckets", [1, 5, 13])
+def test_row_number_within_hot_group(spark, buckets):
+    from marketlens.operators.ranking import row_number_within
+
+    # group "g0" holds a third of all rows and spans many buckets
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("g0")).otherwise(F.concat(F.lit("g"), (F.col("id") % 50).cast("string"))).alias("g"),
+        F.pmod(F.col("id") * 7919, F.lit(1000)).alias("s"),
+        F.col("id").alias("k"),
+    )
+    got = sorted(tuple(r) for r in row_number_within(df, ["g"], [("s", False), ("k", False)], out="rn", buckets=buckets).select("k", "rn").collect())
+    w = W.partitionBy("g").orderBy("s", "k")
+    want = sorted(tuple(r) for r in df.select("k", F.row_number().over(w).alias("rn")).collect())
+    assert got == want
