@@ -507,6 +507,11 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                            ('actual_value', 'double'),
                            ('difference', 'double'),
                            ('passed', 'boolean')],
+ 'order_flags': [('order_id', 'string'),
+                 ('order_status', 'string'),
+                 ('has_timestamp_anomaly', 'boolean'),
+                 ('has_status_date_mismatch', 'boolean'),
+                 ('is_valid_delivery_record', 'boolean')],
  'order_item_detail': [('order_id', 'string'),
                        ('order_item_id', 'bigint'),
                        ('customer_id', 'string'),

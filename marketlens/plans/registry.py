@@ -193,6 +193,11 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_geolocation": _q(lambda v: cleaning.geolocation_report(_std(v)["geolocation"])),
     "zip_coverage": _q(lambda v: cleaning.zip_coverage(v.t("customers"), v.t("sellers"), v.t("geolocation"))),
     "order_timestamp_checks": _q(lambda v: cleaning.order_timestamp_checks(v.t("orders"))),
+    "order_flags": _q(
+        lambda v: v.t("orders").select(
+            "order_id", "order_status", "has_timestamp_anomaly", "has_status_date_mismatch", "is_valid_delivery_record"
+        )
+    ),
     "status_counts": _q(lambda v: quality.status_counts(v.t("orders"))),
     "numeric_profile": _q(lambda v: quality.numeric_profile(v.m.raw)),
     "business_rules": _q(lambda v: quality.business_rules(v.m.raw)),

@@ -372,6 +372,7 @@ def bodies(manual_rows: int) -> dict[str, str]:
         "clean_geolocation": clean_geolocation(),
         "zip_coverage": zip_coverage(),
         "order_timestamp_checks": order_timestamp_checks(),
+        "order_flags": "SELECT order_id, order_status, has_timestamp_anomaly, has_status_date_mismatch, is_valid_delivery_record FROM cl_orders",
         "status_counts": STATUS,
         "numeric_profile": numeric_profile(),
         "business_rules": business_rules(),
