@@ -53,3 +53,16 @@ def test_treatments(spark):
     assert [r[0] for r in cleaning.treat_payments(p).collect()] == [1, 2]
     w = spark.createDataFrame([(0.0,), (5.0,), (None,)], "product_weight_g double")
     assert [r[0] for r in cleaning.treat_products(w).select(F.col("product_weight_g")).collect()] == [None, 5.0, None]
+
+
+
+def test_final_assertions_hold_on_test_tables(spark):
+    from conftest import SF_SMALL
+
+    from marketlens.operators import quality
+    from marketlens.plans.catalog import marketplace
+
+    m = marketplace(spark, SF_SMALL)
+    rows = quality.final_assertions(m.raw, m.clean).collect()
+    assert len(rows) == 13 and all(r["passed"] for r in rows)
+    quality.assert_clean(m.raw, m.clean)  # does not raise

@@ -43,6 +43,12 @@ def test_query_matches_oracle(spark, con, name):
     rel = con.execute(ORACLE[name])
     dcols = [d[0] for d in rel.description]
     assert sorted(dcols) == cols
+    # same column types on both sides
+    from marketlens.plans.oracle import DUCK_TYPES
+
+    spark_types = {f.name: DUCK_TYPES[f.dataType.simpleString()] for f in df.schema.fields}
+    duck_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    assert spark_types == duck_types
     idx = [dcols.index(c) for c in cols]
     want = sorted((tuple(_norm(r[i]) for i in idx) for r in rel.fetchall()), key=_key)
     assert got == want
