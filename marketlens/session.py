@@ -27,8 +27,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's ``spark.checkpoint.dir``; only set a scratch one when unset (tests)."""
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext; the server's setting applies
+        return d or ""
+    d = d or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="marketlens-ckpt-")
         sc.setCheckpointDir(d)

@@ -4,7 +4,7 @@ The test data is a TPC-H-like star schema; the analytics expect the nine
 marketplace tables (orders, customers, order_items, payments, reviews,
 products, sellers, category_translation, geolocation). Every mapping is a
 deterministic column expression (FIXTURES.md section B), so DuckDB can build
-the same rows from the same parquet files (see ``testdata_sql``).
+the same rows from the same parquet files (see ``plans/sqlbase.py``).
 
 The raw tables keep the defects the cleaning job must repair: timestamps as
 text, ZIP codes as integers, zero installments, zero weights, missing and
