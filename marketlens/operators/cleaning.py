@@ -236,19 +236,57 @@ def valid_coordinates() -> Column:
     return F.col("geolocation_lat").between(-90, 90) & F.col("geolocation_lng").between(-180, 180)
 
 
+def group_mode(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Most frequent non-NULL value per key; ties -> smallest value (pandas mode + sort).
+
+    Two hash aggregations with partial aggregation: (key, value) counts, then
+    the best (count, value) per key. No group's values are held in one buffer.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    return counts.groupBy(key).agg(F.min_by(value, F.struct((-F.col("_c")).alias("c"), F.col(value).alias("v"))).alias(out))
+
+
+def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """Exact interpolating median per key (pandas ``median``), hot-key safe.
+
+    Values are numbered within their key by the bucketed row_number (a key
+    holding a third of all rows is spread over many tasks); only the one or
+    two middle rows of each key are then aggregated.
+    """
+    from marketlens.operators.ranking import row_number_within
+
+    v = df.where(F.col(value).isNotNull()).select(key, value)
+    ranked = row_number_within(v, [key], [(value, False)], out="_r")
+    n = v.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    mid = ranked.join(n, key).where(
+        (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.ceil((F.col("_n") + 1) / 2))
+    )
+    lo, hi = F.min(value), F.max(value)
+    return mid.groupBy(key).agg((lo + (hi - lo) * F.lit(0.5)).alias(out))
+
+
 def clean_geolocation(geo: DataFrame) -> DataFrame:
     """Exact dedup -> valid coordinates -> one row per ZIP (median, mode, size).
 
-    ``dropDuplicates`` and the ZIP group-by both shuffle on hash keys; the
-    median and mode are per-group aggregates, so no ZIP is ever collected.
+    ``dropDuplicates`` and every per-ZIP aggregate shuffle on hash keys with
+    partial aggregation; medians and modes never hold a ZIP's values in one
+    buffer, so a ZIP with a third of all rows does not become one task.
     """
+    k = "geolocation_zip_code_prefix"
     valid = geo.dropDuplicates().where(valid_coordinates())
-    return valid.groupBy("geolocation_zip_code_prefix").agg(
-        F.round(F.median("geolocation_lat"), 6).alias("geolocation_lat"),
-        F.round(F.median("geolocation_lng"), 6).alias("geolocation_lng"),
-        F.mode("geolocation_city", deterministic=True).alias("geolocation_city"),
-        F.mode("geolocation_state", deterministic=True).alias("geolocation_state"),
-        F.count(F.lit(1)).cast("int").alias("geolocation_observation_count"),
+    size = valid.groupBy(k).agg(F.count(F.lit(1)).cast("int").alias("geolocation_observation_count"))
+    lat = group_median(valid, k, "geolocation_lat", "geolocation_lat")
+    lng = group_median(valid, k, "geolocation_lng", "geolocation_lng")
+    city = group_mode(valid, k, "geolocation_city", "geolocation_city")
+    state = group_mode(valid, k, "geolocation_state", "geolocation_state")
+    j = size.join(lat, k, "left").join(lng, k, "left").join(city, k, "left").join(state, k, "left")
+    return j.select(
+        k,
+        F.round("geolocation_lat", 6).alias("geolocation_lat"),
+        F.round("geolocation_lng", 6).alias("geolocation_lng"),
+        "geolocation_city",
+        "geolocation_state",
+        "geolocation_observation_count",
     )
 
 
