@@ -57,3 +57,25 @@ def test_t9_division_by_zero_is_null_not_error(spark):
     from marketlens.functions.exprs import pct
 
     assert spark.range(1).select(pct(F.lit(1), F.lit(0))).first()[0] is None
+
+
+def test_growth_after_empty_month(spark):
+    """Calendar gap fill: an empty month gives -100 %, the month after it NULL."""
+    from datetime import date
+
+    rows = [
+        ("o1", "u1", "delivered", date(2017, 1, 5), 1, Decimal("10.00"), Decimal("1.00"), Decimal("11.00")),
+        ("o2", "u2", "delivered", date(2017, 3, 5), 1, Decimal("20.00"), Decimal("2.00"), Decimal("22.00")),
+        ("o3", "u3", "canceled", date(2017, 2, 5), 1, Decimal("5.00"), Decimal("1.00"), Decimal("6.00")),
+    ]
+    os = spark.createDataFrame(
+        rows,
+        "order_id string, customer_unique_id string, order_status string, purchase_date date, item_count int, "
+        "item_price_total decimal(14,2), freight_total decimal(14,2), payment_value_total decimal(14,2)",
+    )
+    got = {str(r["sales_month"]): r for r in sales.monthly_sales(os).collect()}
+    assert list(sorted(got)) == ["2017-01-01", "2017-02-01", "2017-03-01"]
+    assert got["2017-02-01"]["order_count"] == 0
+    assert got["2017-02-01"]["payment_growth_pct"] == Decimal("-100.00")
+    assert got["2017-03-01"]["payment_growth_pct"] is None
+    assert got["2017-01-01"]["payment_growth_pct"] is None
