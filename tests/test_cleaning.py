@@ -66,3 +66,35 @@ def test_final_assertions_hold_on_test_tables(spark):
     rows = quality.final_assertions(m.raw, m.clean).collect()
     assert len(rows) == 13 and all(r["passed"] for r in rows)
     quality.assert_clean(m.raw, m.clean)  # does not raise
+
+
+def test_each_order_rule_fires_alone(spark):
+    from datetime import datetime as d
+
+    p = d(2017, 1, 10)
+    cases = {
+        "approval_before_purchase": ("delivered", d(2017, 1, 9), d(2017, 1, 11), d(2017, 1, 15), d(2017, 1, 30)),
+        "carrier_before_purchase": ("delivered", d(2017, 1, 8), d(2017, 1, 9), d(2017, 1, 15), d(2017, 1, 30)),
+        "carrier_before_approval": ("delivered", d(2017, 1, 12), d(2017, 1, 11), d(2017, 1, 15), d(2017, 1, 30)),
+        "delivery_before_carrier": ("delivered", d(2017, 1, 10, 1), d(2017, 1, 14), d(2017, 1, 13), d(2017, 1, 30)),
+        "estimated_before_purchase": ("delivered", d(2017, 1, 10, 1), d(2017, 1, 11), d(2017, 1, 15), d(2017, 1, 9)),
+        "delivered_status_missing_delivery_date": ("delivered", d(2017, 1, 10, 1), d(2017, 1, 11), None, d(2017, 1, 30)),
+        "non_delivered_status_with_delivery_date": ("shipped", d(2017, 1, 10, 1), d(2017, 1, 11), d(2017, 1, 15), d(2017, 1, 30)),
+    }
+    rows = [(name, st, p, a, c, dl, e) for name, (st, a, c, dl, e) in cases.items()]
+    df = spark.createDataFrame(
+        rows,
+        "case string, order_status string, order_purchase_timestamp timestamp_ntz, order_approved_at timestamp_ntz, "
+        "order_delivered_carrier_date timestamp_ntz, order_delivered_customer_date timestamp_ntz, order_estimated_delivery_date timestamp_ntz",
+    )
+    masks = cleaning.order_rule_masks()
+    got = df.select("case", *[m.alias(k) for k, m in masks.items()]).collect()
+    for r in got:
+        fired = {k for k in masks if r[k]}
+        if r["case"] == "delivery_before_carrier":
+            assert fired == {"delivery_before_carrier"}
+        else:
+            assert r["case"] in fired
+    flagged = {r["case"]: r for r in cleaning.add_order_flags(df).collect()}
+    assert flagged["non_delivered_status_with_delivery_date"]["has_status_date_mismatch"] is True
+    assert flagged["estimated_before_purchase"]["is_valid_delivery_record"] is False
