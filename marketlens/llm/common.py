@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application, so that tasks can import it where it is not installed."""
+    import marketlens
+
+    sc, top = spark.sparkContext, Path(marketlens.__file__).parent
+    if sc.applicationId in _shipped or not top.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    uri = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketlens-{uuid.uuid4().hex}.zip"
+    fs, path = shared_files(uri)
+    with fs.open_output_stream(path) as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(uri)
+    _shipped.add(sc.applicationId)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``."""
+    ship_package(spark)
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
@@ -70,3 +97,11 @@ def packed_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     joined = b"".join(pc.fill_null(col.cast(pa.large_binary()), b"").to_pylist())
     return np.frombuffer(joined, np.uint8), offsets
+
+
+def shared_files(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and path of a file in the shared folder, for tasks that need more than Spark's
+    readers and writers: range reads and file formats of their own."""
+    if "://" not in uri and ":/" in uri:  # Hadoop writes file:/path
+        uri = uri.replace(":/", ":///", 1)
+    return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
