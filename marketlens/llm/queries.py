@@ -5,9 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import simhash
-from marketlens.llm.common import table
+from marketlens.llm import chat, decontam, licenses, linededup, mixing, quality, simhash, suffixdedup, tokenbin, warc
+from marketlens.llm.common import land, small_side, table
+
+END_ID = 2
+#: Token-budget and repeated turns of chat windows.
+CHAT_BUDGET, CHAT_HISTORY = 128, 2
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write ``pages`` to ZIP-packaged archives and read them back."""
+    packages = warc.write_packages(table(spark, sf_dir, "pages"))
+    return warc.resolved_records(warc.read_packages(packages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +33,164 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the token ids of ``documents`` to shards and read them back."""
+    manifest = tokenbin.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return tokenbin.read_tokens(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word windows of ``benchmark`` looked up in the stored positional index of ``documents``."""
+    found = decontam.phrase_matches(decontam.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    hits = decontam.hit_words("spans")
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, then the MCD verdict of each document's language and source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    stats = quality.base_statistics(docs).drop("text")
+    return quality.judge(land(stats, "quality-stats")).drop("lang", "source")
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 of their sources."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out, report = mixing.mix(docs, F.array("source"), mixing.word_count("text"), ["doc_id", "source", "text"])
+    report = report.withColumnRenamed("source", "__source")
+    return out.join(small_side(report), F.col("source").eqNullSafe(F.col("__source"))).select(
+        "doc_id", F.col("__words").alias("size"), F.col("source_words").alias("source_size"), "target", (F.col("__copies") * F.col("__words")).alias("taken")
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines found in at least 10 documents go everywhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of all ``conversations`` and of conversation -1, read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    windows = land(chat.format_windows(turns.union(extra), CHAT_BUDGET, CHAT_HISTORY), "chat-windows")
+    read = chat.parse_windows(windows).select(
+        "conv_id",
+        F.struct(
+            "window",
+            F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("turns"),
+            F.array_join("targets", "").alias("loss"),
+        ).alias("w"),
+        F.size("turns").alias("n"),
+        F.char_length("formatted").alias("chars"),
+    )
+    whole = read.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join(F.transform("w", lambda x: x["loss"]), "")
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(F.transform("w", lambda x: x["turns"]), ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
+def document_files(docs: DataFrame) -> DataFrame:
+    """``documents`` as a tree: source/language/thousand/id.txt; a document of at most two lines one of which has a licence
+    cue is a LICENSE file of its source, language or leaf directory, by its id."""
+    top, sub = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    leaf = F.floor(F.col("doc_id") / 1000)
+    notice = F.col("text").rlike(licenses.CUE) & (F.size(F.split("text", "\n", -1)) <= 2)
+    level = F.pmod("doc_id", F.lit(3))
+    above = F.when(level == 0, top).when(level == 1, F.concat_ws("/", top, sub)).otherwise(F.concat_ws("/", top, sub, leaf))
+    path = F.when(F.coalesce(notice, F.lit(False)), F.concat_ws("/", above, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, sub, leaf, F.concat(F.col("doc_id"), F.lit(".txt"))))
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, own or inherited."""
+    files = document_files(table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(files).select("doc_id", "path", "license", "cosine", "license_from", "license_path")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 400-byte strings that start elsewhere too go."""
+    out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p WHERE strlen(html) >= 100 GROUP BY html)
+SELECT p.page_id, strlen(p.html) AS payload_bytes, sha256(p.html) AS payload_digest,
+       CASE WHEN f.first <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f.first <> p.page_id THEN f.first END AS refers_to
+FROM p LEFT JOIN f ON p.html = f.html
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents
+),
+b AS (
+    SELECT CAST(item_id AS VARCHAR) AS item,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+),
+windows AS (
+    SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+    FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+),
+widths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, widths WHERE len(w) >= n)),
+hits AS (SELECT p.r, p.n, p.i, x.item FROM places p JOIN windows x ON p.n = x.n AND p.phrase = x.phrase),
+covered AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, n, i FROM hits)) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS list FROM hits GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.list, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c USING (r) LEFT JOIN items i USING (r)
+"""
+
+OP7_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT row_id, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM texts),
+keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row_id) >= 10),
+marked AS (SELECT keyed.*, key IN (SELECT key FROM common) AS dropped FROM keyed)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY row_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_token_output": op3_token_output,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_source_mix": op6_source_mix,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_license_scan": op9_license_scan,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_warc": OP1_SQL,
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op7_line_dedup": OP7_SQL,
+}
