@@ -1,11 +1,22 @@
-"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token output."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, token output.
+
+Every stage works on all rows its predecessor has kept, and all but the last return the columns of ``documents``. Decisions
+that need a document's text again are taken where the text is, so that no stage relies on unique ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import simhash
+from marketlens.llm import decontam, mixing, quality, simhash, tokenbin
 from marketlens.llm.common import land, table
+from marketlens.llm.queries import END_ID, tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or are outliers of their language and source, go."""
+    return quality.good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +24,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.one_of_each(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a ten-word passage of a benchmark item go."""
+    return decontam.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them: not at all, or up to three times."""
+    return mixing.mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents written as token shards; a row for each, read back from them."""
+    manifest = tokenbin.write_tokens(docs, tokenizer_path(), END_ID)
+    return tokenbin.read_tokens(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 STAGES = [
+    ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_output", token_output),
 ]
 
-#: Fingerprints, components and compressed files have no SQL form.
+#: Robust estimates, fingerprints, components and token files have no SQL form.
 ORACLE_SQL = None
 
 
