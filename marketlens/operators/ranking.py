@@ -1,77 +1,52 @@
 """Distributed global ranking.
 
-Every window in the reference is global (``OVER (ORDER BY ...)`` with no
+Every window of the reports is global (``OVER (ORDER BY ...)`` with no
 PARTITION BY). Written naively in Spark that plans ``Exchange SinglePartition``
 and pulls the whole relation into one task. Instead:
 
-1. Sample the sort key (a bounded sample, like Spark's own RangePartitioner)
-   and pick ``n - 1`` ordered boundary tuples.
-2. Tag every row with its bucket ``_b`` = number of boundaries it sorts after
-   (a binary-search CASE expression, evaluated JVM-side). The full sort key
-   includes the tie-breaker, so even a value shared by a third of all rows is
-   split across buckets.
-3. ``repartitionByRange(n, _b)``: one shuffle. Range partitioning on ``_b``
-   satisfies the clustering a ``Window.partitionBy('_b')`` needs, so the local
-   row_number / dense_rank / running sum add only a local sort.
-4. Per-bucket stats (at most ``n`` rows) give prefix offsets; they are
-   broadcast back (size bounded by the bucket count, not by the data).
-
-Dense ranks are corrected for values that straddle a bucket boundary.
-Sort keys must be non-NULL (all uses rank totals or rates over filtered rows).
+1. The input is checkpointed once (range partitioning reads it twice: for its
+   sample and for the exchange).
+2. ``repartitionByRange(n, <the sort keys>)`` and a local sort: the engine picks
+   and searches the boundaries, NULL keys included. ``monotonically_increasing_id``
+   then holds the partition in its high bits and the local row number in its
+   low bits.
+3. Dense rank and running sum are local windows over the partition number.
+4. Per-partition statistics (one row a partition) give the offsets, which come
+   back by a broadcast bounded by the partition count.
+
+The full sort key includes the tie-breaker, so a value shared by a third of all
+rows spreads over many partitions; dense ranks are corrected where a value
+straddles a boundary. NULL keys sort as in any Spark window: first ascending,
+last descending.
 """
 
 from __future__ import annotations
 
-import math
 from decimal import Decimal
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DecimalType, LongType, StructField, StructType
 
 from marketlens.session import ensure_checkpoint_dir
 
-DEFAULT_ROWS_PER_BUCKET = 2_000_000
-MIN_ROWS_PER_BUCKET = 100_000
-MAX_BUCKETS = 4096
-SAMPLES_PER_BUCKET = 40
-
-
-def _after(keys: list[tuple[str, bool]], boundary) -> Column:
-    """Row sorts strictly after ``boundary`` in the (col, descending) order."""
-    expr = None
-    for i in range(len(keys) - 1, -1, -1):
-        name, desc = keys[i]
-        c, v = F.col(name), F.lit(boundary[i])
-        gt = c < v if desc else c > v
-        expr = gt if expr is None else gt | ((c == v) & expr)
-    return expr
-
+_LOCAL_BITS = 33  # of monotonically_increasing_id
 
-def _bucket_expr(keys: list[tuple[str, bool]], bounds: list) -> Column:
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_after(keys, bounds[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
 
-    return build(0, len(bounds))
+def _sort_columns(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).desc() if descending else F.col(c).asc() for c, descending in order]
 
 
-def _boundaries(df: DataFrame, keys: list[tuple[str, bool]], n: int, total: int, seed: int = 17) -> list:
-    """``n - 1`` boundary tuples from a sample of at most ~SAMPLES_PER_BUCKET * n rows."""
-    frac = min(1.0, SAMPLES_PER_BUCKET * n / max(total, 1))
-    order = [F.col(k).desc() if d else F.col(k).asc() for k, d in keys]
-    sample = [tuple(r) for r in df.select(*[k for k, _ in keys]).sample(False, frac, seed).orderBy(*order).collect()]
-    if not sample:
-        return []
-    bounds = []
-    for i in range(1, n):
-        t = sample[min(len(sample) - 1, (i * len(sample)) // n)]
-        if not bounds or bounds[-1] != t:
-            bounds.append(t)
-    return bounds
+def _ranged(df: DataFrame, order: list[tuple[str, bool]], partitions: int | None) -> DataFrame:
+    """``df`` in ``partitions`` sorted ranges, with ``_b`` (range number) and ``_lrn`` (row number in it, from 1)."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = _sort_columns(order)
+    numbered = df.checkpoint().repartitionByRange(n, *cols).sortWithinPartitions(*cols).withColumn("_id", F.monotonically_increasing_id())
+    return numbered.withColumns(
+        {"_b": F.shiftright("_id", _LOCAL_BITS), "_lrn": F.col("_id").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)) + 1}
+    ).drop("_id")
 
 
 def rank_globally(
@@ -82,106 +57,73 @@ def rank_globally(
     ntiles: dict[str, int] | None = None,
     running_sum: tuple[str, str] | None = None,
     total_count: str | None = None,
+    total_sum: tuple[str, str] | None = None,
     buckets: int | None = None,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-    materialize: str = "checkpoint",
 ) -> DataFrame:
     """Add global ranking columns ordered by ``order`` [(column, descending)].
 
     ``dense_rank=(out, value_cols)`` ranks by ``value_cols`` only (a prefix of
     ``order``). ``ntiles={out: k}`` follows PostgreSQL NTILE on the full order.
     ``running_sum=(src, out)`` is ``SUM(src) OVER (ORDER BY ... ROWS UNBOUNDED
-    PRECEDING)``. ``total_count`` is ``COUNT(*) OVER ()``.
+    PRECEDING)``. ``total_count`` is ``COUNT(*) OVER ()``, ``total_sum=(src, out)``
+    ``SUM(src) OVER ()``.
 
-    ``buckets`` defaults to rows / ``rows_per_bucket`` (capped at MAX_BUCKETS);
-    the bucket count only affects parallelism, never the result.
-
-    The locally ranked frame is checkpointed (reliable checkpoint in the
-    session's checkpoint folder): the stats job and the final join read files,
-    lineage stays short when rankings are chained, and a lost executor
-    re-reads instead of recomputing. Inputs are aggregates (one row per
-    customer, product or seller), read by the count and the sample.
+    ``buckets`` is the number of ranges (default: the session's shuffle
+    partitions); it affects parallelism, never the result. The ranked frame is
+    checkpointed in the session's checkpoint folder, so this runs jobs when it
+    is called; later reads take files, and a lost executor costs a re-read.
     """
     spark = df.sparkSession
-    ntiles = ntiles or {}
-    ensure_checkpoint_dir(spark)
-    inp = df
-    rows = inp.count()
-    if buckets is None:
-        # enough buckets to use the cluster once the data is not tiny, and
-        # never more than ~rows_per_bucket rows in one bucket
-        parallel = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = max(math.ceil(rows / rows_per_bucket), min(parallel, rows // MIN_ROWS_PER_BUCKET))
-    n = min(MAX_BUCKETS, max(1, buckets))
-    bounds = _boundaries(inp, order, n, rows) if n > 1 else []
-    b = _bucket_expr(order, bounds) if bounds else F.lit(0)
-    nb = len(bounds) + 1
-
-    t = inp.withColumn("_b", b.cast("int")).repartitionByRange(nb, "_b")
-    sort_cols = [F.col(k).desc() if d else F.col(k).asc() for k, d in order]
-    w = Window.partitionBy("_b").orderBy(*sort_cols)
-    local = {"_lrn": F.row_number().over(w)}
+    t = _ranged(df, order, buckets)
+    local = {}
     if dense_rank:
-        _, vcols = dense_rank
-        vorder = [F.col(k).desc() if d else F.col(k).asc() for k, d in order if k in vcols]
-        local["_ldr"] = F.dense_rank().over(Window.partitionBy("_b").orderBy(*vorder))
+        values = _sort_columns([(c, d) for c, d in order if c in dense_rank[1]])
+        local["_ldr"] = F.dense_rank().over(Window.partitionBy("_b").orderBy(*values))
     if running_sum:
-        src, _ = running_sum
-        local["_lrs"] = F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumns(local)
-    t = t.checkpoint(eager=True) if materialize == "checkpoint" else t.persist(StorageLevel.MEMORY_AND_DISK)
+        local["_lrs"] = F.sum(running_sum[0]).over(Window.partitionBy("_b").orderBy("_lrn").rowsBetween(Window.unboundedPreceding, 0))
+    t = t.withColumns(local).checkpoint()
 
-    # Per-bucket stats: at most nb rows (bounded by the bucket count, not the
-    # data). They are brought to the driver so the offsets frame carries no
-    # lineage of ``t``; referencing ``t`` twice would double the plan at every
-    # chained ranking.
+    # one row a range, on the driver: the offsets frame then carries no lineage of ``t``
     aggs = [F.count(F.lit(1)).alias("_n")]
     if dense_rank:
-        vstruct = F.struct(*[F.col(c) for c in dense_rank[1]])
-        aggs += [F.max("_ldr").alias("_d"), F.min_by(vstruct, F.col("_lrn")).alias("_first"), F.max_by(vstruct, F.col("_lrn")).alias("_last")]
+        value = F.struct(*dense_rank[1])
+        aggs += [F.max("_ldr").alias("_d"), F.min_by(value, "_lrn").alias("_first"), F.max_by(value, "_lrn").alias("_last")]
     if running_sum:
         aggs.append(F.sum(running_sum[0]).alias("_s"))
+    if total_sum:
+        aggs.append(F.sum(total_sum[0]).alias("_t"))
     stats = sorted(t.groupBy("_b").agg(*aggs).collect(), key=lambda r: r["_b"])
     total = sum(r["_n"] for r in stats)
-    sum_type = t.schema["_lrs"].dataType if running_sum else None
-    zero = Decimal(0) if isinstance(sum_type, DecimalType) else 0
-    rows_out, on, od, os_, prev_last = [], 0, 0, None, None
+    sum_type = t.schema["_lrs"].dataType if running_sum else LongType()
+    before, ranks, sums, last = 0, 0, Decimal(0) if isinstance(sum_type, DecimalType) else 0, None
+    offsets = []
     for r in stats:
-        if dense_rank and prev_last is not None and r["_first"] == prev_last:
-            od -= 1  # the first value of this bucket continues the previous bucket's last value
-        rows_out.append((r["_b"], on, total, od, os_ if os_ is not None else zero))
-        on += r["_n"]
+        if dense_rank and last is not None and r["_first"] == last:
+            ranks -= 1  # the first value of this range goes on from the range before
+        offsets.append((r["_b"], before, total, ranks, sums))
+        before += r["_n"]
         if dense_rank:
-            od += r["_d"]
-            prev_last = r["_last"]
+            ranks, last = ranks + r["_d"], r["_last"]
         if running_sum and r["_s"] is not None:
-            os_ = r["_s"] if os_ is None else os_ + r["_s"]
-    schema = StructType(
-        [
-            StructField("_b", IntegerType()),
-            StructField("_on", LongType()),
-            StructField("_N", LongType()),
-            StructField("_od", LongType()),
-            StructField("_os", sum_type or LongType()),
-        ]
-    )
-    offsets = spark.createDataFrame(rows_out, schema)
-
-    out = t.join(F.broadcast(offsets), "_b")
+            sums += r["_s"]
+    fields = [("_b", LongType()), ("_on", LongType()), ("_N", LongType()), ("_od", LongType()), ("_os", sum_type)]
+    out = t.join(F.broadcast(spark.createDataFrame(offsets, StructType([StructField(*f) for f in fields]))), "_b")
     rn = F.col("_on") + F.col("_lrn")
     cols = {}
     if row_number:
-        cols[row_number] = rn.cast("int")
+        cols[row_number] = rn
     if dense_rank:
-        cols[dense_rank[0]] = (F.col("_od") + F.col("_ldr")).cast("int")
+        cols[dense_rank[0]] = F.col("_od") + F.col("_ldr")
     if running_sum:
         cols[running_sum[1]] = F.col("_os") + F.col("_lrs")
     if total_count:
-        cols[total_count] = F.col("_N").cast("long")
-    for name, k in ntiles.items():
+        cols[total_count] = F.col("_N")
+    if total_sum:
+        found = [r["_t"] for r in stats if r["_t"] is not None]
+        cols[total_sum[1]] = F.lit(sum(found) if found else None).cast("decimal(38,2)")
+    for name, k in (ntiles or {}).items():
         cols[name] = ntile_from_row_number(rn, F.col("_N"), k)
-    out = out.withColumns(cols)
-    return out.drop("_b", "_lrn", "_ldr", "_lrs", "_on", "_N", "_od", "_os")
+    return out.withColumns(cols).drop("_b", "_lrn", "_ldr", "_lrs", "_on", "_N", "_od", "_os")
 
 
 def ntile_from_row_number(r: Column, n: Column, k: int) -> Column:
@@ -205,69 +147,31 @@ def row_number_within(
     order: list[tuple[str, bool]],
     out: str = "row_number",
     buckets: int | None = None,
-    rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
+    weight: str | None = None,
 ) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY p ORDER BY o)`` that survives a hot group.
-
-    A plain window sends each group to one task, so a group holding a third
-    of all rows becomes one straggler. Here rows are bucketed on the full key
-    (group columns, then the order), so a hot group is split over consecutive
-    buckets; local row numbers are computed per (bucket, group) and the groups
-    that continue across a bucket boundary get the count of their rows in
-    earlier buckets as an offset (at most one group per bucket, so the offset
-    frame is bounded by the bucket count).
+    """``ROW_NUMBER() OVER (PARTITION BY p ORDER BY o)`` that survives a hot group; with ``weight``
+    (whole numbers), the running sum of that column up to and including the row.
+
+    Rows are ranged on the group and the order, so a group with a third of all
+    rows spans many ranges; row numbers are local to (range, group), and the
+    group that goes on from the range before (at most one a range) has its
+    earlier rows added. Rows that agree in the whole key stay in one range:
+    aggregate them first where they can be many.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    full = [(c, False) for c in partition_cols] + list(order)
-    rows = df.count()
-    if buckets is None:
-        parallel = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-        buckets = max(math.ceil(rows / rows_per_bucket), min(parallel, rows // MIN_ROWS_PER_BUCKET))
-    n = min(MAX_BUCKETS, max(1, buckets))
-    bounds = _boundaries(df, full, n, rows) if n > 1 else []
-    b = _bucket_expr(full, bounds) if bounds else F.lit(0)
-    nb = len(bounds) + 1
-    sort_cols = [F.col(k).desc() if d else F.col(k).asc() for k, d in full]
-    key = F.struct(*[F.col(c) for c in partition_cols])
-    t = (
-        df.withColumn("_b", b.cast("int"))
-        .repartitionByRange(nb, "_b")
-        .withColumns(
-            {
-                "_pos": F.row_number().over(Window.partitionBy("_b").orderBy(*sort_cols)),
-                "_lrn": F.row_number().over(Window.partitionBy("_b", *partition_cols).orderBy(*sort_cols)),
-                "_kcnt": F.count(F.lit(1)).over(Window.partitionBy("_b", *partition_cols)),
-                "_key": key,
-            }
-        )
-        .checkpoint(eager=True)
-    )
-    stats = sorted(
-        t.groupBy("_b")
-        .agg(
-            F.min_by("_key", "_pos").alias("_first"),
-            F.min_by("_kcnt", "_pos").alias("_first_cnt"),
-            F.max_by("_key", "_pos").alias("_last"),
-            F.max_by("_kcnt", "_pos").alias("_last_cnt"),
-        )
-        .collect(),
-        key=lambda r: r["_b"],
-    )
-    offsets, prev_last, carry = [], None, 0
-    for r in stats:
-        off = carry if prev_last is not None and r["_first"] == prev_last else 0
-        if off:
-            offsets.append((r["_b"], off))
-        carry = off + r["_last_cnt"] if r["_last"] == r["_first"] else r["_last_cnt"]
-        prev_last = r["_last"]
-    first_keys = {r["_b"]: r["_first"] for r in stats}
-    if not offsets:
-        return t.withColumn(out, F.col("_lrn")).drop("_b", "_pos", "_lrn", "_kcnt", "_key")
-    # Only the first group of a bucket can continue from the previous bucket.
-    key_type = t.schema["_key"].dataType
-    schema = StructType([StructField("_b", IntegerType()), StructField("_okey", key_type), StructField("_off", LongType())])
-    off_df = spark.createDataFrame([(bk, first_keys[bk], o) for bk, o in offsets], schema)
-    j = t.join(F.broadcast(off_df), "_b", "left")
-    rn = F.col("_lrn") + F.when(F.col("_key") == F.col("_okey"), F.col("_off")).otherwise(F.lit(0))
-    return j.withColumn(out, rn.cast("int")).drop("_b", "_pos", "_lrn", "_kcnt", "_key", "_okey", "_off")
+    key = F.struct(*partition_cols)
+    ranged = _ranged(df, [(c, False) for c in partition_cols] + list(order), buckets).withColumnRenamed("_lrn", "_pos")
+    local = Window.partitionBy("_b", *partition_cols).orderBy("_pos")
+    running = F.sum(weight).over(local.rowsBetween(Window.unboundedPreceding, 0)) if weight else F.row_number().over(local)
+    t = ranged.withColumn("_lrn", running.cast("long")).withColumn("_key", key).checkpoint()
+    ends = [F.min_by("_key", "_pos").alias("_first"), F.max_by("_key", "_pos").alias("_last"), F.max_by("_lrn", "_pos").alias("_last_rows")]
+    offsets, last, carry = [], None, 0
+    for r in sorted(t.groupBy("_b").agg(*ends).collect(), key=lambda r: r["_b"]):
+        goes_on = carry if last is not None and r["_first"] == last else 0
+        offsets.append((r["_b"], r["_first"], goes_on))
+        carry = r["_last_rows"] + (goes_on if r["_last"] == r["_first"] else 0)
+        last = r["_last"]
+    schema = StructType([StructField("_b", LongType()), StructField("_okey", t.schema["_key"].dataType), StructField("_off", LongType())])
+    j = t.join(F.broadcast(spark.createDataFrame(offsets, schema)), "_b")
+    rn = F.col("_lrn") + F.when(F.col("_key").eqNullSafe(F.col("_okey")), F.col("_off")).otherwise(F.lit(0))
+    return j.withColumn(out, rn.cast("long")).drop("_b", "_pos", "_lrn", "_key", "_okey", "_off")

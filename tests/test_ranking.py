@@ -82,3 +82,49 @@ def test_row_number_within_hot_group(spark, buckets):
     w = W.partitionBy("g").orderBy("s", "k")
     want = sorted(tuple(r) for r in df.select("k", F.row_number().over(w).alias("rn")).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("desc", [True, False])
+def test_null_keys_sort_like_a_window(spark, desc):
+    rows = [(f"{i:03d}", None if i % 4 == 0 else i % 11) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v int").withColumn("v", F.col("v").cast("decimal(12,2)"))
+    got = sorted(tuple(r) for r in _ranked(df, desc, 9).drop("cs").collect())
+    want = sorted(tuple(r) for r in _reference(df, desc).drop("cs").collect())
+    assert got == want
+
+
+def test_default_uses_many_partitions(spark):
+    """Small inputs take the same path as large ones: as many ranges as shuffle partitions."""
+    from marketlens.operators.ranking import _ranged
+
+    df = spark.range(500).select(F.col("id").cast("string").alias("k"), (F.col("id") % 97).alias("v"))
+    assert _ranged(df, [("v", True), ("k", False)], None).select("_b").distinct().count() >= 8
+
+
+def test_thousands_of_ranges_plan_quickly(spark):
+    import time
+
+    df = spark.range(20).select(*[F.col("id").alias(c) for c in "abcdefg"])
+    t = time.time()
+    rank_globally(df, [(c, False) for c in "abcdefg"], row_number="rn", buckets=64)
+    few = time.time() - t
+    from marketlens.operators.ranking import _sort_columns
+
+    t = time.time()
+    df.repartitionByRange(4096, *_sort_columns([(c, False) for c in "abcdefg"])).sortWithinPartitions(*"abcdefg")._jdf.queryExecution().executedPlan()
+    assert time.time() - t < 2 and few < 60
+
+
+def test_running_weight_within_groups(spark):
+    from marketlens.operators.ranking import row_number_within
+
+    df = spark.range(400).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), F.col("id") % 5)).alias("g"), F.col("id").alias("k"), (F.col("id") % 4).alias("w"))
+    got = sorted(tuple(r) for r in row_number_within(df, ["g"], [("k", False)], out="s", buckets=7, weight="w").select("k", "s").collect())
+    w = W.partitionBy("g").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    assert got == sorted(tuple(r) for r in df.select("k", F.sum("w").over(w)).collect())
+
+
+def test_total_sum(spark):
+    df = spark.range(50).select(F.col("id").cast("string").alias("k"), F.col("id").cast("decimal(12,2)").alias("v"))
+    r = rank_globally(df, [("v", True), ("k", False)], row_number="rn", total_sum=("v", "t"), buckets=5)
+    assert {float(x.t) for x in r.collect()} == {1225.0}
