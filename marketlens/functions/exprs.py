@@ -7,6 +7,8 @@ exactly in DECIMAL, then round once, half away from zero. Spark's DECIMAL
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, IntegerType, ShortType
@@ -23,12 +25,18 @@ def col(c: str | Column) -> Column:
 
 
 def ratio(num: str | Column, den: str | Column, scale: int = 2, mult: int = 1) -> Column:
-    """``ROUND(mult * num / NULLIF(den, 0), scale)`` computed in DECIMAL."""
-    n = col(num).cast(_WORK)
-    if mult != 1:
-        n = n * F.lit(mult).cast(DecimalType(5, 0))
-    d = F.nullif(col(den).cast(_WORK), F.lit(0).cast(_WORK))
-    return F.round(n / d, scale)
+    """``ROUND(mult * num / NULLIF(den, 0), scale)``, rounded once, half away from zero.
+
+    A DECIMAL quotient is cut to 38 digits in all, so rounding it is a second rounding. Here both sides are
+    whole numbers of 1/10000 and the quotient is an integer division: (2 |n| m + d) div 2 d.
+    """
+    n, d = col(num).cast(_WORK), F.nullif(col(den).cast(_WORK), F.lit(0).cast(_WORK))
+    units = F.lit(10**4).cast("decimal(5,0)")
+    top = (F.abs(n) * F.lit(2 * mult * 10 ** (scale + 4)).cast("decimal(11,0)")).cast("decimal(38,0)")
+    below = (F.abs(d) * units).cast("decimal(28,0)")
+    quotient = F.call_function("div", top + below, F.lit(2).cast("decimal(1,0)") * below)
+    unit = F.lit(Decimal(1).scaleb(-scale)).cast(DecimalType(scale + 1, scale))
+    return F.signum(n).cast("decimal(1,0)") * F.signum(d).cast("decimal(1,0)") * quotient.cast("decimal(19,0)") * unit
 
 
 def pct(num: str | Column, den: str | Column, scale: int = 2) -> Column:
@@ -96,6 +104,20 @@ def day_diff(later: str | Column, earlier: str | Column) -> Column:
     return F.datediff(F.to_date(col(later)), F.to_date(col(earlier)))
 
 
+def distinct_counts(df: DataFrame, keys: list[str], counts: dict[str, str]) -> DataFrame:
+    """``COUNT(DISTINCT column)`` per key for several columns (output name -> column), X4.
+
+    Each column is grouped with the key first and counted then, over a scan of just these columns. One aggregate
+    with several distincts would multiply every row by their number. ``df`` is a landed frame.
+    """
+    out = None
+    for name, column in counts.items():
+        pairs = df.groupBy(*keys, F.col(column).alias("_v")).agg(F.lit(1).alias("_one"))
+        part = pairs.groupBy(*keys).agg(F.count("_v").alias(name))
+        out = part if out is None else out.join(part, keys)
+    return out
+
+
 def finish(df: DataFrame) -> DataFrame:
     """Result contract: exact DECIMALs become DOUBLE and integers BIGINT, at the very end."""
     out = []

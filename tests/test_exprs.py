@@ -34,3 +34,28 @@ def test_money_average(spark):
     assert got == 0.1  # 0.075 -> 0.1 half-up
     sql = "SELECT CAST(" + sqltext.avg("v", s=1, scale=2) + " AS DOUBLE) FROM (VALUES (0.05::DECIMAL(12,2)), (0.10::DECIMAL(12,2))) t(v)"
     assert duckdb.sql(sql).fetchall()[0][0] == 0.1
+
+
+def test_shares_are_rounded_once(spark):
+    """Near-half shares of a large total, against integer arithmetic."""
+    import random
+    from decimal import Decimal
+
+    from marketlens.functions.exprs import pct
+
+    total, rng, rows = 123_456_789_012, random.Random(1), []
+    for _ in range(60):
+        half = rng.randrange(10**6) * 2 + 1  # an odd number of half units of the fourth decimal of a per cent
+        cents = half * total // (2 * 10**6)
+        rows += [(Decimal(c).scaleb(-2), Decimal(total).scaleb(-2)) for c in (cents - 1, cents, cents + 1)]
+    rows += [(-a, b) for a, b in rows[:30]] + [(Decimal(1), Decimal(0)), (None, Decimal(1))]
+    got = [r[0] for r in spark.createDataFrame(rows, "a decimal(24,2), b decimal(24,2)").select(pct("a", "b", 4)).collect()]
+
+    def exact(a, b):
+        if a is None or not b:
+            return None
+        n, d = int(abs(a) * 100), int(b * 100)
+        q = (2 * n * 100 * 10**4 + d) // (2 * d)
+        return Decimal(-q if a < 0 else q).scaleb(-4)
+
+    assert got == [exact(a, b) for a, b in rows]
