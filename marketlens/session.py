@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,16 +27,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set a scratch one when unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
+
+    Where it is unset, only a session whose executors are this process (master ``local``) gets a scratch
+    folder, as tests do; any other session raises, as each machine would write to its own disk.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote sessions have no SparkContext; the server's setting applies
-        return d or ""
+        if not d:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share") from None
+        return d
     d = d or sc.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
         d = tempfile.mkdtemp(prefix="marketlens-ckpt-")
-        sc.setCheckpointDir(d)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
