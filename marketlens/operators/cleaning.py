@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from marketlens.functions.exprs import count_if, pct
+from marketlens.operators.ranking import row_number_within
 from marketlens.sources.schemas import CLEAN_COLUMNS, conform
 
 # Fixed values that must equal the reference's.
@@ -55,9 +56,10 @@ _STRIP = r"(?U)^\s+|\s+$"
 
 # ---------------------------------------------------------------- C1 dates
 def parse_timestamp(c: str | Column) -> Column:
-    """``to_datetime(format='%Y-%m-%d %H:%M:%S', errors='coerce')``: NULL on failure."""
+    """``to_datetime(format='%Y-%m-%d %H:%M:%S', errors='coerce')``: the whole text in this form
+    (parts of one digit allowed, no padding, fraction, zone or other separator), else NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    return c.try_cast("timestamp_ntz")
+    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\z"), c.try_cast("timestamp_ntz"))
 
 
 def convert_dates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,11 +98,20 @@ def date_conversion_report(raw: dict[str, DataFrame]) -> DataFrame:
 
 
 # ---------------------------------------------------------------- C2 ZIP
+def whole_number(c: str | Column) -> Column:
+    """``to_numeric(errors='coerce')`` for whole numbers in any numeric form ('1234.0', ' 77 ', '1e3'), else NULL."""
+    t = F.trim((F.col(c) if isinstance(c, str) else c).cast("string"))
+    n = F.when(t.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"), t.try_cast("double"))
+    return F.when(n == F.floor(n), n.try_cast("long"))
+
+
 def standardize_zip(c: str | Column) -> Column:
-    """Numeric parse, then zero-pad to 5; longer values are kept (lpad would truncate)."""
-    c = F.col(c) if isinstance(c, str) else c
-    s = c.cast("string").try_cast("long").cast("string")
-    return F.when(F.length(s) < 5, F.lpad(s, 5, "0")).otherwise(s)
+    """``zfill(5)`` of a whole number: zeros after the sign up to five characters; longer values are kept."""
+    n = whole_number(c)
+    digits = F.abs(n).cast("string")
+    width = F.when(n < 0, F.lit(4)).otherwise(F.lit(5))
+    padded = F.when(F.length(digits) < width, F.lpad(digits, width, F.lit("0"))).otherwise(digits)
+    return F.when(n < 0, F.concat(F.lit("-"), padded)).otherwise(padded)
 
 
 def zip_report(raw: dict[str, DataFrame]) -> DataFrame:
@@ -108,13 +119,12 @@ def zip_report(raw: dict[str, DataFrame]) -> DataFrame:
     parts = []
     for table, c in ZIP_COLUMNS.items():
         z = standardize_zip(c)
-        raw_c = F.col(c).cast("string")
         parts.append(
             raw[table].agg(
                 F.lit(table).alias("table_name"),
                 F.lit(c).alias("column_name"),
                 count_if(z.isNull()).cast("long").alias("missing_values"),
-                count_if(raw_c.isNotNull() & raw_c.try_cast("long").isNull()).cast("long").alias("invalid_parse_values"),
+                count_if(F.col(c).isNotNull() & whole_number(c).isNull()).cast("long").alias("invalid_parse_values"),
                 count_if(z.isNotNull() & (F.length(z) != 5)).cast("long").alias("invalid_length_values"),
             )
         )
@@ -175,15 +185,24 @@ def repair_translation(translation: DataFrame, manual: list[tuple[str, str]] | N
     return translation.unionByName(extra)
 
 
+def unique_translation(translation: DataFrame) -> DataFrame:
+    """The lookup with at most one row per category, checked when it is used (``validate='many_to_one'``): a
+    category with several rows raises in the task that meets it, before any product is joined."""
+    rows = translation.groupBy("product_category_name").agg(F.count(F.lit(1)).alias("_n"), F.first("product_category_name_english").alias("product_category_name_english"))
+    message = F.concat(F.lit("duplicate translation of category "), F.coalesce("product_category_name", F.lit("NULL")))
+    checked = F.when(F.col("_n") > 1, F.raise_error(message).cast("string")).otherwise(F.col("product_category_name_english"))
+    return rows.select("product_category_name", checked.alias("product_category_name_english"))
+
+
 def repair_products(products: DataFrame, translation: DataFrame) -> DataFrame:
-    """NULL category -> 'unknown', then a many-to-one lookup of the English name.
+    """NULL category -> 'unknown', then a validated many-to-one lookup of the English name.
 
     The translation table is one row per category (a dimension whose size is
     the number of categories, not the number of products); the join is left so
     products are never dropped.
     """
     p = products.withColumn("product_category_name", F.coalesce(F.col("product_category_name"), F.lit(UNKNOWN_CATEGORY)))
-    return p.join(translation, "product_category_name", "left").select(*products.columns, "product_category_name_english")
+    return p.join(unique_translation(translation), "product_category_name", "left").select(*products.columns, "product_category_name_english")
 
 
 def category_report(raw_products: DataFrame, raw_translation: DataFrame, manual: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -249,18 +268,16 @@ def group_mode(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
 def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
     """Exact interpolating median per key (pandas ``median``), hot-key safe.
 
-    Values are numbered within their key by the bucketed row_number (a key
-    holding a third of all rows is spread over many tasks); only the one or
-    two middle rows of each key are then aggregated.
+    Equal values of a key are one weighted row first, so a ZIP code with one repeated coordinate is a single
+    row whatever its number; running weights come from range partitions, over which a ZIP code with a third of
+    all distinct values is spread. The rows whose weights hold the middle are the result.
     """
-    from marketlens.operators.ranking import row_number_within
-
-    v = df.where(F.col(value).isNotNull()).select(key, value)
-    ranked = row_number_within(v, [key], [(value, False)], out="_r")
-    n = v.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    mid = ranked.join(n, key).where(
-        (F.col("_r") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_r") == F.ceil((F.col("_n") + 1) / 2))
-    )
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    cum = row_number_within(counts, [key], [(value, False)], out="_upto", weight="_c").join(sizes, key)
+    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
+    holds = lambda p: (F.col("_upto") >= p) & (F.col("_upto") - F.col("_c") < p)
+    mid = cum.where(holds(low) | holds(high))
     lo, hi = F.min(value), F.max(value)
     return mid.groupBy(key).agg((lo + (hi - lo) * F.lit(0.5)).alias(out))
 
@@ -290,49 +307,43 @@ def clean_geolocation(geo: DataFrame) -> DataFrame:
     )
 
 
-def geolocation_report(geo_before: DataFrame) -> DataFrame:
-    """Raw vs clean geolocation metrics (metric, value)."""
-    dedup = geo_before.dropDuplicates()
-    valid = dedup.where(valid_coordinates())
-    clean = clean_geolocation(geo_before)
-    a = geo_before.agg(F.count(F.lit(1)).alias("rows_before"))
-    b = dedup.agg(F.count(F.lit(1)).alias("rows_dedup"), count_if(~valid_coordinates()).alias("invalid"))
-    c = valid.agg(F.count_distinct("geolocation_zip_code_prefix").alias("zips"))
-    d = clean.agg(
-        F.count(F.lit(1)).alias("rows_after"),
-        (F.count(F.lit(1)) - F.count_distinct("geolocation_zip_code_prefix")).alias("dup_after"),
+def geolocation_report(raw: DataFrame, clean: DataFrame) -> DataFrame:
+    """The raw table beside the landed clean one (metric, value)."""
+    zip_code = "geolocation_zip_code_prefix"
+    # copies are counted by hash-grouped rows, never sorted
+    groups = raw.groupBy(*raw.columns).agg(F.count(F.lit(1)).alias("n"))
+    inside = F.coalesce(valid_coordinates(), F.lit(False))
+    a = groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("raw_rows"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("exact_duplicate_rows"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("invalid_coordinate_rows"),
+        F.count_distinct(zip_code).alias("unique_zip_codes_before"),
     )
-    one = a.crossJoin(b).crossJoin(c).crossJoin(d)
-    metrics = [
-        ("rows_before_cleaning", F.col("rows_before")),
-        ("exact_duplicate_rows", F.col("rows_before") - F.col("rows_dedup")),
-        ("rows_after_deduplication", F.col("rows_dedup")),
-        ("invalid_coordinate_rows", F.col("invalid")),
-        ("unique_zip_codes_before_aggregation", F.col("zips")),
-        ("rows_after_aggregation", F.col("rows_after")),
-        ("duplicate_zip_codes_after", F.col("dup_after")),
-    ]
-    return one.select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("long").alias("value")) for n, v in metrics])).alias("r")
-    ).select("r.*")
+    b = clean.agg(F.count(F.lit(1)).alias("clean_rows"), (F.count(F.lit(1)) - F.count_distinct(zip_code)).alias("duplicate_zip_codes_after"))
+    metrics = [*a.columns, *b.columns]
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("value")) for n in metrics]))
+    return a.crossJoin(b).select(rows.alias("r")).select("r.*")  # one row each
 
 
 def zip_coverage(customers: DataFrame, sellers: DataFrame, geolocation: DataFrame) -> DataFrame:
-    """ZIP coverage of customers and sellers by the clean geolocation."""
-    zips = geolocation.select(F.col("geolocation_zip_code_prefix").alias("z")).distinct()
+    """ZIP coverage of customers and sellers by the clean geolocation; rows without a ZIP count in
+    ``total_rows`` only."""
+    zips = geolocation.select(F.col("geolocation_zip_code_prefix").alias("z")).distinct().withColumn("known", F.lit(True))
     parts = []
     for name, df, c in (("customers", customers, "customer_zip_code_prefix"), ("sellers", sellers, "seller_zip_code_prefix")):
-        nn = df.where(F.col(c).isNotNull())
-        unmatched = nn.join(zips, nn[c] == zips["z"], "left_anti")
-        tot = nn.agg(F.count(F.lit(1)).alias("rows"))
-        um = unmatched.agg(F.count(F.lit(1)).alias("um"), F.count_distinct(c).alias("umu"))
+        # one row per ZIP code before the join
+        counts = df.groupBy(F.col(c).alias("z")).agg(F.count(F.lit(1)).alias("n"))
+        missed = F.col("z").isNotNull() & F.col("known").isNull()
+        with_zip = F.coalesce(F.sum(F.when(F.col("z").isNotNull(), F.col("n"))), F.lit(0))
+        unmatched = F.coalesce(F.sum(F.when(missed, F.col("n"))), F.lit(0))
         parts.append(
-            tot.crossJoin(um).select(
+            counts.join(zips, "z", "left").agg(
                 F.lit(name).alias("table_name"),
-                F.col("rows").cast("long").alias("rows_with_zip"),
-                F.col("um").cast("long").alias("unmatched_rows"),
-                F.col("umu").cast("long").alias("unmatched_unique_zip_codes"),
-                pct(F.col("rows") - F.col("um"), F.col("rows")).alias("coverage_pct"),
+                F.lit(c).alias("zip_column"),
+                F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_rows"),
+                unmatched.cast("long").alias("unmatched_rows"),
+                count_if(missed).cast("long").alias("unmatched_unique_zip_codes"),
+                pct(with_zip - unmatched, with_zip).alias("coverage_pct"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
