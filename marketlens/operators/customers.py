@@ -71,10 +71,10 @@ def customer_summary(order_summary: DataFrame) -> DataFrame:
         F.greatest(F.col("order_count") - 1, zero).alias("repeat_order_count"),
         (F.col("order_count") > 1).alias("is_repeat_customer"),
         F.coalesce("total_item_count", zero).alias("total_item_count"),
-        money(F.coalesce("total_product_value", zero), 16).alias("total_product_value"),
-        money(F.coalesce("total_freight_value", zero), 16).alias("total_freight_value"),
-        money(F.coalesce("total_gross_item_value", zero), 16).alias("total_gross_item_value"),
-        money(F.coalesce("total_payment_value", zero), 16).alias("total_payment_value"),
+        money(F.coalesce("total_product_value", zero), 24).alias("total_product_value"),
+        money(F.coalesce("total_freight_value", zero), 24).alias("total_freight_value"),
+        money(F.coalesce("total_gross_item_value", zero), 24).alias("total_gross_item_value"),
+        money(F.coalesce("total_payment_value", zero), 24).alias("total_payment_value"),
         "average_order_payment",
         "average_items_per_order",
         "average_review_score",
@@ -123,7 +123,7 @@ def monthly_customer_metrics(activity: DataFrame) -> DataFrame:
         F.sum("monthly_order_count").alias("order_count"),
         F.sum("monthly_delivered_order_count").alias("delivered_order_count"),
         F.sum("monthly_item_count").alias("item_count"),
-        money(F.sum("monthly_payment_value"), 16).alias("payment_value"),
+        money(F.sum("monthly_payment_value"), 24).alias("payment_value"),
         ratio(F.sum("monthly_payment_value"), F.sum("monthly_order_count")).alias("average_payment_per_order"),
         ratio(F.sum("monthly_order_count"), F.count(F.lit(1))).alias("orders_per_active_customer"),
         pct(count_if(F.col("is_new_customer")), F.count(F.lit(1))).alias("new_customer_rate_pct"),
@@ -196,7 +196,7 @@ def cohort_retention(customer_summary_df: DataFrame, activity: DataFrame) -> Dat
     ca = activity.groupBy("cohort_month", "activity_month", "months_since_first_order").agg(
         F.count(F.lit(1)).alias("active_customer_count"),
         F.sum("monthly_order_count").alias("order_count"),
-        money(F.sum("monthly_payment_value"), 16).alias("payment_value"),
+        money(F.sum("monthly_payment_value"), 24).alias("payment_value"),
     )
     j = grid.join(ca, ["cohort_month", "activity_month", "months_since_first_order"], "left")
     active = F.coalesce("active_customer_count", F.lit(0))
@@ -210,7 +210,7 @@ def cohort_retention(customer_summary_df: DataFrame, activity: DataFrame) -> Dat
         active.alias("active_customer_count"),
         (F.col("cohort_size") - active).alias("inactive_customer_count"),
         orders.alias("order_count"),
-        money(pay, 16).alias("payment_value"),
+        money(pay, 24).alias("payment_value"),
         pct(active, "cohort_size").alias("retention_rate_pct"),
         ratio(orders, "active_customer_count").alias("orders_per_active_customer"),
         ratio(pay, "active_customer_count").alias("payment_per_active_customer"),
@@ -240,3 +240,49 @@ def cohort_benchmark(retention: DataFrame) -> DataFrame:
         F.min("retention_rate_pct").alias("minimum_cohort_retention_pct"),
         F.max("retention_rate_pct").alias("maximum_cohort_retention_pct"),
     )
+
+
+def customer_profile(customer_summary_df: DataFrame) -> DataFrame:
+    """Q11: one row that profiles the customer summary."""
+    return customer_summary_df.agg(
+        F.count(F.lit(1)).alias("customer_count"),
+        F.count_distinct("customer_unique_id").alias("unique_customer_count"),
+        F.sum("order_count").alias("reconstructed_order_count"),
+        F.count_if("is_repeat_customer").alias("repeat_customer_count"),
+        F.count_if(~F.col("is_repeat_customer")).alias("one_time_customer_count"),
+    )
+
+
+def monthly_profile(monthly: DataFrame) -> DataFrame:
+    """Q11: one row that profiles the monthly customer metrics."""
+    return monthly.agg(
+        F.count(F.lit(1)).alias("month_count"),
+        F.min("activity_month").alias("first_activity_month"),
+        F.max("activity_month").alias("last_activity_month"),
+        F.sum("new_customer_count").alias("reconstructed_customer_count"),
+        F.sum("order_count").alias("reconstructed_order_count"),
+    )
+
+
+def recent_activity(monthly: DataFrame, k: int = 10) -> DataFrame:
+    """O2: the last k active months, latest first."""
+    columns = [
+        "activity_month", "active_customer_count", "new_customer_count", "returning_customer_count", "order_count", "payment_value",
+        "returning_customer_rate_pct",
+    ]
+    return monthly.select(*columns).orderBy(F.desc("activity_month")).limit(k)
+
+
+def top_activity_months(growth: DataFrame, k: int = 5) -> DataFrame:
+    """O2: the k months with the most active customers."""
+    columns = [
+        "activity_month", "active_customer_count", "new_customer_count", "returning_customer_count", "order_count", "payment_value",
+        "active_customer_growth_pct",
+    ]
+    return growth.select(*columns).orderBy(F.desc("active_customer_count"), "activity_month").limit(k)
+
+
+def cohort_drill_down(retention: DataFrame, cohort: str = "2017-01-01", k: int = 13) -> DataFrame:
+    """O2: the first k months of one cohort."""
+    columns = ["cohort_month", "activity_month", "months_since_first_order", "cohort_size", "active_customer_count", "retention_rate_pct"]
+    return retention.where(F.col("cohort_month") == F.lit(cohort).cast("date")).select(*columns).orderBy("months_since_first_order").limit(k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.exprs import avg_round, avg_round_if, count_if, is_completed, money_sum, pct, ratio, round_money
+from marketlens.functions.exprs import avg_round, avg_round_if, count_if, distinct_counts, is_completed, money_sum, pct, ratio, round_money
 from marketlens.operators.ranking import rank_globally
 from marketlens.operators.sales import completed_orders
 
@@ -63,14 +63,24 @@ def seller_order_performance(order_item_detail: DataFrame, order_summary: DataFr
     Items are pre-aggregated to the (order, seller) grain before the join, so
     the join moves one row per seller-order instead of one per item.
     """
-    soi = order_item_detail.groupBy("order_id", "seller_id", "seller_city", "seller_state").agg(
-        F.count(F.lit(1)).alias("item_count"),
-        F.count_distinct("product_id").alias("distinct_product_count"),
-        F.count_distinct(F.coalesce("product_category_name_english", F.lit(UNKNOWN))).alias("category_count"),
-        money_sum("price").alias("item_price_total"),
-        money_sum("freight_value").alias("freight_total"),
-        money_sum("gross_item_value").alias("gross_item_value"),
-        F.bool_or("shipped_after_shipping_limit").alias("shipped_after_shipping_limit"),
+    # One row per product of a seller-order first: its lines are summed before anything else, and the
+    # distinct products are then a plain count. A category belongs to its product.
+    lines = order_item_detail.groupBy("order_id", "seller_id", "seller_city", "seller_state", "product_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.first(F.coalesce("product_category_name_english", F.lit(UNKNOWN))).alias("category"),
+        money_sum("price").alias("price"),
+        money_sum("freight_value").alias("freight"),
+        money_sum("gross_item_value").alias("gross"),
+        F.bool_or("shipped_after_shipping_limit").alias("late"),
+    )
+    soi = lines.groupBy("order_id", "seller_id", "seller_city", "seller_state").agg(
+        F.sum("n").alias("item_count"),
+        F.count("product_id").alias("distinct_product_count"),
+        F.count_distinct("category").alias("category_count"),
+        F.sum("price").cast("decimal(22,2)").alias("item_price_total"),
+        F.sum("freight").cast("decimal(22,2)").alias("freight_total"),
+        F.sum("gross").cast("decimal(22,2)").alias("gross_item_value"),
+        F.bool_or("late").alias("shipped_after_shipping_limit"),
     )
     os = completed_orders(order_summary).select(
         "order_id",
@@ -123,8 +133,10 @@ def seller_order_performance(order_item_detail: DataFrame, order_summary: DataFr
     )
 
 
-def seller_performance(seller_orders: DataFrame, order_item_detail: DataFrame, order_summary: DataFrame, **kw) -> DataFrame:
-    """One row per seller with 25+ metrics, dense revenue rank and share."""
+def seller_performance(seller_orders: DataFrame, items: DataFrame, **kw) -> DataFrame:
+    """One row per seller with 25+ metrics, dense revenue rank and share.
+
+    ``seller_orders``: V25, kept; ``items``: the landed ``completed_items``."""
     breach = F.col("shipped_after_shipping_limit")
     same = F.col("is_same_state_delivery")
     n = F.count(F.lit(1))
@@ -150,19 +162,14 @@ def seller_performance(seller_orders: DataFrame, order_item_detail: DataFrame, o
         F.min("purchase_date").alias("first_completed_purchase_date"),
         F.max("purchase_date").alias("last_completed_purchase_date"),
     )
-    done = completed_orders(order_summary).select("order_id")
-    catalog = (
-        order_item_detail.join(done, "order_id", "left_semi")
-        .groupBy("seller_id")
-        .agg(
-            F.count_distinct("product_id").alias("distinct_product_count"),
-            F.count_distinct(F.coalesce("product_category_name_english", F.lit(UNKNOWN))).alias("distinct_category_count"),
-        )
+    catalog = distinct_counts(items, ["seller_id"], {"distinct_product_count": "product_id", "distinct_category_count": "category"})
+    c = rank_globally(
+        sm.join(catalog, "seller_id", "left"),
+        [("item_price_total", True), ("seller_id", False)],
+        dense_rank=("seller_revenue_rank", ["item_price_total"]),
+        total_sum=("item_price_total", "_tot"),
+        **kw,
     )
-    c = sm.join(catalog, "seller_id", "left")
-    tot = F.broadcast(c.agg(F.sum("item_price_total").alias("_tot")))  # one row
-    c = c.crossJoin(tot)
-    c = rank_globally(c, [("item_price_total", True), ("seller_id", False)], dense_rank=("seller_revenue_rank", ["item_price_total"]), **kw)
     return c.withColumn("seller_revenue_share_pct", pct("item_price_total", "_tot", 4)).drop("_tot")
 
 
@@ -329,6 +336,33 @@ def risk_segment_summary(risk: DataFrame) -> DataFrame:
     )
 
 
+def top_sellers(seller_perf: DataFrame, k: int = 10) -> DataFrame:
+    """O2: the k sellers with the largest revenue."""
+    columns = [
+        "seller_id", "seller_state", "completed_order_count", "customer_count", "item_price_total", "late_delivery_rate_pct",
+        "shipping_limit_breach_rate_pct", "average_review_score", "low_review_rate_pct", "seller_revenue_rank",
+    ]
+    return seller_perf.select(*columns).orderBy(F.desc("item_price_total"), "seller_id").limit(k)
+
+
+def recent_delivery(monthly: DataFrame, k: int = 12) -> DataFrame:
+    """O2: the last k months of delivery performance, latest first."""
+    columns = [
+        "purchase_month", "completed_order_count", "late_delivery_rate_pct", "average_delivery_days", "average_delay_days_when_late",
+        "average_review_score", "low_review_rate_pct",
+    ]
+    return monthly.select(*columns).orderBy(F.desc("purchase_month")).limit(k)
+
+
+def states_by_late_rate(states: DataFrame, min_orders: int = 100) -> DataFrame:
+    """States with at least ``min_orders`` completed orders, highest late rate first."""
+    columns = [
+        "customer_state", "completed_order_count", "customer_count", "freight_share_pct", "late_delivery_rate_pct", "average_delivery_days",
+        "average_delay_days_when_late", "average_review_score", "low_review_rate_pct",
+    ]
+    return states.where(F.col("completed_order_count") >= min_orders).select(*columns).orderBy(F.desc("late_delivery_rate_pct"), "customer_state")
+
+
 def late_rate(order_summary: DataFrame) -> DataFrame:
     """D3: late-delivery rate over valid delivery records."""
     d = order_summary.where(_valid())

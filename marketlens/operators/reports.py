@@ -59,6 +59,10 @@ def retention_heatmap_frame(matrix: DataFrame) -> DataFrame:
         "cohort_size",
         F.explode(F.array(*[F.struct(F.lit(f"M{i}").alias("month_label"), F.lit(i).alias("month_offset"), F.col(c).cast("double").alias("retention_pct")) for i, c in enumerate(cols, 1)])).alias("r"),
     ).select("cohort_month", "cohort_size", "r.*")
+    # values may come as shares: all at most 1 are taken times 100, month 0 included in the test as it always is 100 %
+    scale = matrix.agg(F.max(F.greatest(*[F.col(f"month_{i}").cast("double") for i in range(13)])).alias("_top"))
+    scale = scale.select(F.when(F.col("_top") <= 1, F.lit(100.0)).otherwise(F.lit(1.0)).alias("_scale"))
+    long = long.crossJoin(F.broadcast(scale)).withColumn("retention_pct", F.col("retention_pct") * F.col("_scale")).drop("_scale")  # one row
     cap = long.agg(F.percentile(F.col("retention_pct"), HEATMAP_QUANTILE).alias("_q"))
     cap = cap.select(F.least(F.greatest(F.col("_q"), F.lit(HEATMAP_MIN)), F.lit(HEATMAP_MAX)).alias("heatmap_max"))
     label = F.concat(F.date_format("cohort_month", "yyyy-MM"), F.lit(" (n="), F.format_number(F.col("cohort_size"), 0), F.lit(")"))

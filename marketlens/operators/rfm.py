@@ -42,7 +42,7 @@ def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, bucke
         F.min("purchase_date").alias("first_completed_order_date"),
         F.max("purchase_date").alias("last_completed_order_date"),
         F.count(F.lit(1)).alias("completed_order_count"),
-        money(F.sum("payment_value_total"), 16).alias("completed_payment_value"),
+        money(F.sum("payment_value_total"), 24).alias("completed_payment_value"),
         avg_round("payment_value_total").alias("average_completed_order_payment"),
     )
     # One-row reference date: a broadcast of a single row is bounded by construction.
@@ -79,7 +79,7 @@ def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, bucke
         "last_completed_order_date",
         "recency_days",
         F.coalesce("completed_order_count", zero).alias("completed_order_count"),
-        money(F.coalesce("completed_payment_value", zero), 16).alias("monetary_value"),
+        money(F.coalesce("completed_payment_value", zero), 24).alias("monetary_value"),
         "average_completed_order_payment",
         F.coalesce("recency_score", zero).alias("recency_score"),
         F.coalesce("frequency_score", zero).alias("frequency_score"),
@@ -97,7 +97,7 @@ def segment_summary(rfm: DataFrame) -> DataFrame:
     g = rfm.groupBy("customer_segment").agg(
         F.count(F.lit(1)).alias("customer_count"),
         F.sum("completed_order_count").alias("completed_order_count"),
-        money(F.sum("monetary_value"), 16).alias("monetary_value"),
+        money(F.sum("monetary_value"), 24).alias("monetary_value"),
         avg_round("recency_days").alias("average_recency_days"),
         avg_round("completed_order_count").alias("average_completed_orders"),
         avg_round("monetary_value").alias("average_customer_value"),
@@ -129,7 +129,7 @@ def customer_kpis(rfm: DataFrame) -> DataFrame:
         repeat_done.alias("completed_repeat_customer_count"),
         pct(repeat_done, buyers).alias("completed_repeat_customer_rate_pct"),
         F.sum("completed_order_count").alias("completed_order_count"),
-        money(F.sum("monetary_value"), 16).alias("completed_payment_value"),
+        money(F.sum("monetary_value"), 24).alias("completed_payment_value"),
         ratio(F.sum("monetary_value"), F.sum("completed_order_count")).alias("average_completed_order_value"),
         ratio(F.sum("monetary_value"), buyers).alias("average_completed_customer_value"),
         ratio(F.sum("completed_order_count"), buyers).alias("average_completed_orders_per_customer"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.exprs import avg_money, avg_round, is_completed, money, money_sum, pct, ratio, round_money
+from marketlens.functions.exprs import avg_money, avg_round, distinct_counts, is_completed, money, money_sum, pct, ratio, round_money
 from marketlens.operators.customers import _month_calendar, growth_pct
 from marketlens.operators.ranking import rank_globally
 
@@ -72,40 +72,38 @@ def monthly_sales(order_summary: DataFrame) -> DataFrame:
 
 
 def completed_items(order_items: DataFrame, order_summary: DataFrame, products: DataFrame) -> DataFrame:
-    """Items of completed orders with customer, date and English category."""
+    """Items of completed orders with customer, date and English category: what the category, product and
+    seller reports need of an item. Land it once and hand it to them."""
     done = completed_orders(order_summary).select("order_id", "customer_unique_id", "purchase_date")
     p = products.select("product_id", "product_category_name_english")
     return (
         order_items.join(done, "order_id", "inner")
         .join(p, "product_id", "left")
-        .withColumn("category", F.coalesce("product_category_name_english", F.lit(UNKNOWN)))
-    )
-
+        .select(
+            "order_id", "product_id", "seller_id", "customer_unique_id", "purchase_date", "price", "freight_value",
+            F.coalesce("product_category_name_english", F.lit(UNKNOWN)).alias("category"),
+        )
+    )
 
-def _total(df: DataFrame, c: str, out: str) -> DataFrame:
-    """One-row grand total, for SUM(x) OVER () shares (broadcast of one row)."""
-    return F.broadcast(df.agg(F.sum(c).alias(out)))
 
+def category_performance(items: DataFrame, **kw) -> DataFrame:
+    """One row per English category with revenue share and dense revenue rank.
 
-def category_performance(order_items: DataFrame, order_summary: DataFrame, products: DataFrame, **kw) -> DataFrame:
-    """One row per English category with revenue share and dense revenue rank."""
-    it = completed_items(order_items, order_summary, products)
-    g = it.groupBy(F.col("category").alias("product_category_name_english")).agg(
-        F.count_distinct("order_id").alias("order_count"),
+    ``items``: the landed ``completed_items``."""
+    sums = items.groupBy("category").agg(
         F.count(F.lit(1)).alias("item_count"),
-        F.count_distinct("product_id").alias("product_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
-        F.count_distinct("customer_unique_id").alias("customer_count"),
         money_sum("price").alias("item_price_total"),
         money_sum("freight_value").alias("freight_total"),
         money_sum(F.col("price") + F.col("freight_value")).alias("item_and_freight_total"),
         avg_money("price").alias("average_item_price"),
     )
-    g = g.crossJoin(_total(g, "item_price_total", "_tot"))
+    distinct = {"order_count": "order_id", "product_count": "product_id", "seller_count": "seller_id", "customer_count": "customer_unique_id"}
+    g = sums.join(distinct_counts(items, ["category"], distinct), "category").withColumnRenamed("category", "product_category_name_english")
     g = rank_globally(
         g,
         [("item_price_total", True), ("product_category_name_english", False)],
         dense_rank=("item_revenue_rank", ["item_price_total"]),
+        total_sum=("item_price_total", "_tot"),
         **kw,
     )
     return g.select(
@@ -146,14 +144,13 @@ PRODUCT_COLUMNS = [
 ]
 
 
-def product_ranked(order_items: DataFrame, order_summary: DataFrame, products: DataFrame, **kw) -> DataFrame:
-    """V21 plus product_position / total_product_count (used by V23)."""
-    it = completed_items(order_items, order_summary, products)
-    g = it.groupBy("product_id", F.col("category").alias("product_category_name_english")).agg(
-        F.count_distinct("order_id").alias("order_count"),
+def product_ranked(items: DataFrame, **kw) -> DataFrame:
+    """V21 plus product_position / total_product_count (used by V23).
+
+    ``items``: the landed ``completed_items``."""
+    key = ["product_id", "category"]
+    sums = items.groupBy(*key).agg(
         F.count(F.lit(1)).alias("item_count"),
-        F.count_distinct("customer_unique_id").alias("customer_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
         money_sum("price").alias("item_price_total"),
         money_sum("freight_value").alias("freight_total"),
         avg_money("price").alias("average_item_price"),
@@ -162,7 +159,8 @@ def product_ranked(order_items: DataFrame, order_summary: DataFrame, products: D
         F.min("purchase_date").alias("first_purchase_date"),
         F.max("purchase_date").alias("last_purchase_date"),
     )
-    g = g.crossJoin(_total(g, "item_price_total", "_tot"))
+    distinct = {"order_count": "order_id", "customer_count": "customer_unique_id", "seller_count": "seller_id"}
+    g = sums.join(distinct_counts(items, key, distinct), key).withColumnRenamed("category", "product_category_name_english")
     # Dense rank, running sum, row number and count in one distributed ranking.
     g = rank_globally(
         g,
@@ -171,6 +169,7 @@ def product_ranked(order_items: DataFrame, order_summary: DataFrame, products: D
         dense_rank=("item_revenue_rank", ["item_price_total"]),
         running_sum=("item_price_total", "_cum"),
         total_count="total_product_count",
+        total_sum=("item_price_total", "_tot"),
         **kw,
     )
     return g.withColumns(
@@ -181,9 +180,9 @@ def product_ranked(order_items: DataFrame, order_summary: DataFrame, products: D
     )
 
 
-def product_performance(order_items: DataFrame, order_summary: DataFrame, products: DataFrame, **kw) -> DataFrame:
+def product_performance(items: DataFrame, **kw) -> DataFrame:
     """One row per product with dense rank, share and cumulative share."""
-    return product_ranked(order_items, order_summary, products, **kw).select(*PRODUCT_COLUMNS)
+    return product_ranked(items, **kw).select(*PRODUCT_COLUMNS)
 
 
 def top_products(product_perf: DataFrame, k: int = 20) -> DataFrame:
@@ -191,6 +190,15 @@ def top_products(product_perf: DataFrame, k: int = 20) -> DataFrame:
     return product_perf.orderBy(F.desc("item_price_total"), F.asc("product_id")).limit(k)
 
 
+def preview_products(product_perf: DataFrame, k: int = 10) -> DataFrame:
+    """O2: the k products with the largest revenue, short columns."""
+    columns = [
+        "product_id", "product_category_name_english", "order_count", "item_count", "item_price_total", "item_revenue_share_pct",
+        "cumulative_item_revenue_pct", "item_revenue_rank",
+    ]
+    return top_products(product_perf, k).select(*columns)
+
+
 def revenue_concentration(ranked: DataFrame, thresholds: list[int] | None = None) -> DataFrame:
     """Fewest top products whose *rounded* cumulative share reaches each threshold.
 

@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.operators import cleaning, model
+from marketlens.operators import cleaning, model, quality, sales
 from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources import testdata
 
@@ -35,10 +35,30 @@ class Marketplace:
         self.sf_dir = sf_dir
         self._persist = persist
         self._land_layers = land
-        self._run = uuid.uuid4().hex[:12]
-
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self._persist else df
+        self._folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketlens-{uuid.uuid4().hex[:12]}"
+        self._kept: list[DataFrame] = []
+        #: Report frames built over this data root (see ``registry.Views``).
+        self.memo: dict[str, DataFrame] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Persist a frame until ``close``."""
+        if not self._persist:
+            return df
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return df
+
+    def close(self) -> None:
+        """Unpersist what was kept and delete the landed layers; frames of this object can't be read after."""
+        for df in self._kept:
+            df.unpersist()
+        self._kept.clear()
+        self.memo.clear()
+        for name in ("raw", "clean", "models", "completed_items"):
+            self.__dict__.pop(name, None)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(conf).delete(path, True)
+        _CACHE.pop(_cache_key(self.spark, self.sf_dir), None)
 
     def _land(self, layer: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
         """Write a layer as parquet in the shared checkpoint folder and read it back.
@@ -49,7 +69,7 @@ class Marketplace:
         """
         if not self._land_layers:
             return frames
-        base = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/marketlens-{self._run}/{layer}"
+        base = f"{self._folder}/{layer}"
 
         def write(item: tuple[str, DataFrame]) -> str:
             name, df = item
@@ -68,7 +88,11 @@ class Marketplace:
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
-        return self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS))
+        """The clean layer; landing it raises if one of the cleaning job's final invariants fails."""
+        clean = self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS))
+        if self._land_layers:
+            quality.assert_clean(self.raw, clean, known=testdata.KNOWN_FAILURES)
+        return clean
 
     def table(self, name: str) -> DataFrame:
         return self.clean[name]
@@ -83,9 +107,15 @@ class Marketplace:
             "order_item_detail": model.order_item_detail(c["order_items"], c["orders"], c["customers"], c["products"], c["sellers"]),
         }
         if not self._land_layers:
-            return {k: self._keep(v) for k, v in frames.items()}
+            return {k: self.keep(v) for k, v in frames.items()}
         return self._land("model", frames)
 
+    @cached_property
+    def completed_items(self) -> DataFrame:
+        """Items of completed orders, landed once: the category, product and seller reports scan it."""
+        frame = sales.completed_items(self.clean["order_items"], self.order_summary, self.clean["products"])
+        return self._land("items", {"completed_items": frame})["completed_items"]
+
     @property
     def order_summary(self) -> DataFrame:
         return self.models["order_summary"]
@@ -95,11 +125,16 @@ class Marketplace:
         return self.models["order_item_detail"]
 
 
-_CACHE: dict[tuple[int, str], Marketplace] = {}
+_CACHE: dict[tuple[str, str], Marketplace] = {}
+
+
+def _cache_key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    return spark.sparkContext.applicationId, sf_dir
 
 
 def marketplace(spark: SparkSession, sf_dir: str) -> Marketplace:
-    key = (id(spark), sf_dir)
+    """The one Marketplace of an application and data root; ``close`` it to read a rewritten folder again."""
+    key = _cache_key(spark, sf_dir)
     m = _CACHE.get(key)
     if m is None:
         m = _CACHE[key] = Marketplace(spark, sf_dir)

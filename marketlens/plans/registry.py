@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.exprs import finish
 from marketlens.operators import cleaning, customers, model, operations, quality, reports, rfm, sales, validation
 from marketlens.sources import io
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS, Marketplace, marketplace
+from marketlens.sources.testdata import HIGH_VALUE_RANK
 
 
 class Views:
@@ -23,7 +23,7 @@ class Views:
 
     def __init__(self, m: Marketplace):
         self.m = m
-        self._memo: dict[str, DataFrame] = {}
+        self._memo = m.memo
 
     # Views read by several reports are kept (MEMORY_AND_DISK) once built.
     SHARED = {"cs", "act", "sop", "ms", "ret"}
@@ -32,7 +32,7 @@ class Views:
         if key not in self._memo:
             df = build()
             if key in self.SHARED:
-                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+                df = self.m.keep(df)
             self._memo[key] = df
         return self._memo[key]
 
@@ -69,10 +69,10 @@ class Views:
         return self._get("ms", lambda: sales.monthly_sales(self.os))
 
     def categories(self):
-        return self._get("cat", lambda: sales.category_performance(self.t("order_items"), self.os, self.t("products")))
+        return self._get("cat", lambda: sales.category_performance(self.m.completed_items))
 
     def products_ranked(self):
-        return self._get("prk", lambda: sales.product_ranked(self.t("order_items"), self.os, self.t("products")))
+        return self._get("prk", lambda: sales.product_ranked(self.m.completed_items))
 
     def products(self):
         return self._get("pp", lambda: self.products_ranked().select(*sales.PRODUCT_COLUMNS))
@@ -81,7 +81,7 @@ class Views:
         return self._get("sop", lambda: operations.seller_order_performance(self.oid, self.os))
 
     def sellers(self):
-        return self._get("sp", lambda: operations.seller_performance(self.seller_orders(), self.oid, self.os))
+        return self._get("sp", lambda: operations.seller_performance(self.seller_orders(), self.m.completed_items))
 
     def monthly_delivery(self):
         return self._get("mdp", lambda: operations.monthly_delivery(self.monthly_sales(), self.os))
@@ -96,18 +96,11 @@ class Views:
         return self._get("dri", lambda: operations.delivery_review_impact(self.os))
 
     def risk(self):
-        return self._get("risk", lambda: operations.seller_risk(self.sellers()))
-
-
-_VIEWS: dict[int, Views] = {}
+        return self._get("risk", lambda: operations.seller_risk(self.sellers(), HIGH_VALUE_RANK))
 
 
 def views(spark: SparkSession, sf_dir: str) -> Views:
-    m = marketplace(spark, sf_dir)
-    v = _VIEWS.get(id(m))
-    if v is None:
-        v = _VIEWS[id(m)] = Views(m)
-    return v
+    return Views(marketplace(spark, sf_dir))
 
 
 def _q(fn: Callable[[Views], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -190,7 +183,7 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda v: cleaning.category_report(_std(v)["products"], _std(v)["category_translation"], TEST_MANUAL_TRANSLATIONS)
     ),
     "untranslated_categories": _q(lambda v: cleaning.untranslated_categories(_std(v)["products"], _std(v)["category_translation"])),
-    "clean_geolocation": _q(lambda v: cleaning.geolocation_report(_std(v)["geolocation"])),
+    "clean_geolocation": _q(lambda v: cleaning.geolocation_report(v.m.raw["geolocation"], v.t("geolocation"))),
     "zip_coverage": _q(lambda v: cleaning.zip_coverage(v.t("customers"), v.t("sellers"), v.t("geolocation"))),
     "order_timestamp_checks": _q(lambda v: cleaning.order_timestamp_checks(v.t("orders"))),
     "order_flags": _q(
@@ -228,11 +221,25 @@ REPORT_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_summary_frame": _q(lambda v: reports.risk_summary_frame(v.risk())),
 }
 
-ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ANALYTIC_QUERIES, **QUALITY_QUERIES, **REPORT_QUERIES}
+LIST_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "preview_products": _q(lambda v: sales.preview_products(v.products())),
+    "top_sellers": _q(lambda v: operations.top_sellers(v.sellers())),
+    "recent_delivery": _q(lambda v: operations.recent_delivery(v.monthly_delivery())),
+    "states_by_late_rate": _q(lambda v: operations.states_by_late_rate(v.state_delivery())),
+    "customer_profile": _q(lambda v: customers.customer_profile(v.customer_summary())),
+    "monthly_profile": _q(lambda v: customers.monthly_profile(v.monthly_metrics())),
+    "recent_activity": _q(lambda v: customers.recent_activity(v.monthly_metrics())),
+    "top_activity_months": _q(lambda v: customers.top_activity_months(customers.monthly_customer_growth(v.monthly_metrics()))),
+    "cohort_drill_down": _q(lambda v: customers.cohort_drill_down(v.retention())),
+    "database_check_totals": _q(lambda v: quality.check_totals(validation.database_validation(v.m.clean, v.m.raw, len(TEST_MANUAL_TRANSLATIONS)))),
+}
+
+ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ANALYTIC_QUERIES, **QUALITY_QUERIES, **REPORT_QUERIES, **LIST_QUERIES}
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> list[str]:
-    """Expose every query as a named temp view for SQL users (lazy, nothing runs)."""
+    """Expose every query as a named temp view for SQL users. Reports run when the view is read; the landed
+    layers and the global rankings below them are made once, when the view is registered."""
     out = []
     for name in names or list(ALL_QUERIES):
         ALL_QUERIES[name](spark, sf_dir).createOrReplaceTempView(f"v_{name}")
