@@ -44,3 +44,45 @@ def test_file_inventory_and_row_counts(spark, tmp_path):
     assert inv[0]["file_name"] == "a.csv"
     counts = io.table_row_counts({"t": spark.range(3)}).collect()
     assert counts[0]["row_count"] == 3
+
+
+def test_clean_csv_round_trip_and_fail_fast(spark, tmp_path):
+    import pytest
+
+    from marketlens.plans.catalog import marketplace
+    from conftest import SF_SMALL
+
+    clean = marketplace(spark, SF_SMALL).clean
+    tables = {t: clean[t] for t in ("payments", "reviews", "orders", "products")}
+    io.write_layer(tables, str(tmp_path / "layer"), fmt="csv")
+    back = io.read_clean_csv(spark, {t: str(tmp_path / "layer" / t) for t in tables})
+    for t, df in tables.items():
+        assert back[t].schema.simpleString() == df.schema.simpleString()
+        assert back[t].exceptAll(df).isEmpty() and df.exceptAll(back[t]).isEmpty(), t
+    bad = tmp_path / "bad.csv"
+    bad.write_text("order_id,payment_sequential,payment_type,payment_installments,payment_value\no1,x,boleto,1,2.00\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        io.read_clean_csv(spark, {"payments": str(bad)})["payments"].collect()
+
+
+def test_parquet_layer_round_trip(spark, tmp_path):
+    frames = {"t": spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")}
+    io.write_layer(frames, str(tmp_path / "p"))
+    assert sorted(tuple(r) for r in io.read_layer(spark, str(tmp_path / "p"), ["t"])["t"].collect()) == [(1, "a"), (2, None)]
+
+
+def test_report_catalogue(spark, tmp_path):
+    from marketlens.plans.registry import ALL_QUERIES
+    from conftest import SF_SMALL
+
+    assert len(io.REPORTS) == 23 and all(r.query in ALL_QUERIES for r in io.REPORTS.values())
+    frames = {q: ALL_QUERIES[q](spark, SF_SMALL) for q in ("monthly_sales", "seller_performance", "sales_kpis")}
+    assert sorted(io.export_reports(frames, str(tmp_path))) == ["monthly_sales_metrics", "overall_sales_kpis", "seller_performance"]
+    months = [r[0] for r in spark.read.option("header", True).csv(str(tmp_path / "monthly_sales_metrics")).select("sales_month").collect()]
+    assert months == sorted(months) and len(months) > 3
+    # part files in name order are the report's order
+    values = []
+    for f in sorted((tmp_path / "seller_performance").glob("part-*")):
+        head, *lines = f.read_text().splitlines()
+        values += [float(x.split(",")[head.split(",").index("item_price_total")]) for x in lines]
+    assert values == sorted(values, reverse=True)
