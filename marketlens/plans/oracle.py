@@ -1,18 +1,19 @@
 """``oracle_sql()`` texts: DuckDB SQL over the driver's parquet views.
 
-Each text is one ``WITH ... SELECT``: adapter + cleaning + model CTEs
-(:mod:`sqlbase`), the analytic view CTEs (:mod:`sqlviews`) and a final
-projection that turns exact DECIMAL results into DOUBLE, like ``finish``.
+Each text is one ``WITH ... SELECT``: adapter and cleaning CTEs
+(:mod:`sqlbase`), the models (:mod:`sqlmodel`), the report CTEs
+(:mod:`sqlviews`) and a final projection that turns exact DECIMAL results into
+DOUBLE, like ``finish``.
 """
 
 from __future__ import annotations
 
 import re
 
-from marketlens.operators.operations import HIGH_VALUE_RANK
-from marketlens.plans import sqlbase, sqlquality, sqlviews
+from marketlens.plans import sqlbase, sqlmodel, sqlquality, sqlviews
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS
-from marketlens.plans.decimal_columns import OUTPUT_TYPES
+from marketlens.plans.output_types import OUTPUT_TYPES
+from marketlens.sources.testdata import HIGH_VALUE_RANK
 
 # Spark result type -> DuckDB type of the oracle's final projection.
 DUCK_TYPES = {
@@ -36,7 +37,7 @@ BODIES: dict[str, str] = {
     "cohort_retention": "SELECT * FROM v_customer_cohort_retention",
     "cohort_matrix_12m": "SELECT * FROM v_cohort_retention_matrix_12m",
     "cohort_benchmark": "SELECT * FROM v_cohort_retention_benchmark",
-    "customer_rfm": "SELECT * FROM v_customer_rfm",
+    "customer_rfm": "SELECT * FROM c_rfm_coded",
     "segment_summary": "SELECT * FROM v_customer_segment_summary",
     "customer_kpis": "SELECT * FROM v_customer_kpi_summary",
     "monthly_customer_growth": "SELECT * FROM v_monthly_customer_growth",
@@ -82,6 +83,30 @@ BODIES.update(
         "customer_validation": "SELECT * FROM v_customer_analytics_validation",
     }
 )
+def _list(source: str, order: str, limit: int = 0, where: str = "") -> str:
+    return f"SELECT * FROM {source}{f' WHERE {where}' if where else ''} ORDER BY {order}{f' LIMIT {limit}' if limit else ''}"
+
+
+BODIES.update(
+    {
+        "preview_products": _list("v_product_performance", "item_price_total DESC, product_id", 10),
+        "top_sellers": _list("v_seller_performance", "item_price_total DESC, seller_id", 10),
+        "recent_delivery": _list("v_monthly_delivery_performance", "purchase_month DESC", 12),
+        "states_by_late_rate": _list("v_state_delivery_performance", "late_delivery_rate_pct DESC", where="completed_order_count >= 100"),
+        "recent_activity": _list("v_monthly_customer_metrics", "activity_month DESC", 10),
+        "top_activity_months": _list("v_monthly_customer_growth", "active_customer_count DESC, activity_month", 5),
+        "cohort_drill_down": _list("v_customer_cohort_retention", "age", 13, "cohort_month = DATE '2017-01-01'"),
+        "customer_profile": (
+            "SELECT count(*) AS customer_count, count(DISTINCT customer_unique_id) AS unique_customer_count, sum(order_count) AS reconstructed_order_count, "
+            "count(*) FILTER (WHERE order_count > 1) AS repeat_customer_count, count(*) FILTER (WHERE order_count = 1) AS one_time_customer_count FROM v_customer_summary"
+        ),
+        "monthly_profile": (
+            "SELECT count(*) AS month_count, min(activity_month) AS first_activity_month, max(activity_month) AS last_activity_month, "
+            "sum(new_customer_count) AS reconstructed_customer_count, sum(order_count) AS reconstructed_order_count FROM v_monthly_customer_metrics"
+        ),
+        "database_check_totals": "SELECT status, count(*) AS check_count FROM v_database_validation GROUP BY status",
+    }
+)
 BODIES.update(sqlquality.bodies(len(TEST_MANUAL_TRANSLATIONS)))
 
 
@@ -90,10 +115,8 @@ def _ctes() -> list[tuple[str, str]]:
     chunks = [
         sqlbase.RAW,
         sqlbase.clean_ctes(TEST_MANUAL_TRANSLATIONS),
-        sqlbase.MODEL,
-        *sqlviews.VIEWS.values(),
-        sqlviews.seller_risk_sql(HIGH_VALUE_RANK),
-        sqlviews.database_validation_sql(len(TEST_MANUAL_TRANSLATIONS)),
+        sqlmodel.model_ctes(),
+        *sqlviews.view_ctes(HIGH_VALUE_RANK, len(TEST_MANUAL_TRANSLATIONS)),
         sqlquality.STD,
     ]
     out = []

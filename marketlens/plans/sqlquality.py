@@ -29,16 +29,12 @@ from marketlens.operators.reports import (
     RISK_SEGMENT_ORDER,
     TREND_START,
 )
-from marketlens.plans.sqlbase import _strip, _zip
+from marketlens.plans.sqlbase import _strip, _ts, _whole, _zip
 from marketlens.sources.schemas import CLEAN_COLUMNS, RAW_COLUMNS
 
 U = "\nUNION ALL\n"
 
 
-def _ts(c: str) -> str:
-    return f"TRY_CAST({c} AS TIMESTAMP)"
-
-
 def clean_dates() -> str:
     parts = []
     for t, cols in DATE_COLUMNS.items():
@@ -58,7 +54,7 @@ def clean_zip() -> str:
         z = _zip(c)
         parts.append(
             f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {z} IS NULL) AS missing_values, "
-            f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND TRY_CAST(CAST({c} AS VARCHAR) AS BIGINT) IS NULL) AS invalid_parse_values, "
+            f"COUNT(*) FILTER (WHERE {c} IS NOT NULL AND {_whole(c)} IS NULL) AS invalid_parse_values, "
             f"COUNT(*) FILTER (WHERE {z} IS NOT NULL AND length({z}) <> 5) AS invalid_length_values FROM raw_{t}"
         )
     return U.join(parts)
@@ -121,14 +117,13 @@ UNTRANSLATED = (
 
 
 def clean_geolocation() -> str:
-    valid = "geolocation_lat BETWEEN -90 AND 90 AND geolocation_lng BETWEEN -180 AND 180"
+    outside = "NOT coalesce(abs(geolocation_lat) <= 90 AND abs(geolocation_lng) <= 180, FALSE)"
     metrics = [
-        ("rows_before_cleaning", "SELECT COUNT(*) FROM cl_geo_std"),
-        ("exact_duplicate_rows", "SELECT (SELECT COUNT(*) FROM cl_geo_std) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM cl_geo_std))"),
-        ("rows_after_deduplication", "SELECT COUNT(*) FROM (SELECT DISTINCT * FROM cl_geo_std)"),
-        ("invalid_coordinate_rows", f"SELECT COUNT(*) FROM (SELECT DISTINCT * FROM cl_geo_std) WHERE NOT ({valid})"),
-        ("unique_zip_codes_before_aggregation", "SELECT COUNT(DISTINCT geolocation_zip_code_prefix) FROM cl_geo_valid"),
-        ("rows_after_aggregation", "SELECT COUNT(*) FROM cl_geolocation"),
+        ("raw_rows", "SELECT COUNT(*) FROM raw_geolocation"),
+        ("exact_duplicate_rows", "SELECT COUNT(*) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM raw_geolocation)) FROM raw_geolocation"),
+        ("invalid_coordinate_rows", f"SELECT COUNT(*) FROM raw_geolocation WHERE {outside}"),
+        ("unique_zip_codes_before", "SELECT COUNT(DISTINCT geolocation_zip_code_prefix) FROM raw_geolocation"),
+        ("clean_rows", "SELECT COUNT(*) FROM cl_geolocation"),
         ("duplicate_zip_codes_after", "SELECT COUNT(*) - COUNT(DISTINCT geolocation_zip_code_prefix) FROM cl_geolocation"),
     ]
     return U.join(f"SELECT '{m}' AS metric, CAST(({q}) AS BIGINT) AS value" for m, q in metrics)
@@ -137,12 +132,12 @@ def clean_geolocation() -> str:
 def zip_coverage() -> str:
     parts = []
     for t, c in (("customers", "customer_zip_code_prefix"), ("sellers", "seller_zip_code_prefix")):
+        known = f"{c} IN (SELECT geolocation_zip_code_prefix FROM cl_geolocation)"
+        missed = f"COUNT(*) FILTER (WHERE NOT {known})"
         parts.append(
-            f"SELECT '{t}' AS table_name, rows AS rows_with_zip, um AS unmatched_rows, umu AS unmatched_unique_zip_codes, "
-            f"{pct('rows - um', 'rows')} AS coverage_pct FROM ("
-            f"SELECT (SELECT COUNT(*) FROM cl_{t} WHERE {c} IS NOT NULL) AS rows, "
-            f"COUNT(*) AS um, COUNT(DISTINCT {c}) AS umu FROM cl_{t} x WHERE {c} IS NOT NULL AND NOT EXISTS "
-            f"(SELECT 1 FROM cl_geolocation g WHERE g.geolocation_zip_code_prefix = x.{c}))"
+            f"SELECT '{t}' AS table_name, '{c}' AS zip_column, COUNT(*) AS total_rows, {missed} AS unmatched_rows, "
+            f"COUNT(DISTINCT {c}) FILTER (WHERE NOT {known}) AS unmatched_unique_zip_codes, "
+            f"{pct(f'COUNT({c}) - {missed}', f'COUNT({c})')} AS coverage_pct FROM cl_{t}"
         )
     return U.join(parts)
 
@@ -406,7 +401,7 @@ __all__ = ["bodies", "STD", "avg"]
 
 def final_assertions() -> str:
     pf = " + ".join(
-        f"(SELECT COUNT(*) FROM raw_{t} WHERE " + " OR ".join(f"({c} IS NOT NULL AND TRY_CAST({c} AS TIMESTAMP) IS NULL)" for c in cols) + ")"
+        f"(SELECT COUNT(*) FROM raw_{t} WHERE " + " OR ".join(f"({c} IS NOT NULL AND {_ts(c)} IS NULL)" for c in cols) + ")"
         for t, cols in DATE_COLUMNS.items()
     )
     rows = [

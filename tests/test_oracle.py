@@ -7,10 +7,12 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from marketlens.plans.oracle import oracle_queries
+from marketlens.plans.registry import ALL_QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = ALL_QUERIES
+ORACLE = oracle_queries()
 
 
 def _norm(v):
@@ -32,7 +34,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) <= set(ORACLE) | set(getattr(E, "SPARK_ONLY", ()))
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
