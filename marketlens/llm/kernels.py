@@ -27,6 +27,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of disjoint, ascending, non-empty byte ranges."""
+    lengths = ends - starts
+    if not len(lengths):
+        return np.empty(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(first, lengths)
+    body = data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+    body *= powers(int(lengths.max()))[place]
+    return mix(np.add.reduceat(body, first))
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased words of packed rows, and each word's row. Words never cross rows."""
     low = LOWER[data]
@@ -39,9 +51,4 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     follows[offsets[:-1]] = False
     starts = np.flatnonzero(inside & ~follows[:-1])
     ends = np.flatnonzero(inside & ~follows[1:]) + 1
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    body = low[inside].astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(body)) - np.repeat(first, lengths)
-    body *= powers(int(lengths.max()))[place]
-    return mix(np.add.reduceat(body, first)), np.searchsorted(offsets, starts, side="right") - 1
+    return range_hashes(low, starts, ends), np.searchsorted(offsets, starts, side="right") - 1

@@ -33,46 +33,131 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import land, shared_files, shared_folder, text_chunks
+from marketlens.llm.common import land, packed_text, shared_files, shared_folder, text_chunks
+from marketlens.llm.kernels import LOWER, range_hashes
 
 MAGIC = b"MLTOK01\n"
 _ROW = np.dtype([("offset", "<u8"), ("length", "<u4"), ("n", "<u4"), ("id", "<u8")])
 _FOOTER = "<QQQ8s"
 #: Bounds of what trains the dictionary (never of what is written): documents with the smallest hashes, and the bytes of their ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 8 << 20, 64 << 10
-#: Distinct white-space separated pieces whose ids a worker remembers.
-CACHED_PIECES = 300_000
+#: Distinct segments whose ids a worker remembers.
+REMEMBERED = 1_000_000
+
+
+def _classes() -> np.ndarray:
+    """0 ASCII white space, 1 ASCII letter, 2 other printable ASCII but ' and <, 3 all else."""
+    c = np.full(256, 3, np.uint8)
+    c[0x21:0x7F] = 2
+    c[[0x27, 0x3C]] = 3
+    c[0x41:0x5B] = c[0x61:0x7B] = 1
+    c[[0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20]] = 0
+    return c
+
+
+_CLASS = _classes()
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cut packed rows to segments that are encoded on their own: (bytes, starts, ends, rows, is a run of letters).
+
+    A white-space separated piece of ASCII (no ' or <) and Latin-1 letters is cut to its runs of letters and of other
+    characters, A-Z lower-cased; any other piece is one segment as it stands.
+    """
+    kind = _CLASS[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.empty(0, np.int64)
+    after = data[lead + 1] if len(lead) else data[:0]
+    lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]  # U+00C0 to U+00FF but the signs
+    kind[lead] = kind[lead + 1] = 1
+    text = kind > 0
+    new = np.empty(len(data) + 1, bool)  # byte i begins a piece, or no piece goes on to it
+    new[0] = new[-1] = True
+    np.logical_not(text[1:] & text[:-1], out=new[1:-1])
+    new[offsets] = True
+    first = np.flatnonzero(new[:-1] & text)
+    if not len(first):
+        none = np.empty(0, np.int64)
+        return data, none, none, none, np.empty(0, bool)
+    odd = np.flatnonzero(np.add.reduceat(kind == 3, first, dtype=np.int64))  # a reduceat slice's white space is not odd
+    piece = np.cumsum(new[:-1] & text) - 1
+    plain = np.ones(len(first), bool)
+    plain[odd] = False
+    inside = plain[np.maximum(piece, 0)]
+    cut = new.copy()
+    cut[1:-1] |= (kind[1:] != kind[:-1]) & inside[1:]
+    starts = np.flatnonzero(cut[:-1] & text)
+    ends = np.flatnonzero(cut[1:] & text) + 1
+    body = np.where(inside, LOWER[data], data)
+    return body, starts, ends, np.searchsorted(offsets, starts, side="right") - 1, (kind[starts] == 1) & inside[starts]
 
 
 class Encoder:
     """Ids of texts by a tokenizers file, as little-endian u32 bytes.
 
-    ``by_pieces``: the file's pre-tokenizer drops white space and joins nothing across it, so the ids of a text
-    are those of its white-space separated pieces, which are remembered. Other files: text by text.
+    ``by_pieces``: the file's normalizer lower-cases, and its pre-tokenizer drops white space, joins nothing across it,
+    and cuts between runs of letters and of other characters (an apostrophe aside). Then the ids of a text are those
+    of its ``segments``. The distinct ones of a batch are looked up among those a worker remembers; runs of letters
+    that are new are encoded many at a time, as each ends with a token that ends a word. Other files: text by text.
     """
 
     def __init__(self, path: str, by_pieces: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_pieces, self.known = Tokenizer.from_file(path), by_pieces, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        self.tokenizer, self.by_pieces = Tokenizer.from_file(path), by_pieces
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.first, self.count = np.empty(0, np.int64), np.empty(0, np.int64)  # of each slot, in ids
+        self.ids = np.empty(0, "<u4")
+
+    def _whole(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _letters(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of runs of letters, encoded as one text and cut after the tokens that end a word."""
+        (found,) = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        return np.split(ids, ends[:-1]) if len(ends) == len(words) else self._whole(words)
+
+    def _learn(self, words: list[bytes], letters: bool) -> None:
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            found = self._letters(some) if letters else self._whole(some)
+            self.slots.update(zip(some, range(len(self.slots), len(self.slots) + len(some)), strict=True))
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.ids = np.concatenate([self.ids, *found])
+
+    def encode(self, col: pa.Array) -> list[bytes]:
         if not self.by_pieces:
-            return self._ids([t.decode() for t in texts])
-        pieces = [t.split() for t in texts]
-        known = self.known
-        missing = list(set().union(*pieces) - known.keys())
-        if len(known) + len(missing) > CACHED_PIECES and known:
-            known.clear()
-            missing = list(set().union(*pieces))
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
-            known.update(zip(some, self._ids([p.decode() for p in some]), strict=True))
-        return [b"".join(map(known.__getitem__, p)) for p in pieces]
+            texts = [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
+            return [x.tobytes() for x in self._whole(texts)]
+        data, offsets = packed_text(col)
+        body, starts, ends, rows, letters = segments(data, offsets)
+        _, at, which = np.unique(range_hashes(body, starts, ends), return_index=True, return_inverse=True)
+        raw = body.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        new = [i for i, w in enumerate(words) if w not in self.slots]
+        if len(self.slots) + len(new) > REMEMBERED and self.slots:
+            self._forget()
+            new = list(range(len(words)))
+        runs = letters[at]
+        self._learn([words[i] for i in new if runs[i]], True)
+        self._learn([words[i] for i in new if not runs[i]], False)
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))[which]
+        n = self.count[slots]
+        upto = np.cumsum(n)
+        ids = self.ids[np.arange(n.sum()) + np.repeat(self.first[slots] - upto + n, n)].tobytes()
+        per_row = np.bincount(rows, weights=n, minlength=len(col)).astype(np.int64)
+        stop = np.cumsum(per_row) * 4
+        return [ids[a:b] for a, b in zip((stop - per_row * 4).tolist(), stop.tolist(), strict=True)]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -85,14 +170,6 @@ def encoder(path: str, by_pieces: bool) -> Encoder:
     return _encoders[path, by_pieces]
 
 
-def _texts(batch: pa.RecordBatch, column: str, rows: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of at most ``rows`` rows and about ``size`` text bytes."""
-    for part in text_chunks([batch], column, size):
-        for at in range(0, part.num_rows, rows):
-            some = part.slice(at, rows)
-            yield some, [x or b"" for x in some.column(column).cast(pa.large_binary()).to_pylist()]
-
-
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text_col: str, by_pieces: bool) -> bytes:
     """A dictionary from whole serialised id arrays of a bounded sample, trained in a task; too little to
     train on: an empty one. Only the dictionary comes to the driver."""
@@ -100,18 +177,20 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text_col: str
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, samples, size = encoder(tokenizer, by_pieces), [], 0
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for _, texts in _texts(batch, "text", 64, 1 << 20):
-                ids = [x + end for x in enc.encode(texts)] if size < SAMPLE_BYTES else []
-                samples += ids
-                size += sum(map(len, ids))
+        for part in text_chunks(batches, "text"):
+            ids = [x + end for x in enc.encode(part.column("text"))] if size < SAMPLE_BYTES else []
+            samples += ids
+            size += sum(map(len, ids))
         try:
             made = zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
         except (zstandard.ZstdError, ValueError):
             made = b""
         yield pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["d"])
 
-    sample = docs.select(F.col(text_col).alias("text")).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCS)
+    # the limit is on hashes alone; their texts are then one row each, so neither texts nor copies pile up
+    hashed = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    sample = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text")
     rows = sample.coalesce(1).mapInArrow(train, "d binary").collect()
     return max((r.d for r in rows), key=len, default=b"")
 
@@ -151,15 +230,14 @@ def write_tokens(
         index, ids, at, n_ids, id_at = [], io.BytesIO(), len(MAGIC) + len(digest), 0, 0
         with fs.open_output_stream(path) as out:
             out.write(MAGIC + digest)
-            for batch in _chain(first, batches):
-                for part, texts in _texts(batch, "text", 256, 1 << 20):
-                    for key, found in zip(part.column("id").to_pylist(), enc.encode(texts), strict=True):
-                        frame = zip_.compress(found + end)
-                        out.write(frame)
-                        n = len(found) // 4 + 1
-                        index.append((at, len(frame), n, id_at))
-                        at, n_ids = at + len(frame), n_ids + n
-                        id_at += ids.write(json.dumps(key, default=str).encode() + b"\n")
+            for part in text_chunks(_chain(first, batches), "text"):
+                for key, found in zip(part.column("id").to_pylist(), enc.encode(part.column("text")), strict=True):
+                    frame = zip_.compress(found + end)
+                    out.write(frame)
+                    n = len(found) // 4 + 1
+                    index.append((at, len(frame), n, id_at))
+                    at, n_ids = at + len(frame), n_ids + n
+                    id_at += ids.write(json.dumps(key, default=str).encode() + b"\n")
             rows = np.array(index, _ROW)
             rows["id"] += at + rows.nbytes
             out.write(rows.tobytes())
