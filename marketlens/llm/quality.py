@@ -84,42 +84,45 @@ def _group_key(level: Column) -> Column:
     return F.to_json(F.struct(level.alias("v"), F.when(level < 2, F.col("__lang")).alias("l"), F.when(level < 1, F.col("__source")).alias("s")))
 
 
+_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+_M = [f"m_{i}" for i in range(P)]
+_L = [f"l_{i}_{j}" for i, j in _PAIRS]
+_SUMS = ["n", *(f"s_{i}" for i in range(P)), *(f"q_{i}_{j}" for i, j in _PAIRS)]
+
+
 def _factor(params: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of scatter * CONSISTENCY + floors, and the log of its determinant, from
-    columns c_i_j; layered columns, so nothing is computed twice."""
-    for i in range(P):
-        for j in range(i + 1):
-            c = F.col(f"c_{i}_{j}") * CONSISTENCY + (FLOORS[DIMS[i]] ** 2 if i == j else 0.0)
-            for k in range(j):
-                c = c - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(c, F.lit(1e-9))) if i == j else c / F.col(f"l_{j}_{j}"))
-    return params.withColumn("logdet", sum((F.log(f"l_{i}_{i}") for i in range(P)), F.lit(0.0)))
+    """Adds the Cholesky factor l_i_j of scatter * CONSISTENCY + floors, and the log of its determinant, from columns c_i_j.
+    A column of the factor is one layer of the plan, its diagonal another, so nothing is computed twice."""
+
+    def rest(i: int, j: int) -> str:
+        floor = f" + {FLOORS[DIMS[i]] ** 2}D" if i == j else ""
+        return f"c_{i}_{j} * {CONSISTENCY}D{floor}" + "".join(f" - l_{i}_{k} * l_{j}_{k}" for k in range(j))
+
+    for j in range(P):
+        params = params.selectExpr("*", f"sqrt(greatest({rest(j, j)}, 1e-9D)) AS l_{j}_{j}")
+        if j < P - 1:
+            params = params.selectExpr("*", *(f"({rest(i, j)}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, P)))
+    return params.selectExpr("*", " + ".join(f"ln(l_{i}_{i})" for i in range(P)) + " AS logdet")
 
 
 def _with_distance(rows: DataFrame, values: str = "", params: str = "") -> DataFrame:
     """Adds ``__d2``: the squared Mahalanobis distance of the vector in the columns ``values`` + DIMS, by
     forward substitution with the columns ``params`` + m_i and l_i_j."""
     for i in range(P):
-        z = F.col(values + DIMS[i]) / SCALE - F.col(f"{params}m_{i}")
-        for k in range(i):
-            z = z - F.col(f"{params}l_{i}_{k}") * F.col(f"__z_{k}")
-        rows = rows.withColumn(f"__z_{i}", z / F.col(f"{params}l_{i}_{i}"))
-    return rows.withColumn("__d2", sum((F.col(f"__z_{i}") ** 2 for i in range(P)), F.lit(0.0))).drop(*(f"__z_{i}" for i in range(P)))
-
-
-_PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+        known = "".join(f" - {params}l_{i}_{k} * __z_{k}" for k in range(i))
+        rows = rows.selectExpr("*", f"({values}{DIMS[i]} / {SCALE}D - {params}m_{i}{known}) / {params}l_{i}_{i} AS __z_{i}")
+    return rows.selectExpr("*", " + ".join(f"__z_{i} * __z_{i}" for i in range(P)) + " AS __d2").drop(*(f"__z_{i}" for i in range(P)))
 
 
 def _moments() -> list[Column]:
-    w = F.col("w")
-    x = [F.col(c).cast("double") for c in DIMS]
-    return [F.sum(w).alias("n"), *(F.sum(w * x[i]).alias(f"s_{i}") for i in range(P)), *(F.sum(w * x[i] * x[j]).alias(f"q_{i}_{j}") for i, j in _PAIRS)]
+    sums = ["sum(w) AS n", *(f"sum(w * {DIMS[i]}) AS s_{i}" for i in range(P)), *(f"sum(w * {DIMS[i]} * {DIMS[j]}) AS q_{i}_{j}" for i, j in _PAIRS)]
+    return [F.expr(x) for x in sums]
 
 
 def _estimate(sums: DataFrame, *keep: str) -> DataFrame:
-    out = sums.select(*keep, "n", *((F.col(f"s_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in range(P)), *(F.col(f"q_{i}_{j}") for i, j in _PAIRS))
-    cov = [(F.col(f"q_{i}_{j}") / F.col("n") / SCALE**2 - F.col(f"m_{i}") * F.col(f"m_{j}")).alias(f"c_{i}_{j}") for i, j in _PAIRS]
-    return _factor(out.select(*keep, "n", *(f"m_{i}" for i in range(P)), *cov))
+    squares = [f"q_{i}_{j}" for i, j in _PAIRS]
+    out = sums.selectExpr(*keep, "n", *(f"s_{i} / n / {SCALE}D AS m_{i}" for i in range(P)), *squares)
+    return _factor(out.selectExpr(*keep, "n", *_M, *(f"q_{i}_{j} / n / {SCALE**2}D - m_{i} * m_{j} AS c_{i}_{j}" for i, j in _PAIRS)))
 
 
 def _starts(cells: DataFrame) -> DataFrame:
@@ -140,21 +143,18 @@ def _starts(cells: DataFrame) -> DataFrame:
     return _factor(first).withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1)))
 
 
-def mcd_estimates(cells: DataFrame, share: float = 0.75, steps: int = 5) -> DataFrame:
+def mcd_estimates(cells: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
     """Weighted vectors (gid, w, DIMS; landed) to one row a group: size ``total``, location m_i, factor l_i_j."""
-    params = land(_starts(cells), "mcd")
+    params = land(_starts(cells).select("gid", "start", *_M, *_L), "mcd")
+    by = "PARTITION BY gid, start"
     for _ in range(steps):
-        rows = _with_distance(cells.join(small_side(params.drop("n", "logdet", *(f"c_{i}_{j}" for i, j in _PAIRS))), "gid"))
-        binned = rows.withColumn("bin", F.floor(F.log2(F.col("__d2") + 1e-3) * 16)).groupBy("gid", "start", "bin").agg(*_moments())
-        by = Window.partitionBy("gid", "start")
-        sums = [c for c in binned.columns if c not in ("gid", "start", "bin")]
-        cum = binned.select("gid", "start", "bin", F.sum("n").over(by).alias("total"), *(F.sum(c).over(by.orderBy("bin")).alias(c) for c in sums))
-        enough = cum.filter(F.col("n") >= share * F.col("total"))
-        first = enough.withColumn("__rank", F.row_number().over(by.orderBy("bin"))).filter("__rank = 1")
+        rows = _with_distance(cells.join(small_side(params.select("gid", "start", *_M, *_L)), "gid"))
+        binned = rows.withColumn("bin", F.expr("floor(log2(__d2 + 1e-3D) * 16)")).groupBy("gid", "start", "bin").agg(*_moments())
+        cum = binned.selectExpr("gid", "start", "bin", f"sum(n) OVER ({by}) AS total", *(f"sum({c}) OVER ({by} ORDER BY bin) AS {c}" for c in _SUMS))
+        first = cum.filter(f"n >= {share}D * total").selectExpr("*", f"row_number() OVER ({by} ORDER BY bin) AS __rank").filter("__rank = 1")
         params = land(_estimate(first, "gid", "start", "total"), "mcd")
-    best = Window.partitionBy("gid").orderBy("logdet", "start")
-    keep = ["gid", "total", *(f"m_{i}" for i in range(P)), *(f"l_{i}_{j}" for i, j in _PAIRS)]
-    return params.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").select(*keep)
+    best = params.selectExpr("gid", "total", *_M, *_L, "row_number() OVER (PARTITION BY gid ORDER BY logdet, start) AS __rank")
+    return best.filter("__rank = 1").drop("__rank")
 
 
 def outlier_limits(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", min_group: int = 100) -> DataFrame:
@@ -169,8 +169,7 @@ def outlier_limits(stats: DataFrame, lang_col: str = "lang", source_col: str = "
     asked = groups.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("gid", _group_key(F.col("__level")))
     enough = asked.join(small_side(found), "gid").filter((F.col("total") >= min_group) | (F.col("__level") == LEVELS - 1))
     first = enough.groupBy("__lang", "__source").agg(F.min(F.struct("__level", *(c for c in found.columns if c != "gid"))).alias("p"))
-    params = [f"m_{i}" for i in range(P)] + [f"l_{i}_{j}" for i, j in _PAIRS]
-    return land(first.select("__lang", "__source", *(F.col(f"p.{c}").alias(f"__{c}") for c in params)), "quality-limits")
+    return land(first.selectExpr("__lang", "__source", *(f"p.{c} AS __{c}" for c in [*_M, *_L])), "quality-limits")
 
 
 def judge(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
