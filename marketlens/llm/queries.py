@@ -176,6 +176,91 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (droppe
 FROM marked GROUP BY row_id
 """
 
+OP8_SQL = rf"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text) - 1 AS pos,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens
+    FROM turns
+),
+sized AS (
+    SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {CHAT_BUDGET} AS win,
+           24 + length(role) + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '[<\[](\||/?s>|<?/?SYS>>|/?INST\])')) AS size
+    FROM placed
+),
+starts AS (SELECT conv_id, win, min(pos) AS start FROM sized GROUP BY conv_id, win HAVING min(pos) > 0),
+repeated AS (
+    SELECT DISTINCT t.conv_id, t.win, s.pos, s.size
+    FROM starts t JOIN sized s ON s.conv_id = t.conv_id AND (s.pos BETWEEN t.start - {CHAT_HISTORY} AND t.start - 1 OR (s.pos = 0 AND s.role = 'system'))
+),
+extra AS (SELECT conv_id, sum(size) AS n FROM repeated GROUP BY conv_id)
+SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) + coalesce(any_value(e.n), 0) AS BIGINT) AS formatted_chars
+FROM sized s LEFT JOIN extra e ON e.conv_id = s.conv_id GROUP BY s.conv_id
+"""
+
+_TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*')"
+OP9_SQL = rf"""
+WITH templates AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in licenses.TEMPLATES.items())}) AS t(license, text)),
+tf AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest({_TERMS}) AS term FROM templates) GROUP BY license, term),
+size AS (SELECT count(*) AS n FROM templates),
+idf AS (SELECT term, ln((1.0 + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, size GROUP BY term),
+raw AS (SELECT license, term, tf * idf AS w FROM tf JOIN idf USING (term)),
+weights AS (SELECT license, term, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS weight FROM raw),
+named AS (
+    SELECT doc_id, text, coalesce(source, 'none') AS top, coalesce(lang, 'none') AS sub, doc_id // 1000 AS leaf,
+           coalesce(regexp_matches(text, '{licenses.CUE}') AND len(string_split(text, chr(10))) <= 2, FALSE) AS notice
+    FROM documents
+),
+files AS (
+    SELECT doc_id, coalesce(text, '') AS text, notice,
+           CASE WHEN notice AND doc_id % 3 = 0 THEN top WHEN notice AND doc_id % 3 = 1 THEN top || '/' || sub ELSE top || '/' || sub || '/' || leaf END AS dir,
+           CASE WHEN notice THEN 'LICENSE' ELSE doc_id || '.txt' END AS name
+    FROM named
+),
+units AS (
+    SELECT DISTINCT doc_id, unnest(list_append(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{licenses.CUE}')), CASE WHEN notice THEN text END)) AS text
+    FROM files WHERE regexp_matches(text, '{licenses.CUE}')
+),
+texts AS (SELECT DISTINCT text FROM units WHERE text IS NOT NULL),
+vectors AS (SELECT text, term, count(*) * coalesce(any_value(idf), ln(1.0 + any_value(n)) + 1) AS w FROM (SELECT text, unnest({_TERMS}) AS term FROM texts) LEFT JOIN idf USING (term), size GROUP BY text, term),
+norms AS (SELECT text, sqrt(sum(w * w)) AS norm FROM vectors GROUP BY text),
+scored AS (SELECT text, license, round(sum(w * weight) / any_value(norm), 6) AS cosine FROM vectors JOIN weights USING (term) JOIN norms USING (text) GROUP BY text, license),
+best AS (SELECT doc_id, license, cosine FROM units JOIN scored USING (text) WHERE cosine >= 0.6
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) = 1),
+given AS (SELECT dir AS above, license, cosine FROM best JOIN files USING (doc_id) WHERE notice
+          QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, license) = 1),
+nearest AS (SELECT f.doc_id, g.* FROM files f JOIN given g ON f.dir = g.above OR starts_with(f.dir, g.above || '/')
+            QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(g.above) DESC) = 1)
+SELECT f.doc_id, f.dir || '/' || f.name AS path, coalesce(b.license, n.license) AS license, coalesce(b.cosine, n.cosine) AS cosine,
+       CASE WHEN b.license IS NOT NULL AND f.notice THEN 'file' WHEN b.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'directory' END AS license_from,
+       CASE WHEN b.license IS NULL THEN n.above END AS license_path
+FROM files f LEFT JOIN best b USING (doc_id) LEFT JOIN nearest n USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+places AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS i, h FROM texts WHERE length(h) >= 800),
+keys AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM places),
+twice AS (SELECT k FROM keys GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, TRUE) AS opens FROM keys SEMI JOIN twice USING (k)),
+runs AS (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM starts),
+spans AS (SELECT r, run, min(i) AS a, max(i) + 400 AS b FROM runs GROUP BY r, run),
+cuts AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+kept AS (
+    SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+    FROM cuts JOIN texts USING (r) GROUP BY r
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -193,4 +278,7 @@ ORACLE: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op8_chat_formatting": OP8_SQL,
+    "op9_license_scan": OP9_SQL,
+    "op10_suffix_dedup": OP10_SQL,
 }
