@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import land
+from marketlens.llm.common import land, small_side
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u, v), u > v. Neighbour minima are map-side combined aggregates and
-    come back by a join, so that no neighbour list is ever collected and adaptive execution can split
-    a hub's rows."""
+    """One star step over landed edges (u, v), u > v. Neighbour minima are map-side combined aggregates and come back
+    by a join with their landed rows, so that no neighbour list is ever collected and a hub's rows are not
+    shuffled (few nodes: broadcast) or can be split."""
+    pairs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    low = land(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "cc-low")
     if large:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        up = both.filter("v > u")
-        return up.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    pointed = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = pairs.filter("v > u").join(small_side(low), "u")
+        return up.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    pointed = edges.join(small_side(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return pointed.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -380,7 +380,7 @@ def _hot_windows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*cols, *same], ["a", "b", "d", "gram", "context"])
 
     rows = land(texts.mapInArrow(windows, "a long, b long, d long, gram long, context long"), "dedup-windows")
-    twice = rows.groupBy("a", "b", "d").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    twice = land(rows.groupBy("a", "b", "d").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "dedup-window-counts")
     return rows.join(twice, ["a", "b", "d"], "left_semi").select("gram", "context", F.col("d").alias("first"), F.col("d").alias("last"))
 
 
@@ -404,11 +404,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = texts.filter(F.octet_length("text") >= length).select("uid", "text")
     anchors = land(long.mapInArrow(lambda it: _anchor_rows(it, length), "left long, right long, gram long, context long, uid long, pos long"), "dedup-anchors")
     halves = anchors.select(F.explode(F.array("left", "right")).alias("half"), "gram", "context", "uid", "pos").filter("half is not null")
-    twice = halves.groupBy("half").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("half")
-    alive = land(halves.join(twice, "half", "left_semi").select("gram", "context", "uid", "pos").distinct(), "dedup-alive")
+    # landed, so that both sides of the join are plain exchanges and a hot half can be split
+    twice = land(halves.groupBy("half").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("half"), "dedup-halves")
+    alive = land(halves.join(small_side(twice), "half", "left_semi").select("gram", "context", "uid", "pos").distinct(), "dedup-alive")
     contexts = land(alive.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "pos")).alias("at")), "dedup-contexts")
-    sizes = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    open_ = land(contexts.join(sizes, "gram").select("at.uid", "at.pos", "gram", "context", "n", "members"), "dedup-open")
+    sizes = land(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "dedup-grams")
+    open_ = land(contexts.join(small_side(sizes), "gram").select("at.uid", "at.pos", "gram", "context", "n", "members"), "dedup-open")
     runs = _front_coded_runs(long, open_.filter(F.col("members") <= hot).drop("members"), length, n)
     spans = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(lambda it: _merged_spans(it, length), "gram long, context long, first long, last long")
     full = contexts.filter("n > 1").select("gram", "context", F.lit(0).cast("long").alias("first"), F.lit(length - GRAM).cast("long").alias("last"))
