@@ -308,7 +308,7 @@ def resolved_records(records: DataFrame) -> DataFrame:
     narrow = land(records.withColumn("payload_bytes", F.octet_length("payload").cast("long")).drop("payload"), "warc-records")
     targets = narrow.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record"))
     targets = targets.agg(F.min("page_id").alias("refers_to"), F.max("payload_bytes").alias("__n"), F.max("payload_digest").alias("__d"))
-    out = narrow.join(targets, "refers_to_record", "left")
+    out = narrow.join(small_side(land(targets, "warc-targets")), "refers_to_record", "left")
     return out.select(
         "page_id", "url", "record_type", F.coalesce("payload_bytes", "__n").alias("payload_bytes"), F.coalesce("__d", "payload_digest").alias("payload_digest"), "refers_to"
     )
