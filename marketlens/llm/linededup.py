@@ -54,7 +54,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
     distinct = texts.select("copies", F.explode(F.array_distinct("keys")).alias("key")).filter("key is not null")
     common = land(distinct.groupBy("key").agg(F.sum("copies").alias("n")).filter(F.col("n") >= min_docs).select("key"), "common-lines")
     drops = lines.join(small_side(common), "key", "left_semi").groupBy("__t").agg(F.sort_array(F.collect_list("pos")).alias("__drop"))
-    out = docs.withColumn("__t", _hash128(body)).join(drops, "__t", "left")
+    # landed, so that the join below has a plain exchange on either side and a text with very many copies can be split
+    out = docs.withColumn("__t", _hash128(body)).join(land(drops, "line-drops"), "__t", "left")
     n = F.size("__drop")
     # the slices before the first, between consecutive and after the last dropped lines
     starts = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda p: p + 1))
