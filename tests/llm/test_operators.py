@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.llm import chat, decontam, kernels, licenses, linededup, mixing, quality, simhash, suffixdedup, tokenbin, warc
+from marketlens.llm.common import land
 from marketlens.llm.components import connected_components
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __fp string, words long"
@@ -310,7 +311,7 @@ def test_mcd_rejects_planted_outliers(spark):
 def test_labels_hold_on_the_small_table(spark):
     """Held-out accuracy: documents labelled good that pass the base rules stay, those labelled bad go."""
     sf = "/root/testdata/sf0.01"
-    frame = quality.judge(quality.base_statistics(spark.read.parquet(f"{sf}/documents.parquet")).drop("text"))
+    frame = quality.judge(land(quality.base_statistics(spark.read.parquet(f"{sf}/documents.parquet")).drop("text"), "test"))
     labelled = frame.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("not base_failed")
     good, good_kept, bad, bad_kept = labelled.agg(
         F.count_if(F.col("quality") == 1), F.count_if((F.col("quality") == 1) & F.col("kept")), F.count_if(F.col("quality") == 0), F.count_if((F.col("quality") == 0) & F.col("kept"))
