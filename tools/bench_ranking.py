@@ -24,7 +24,7 @@ df = spark.range(rows).select(
 res = {"rows": rows}
 
 t = time.time()
-r = rank_globally(df, [("v", True), ("k", False)], row_number="rn", dense_rank=("dr", ["v"]), ntiles={"nt": 5}, running_sum=("v", "cs"), materialize=sys.argv[2] if len(sys.argv) > 2 else "checkpoint")
+r = rank_globally(df, [("v", True), ("k", False)], row_number="rn", dense_rank=("dr", ["v"]), ntiles={"nt": 5}, running_sum=("v", "cs"))
 r.write.format("noop").mode("overwrite").save()
 res["distributed_sec"] = round(time.time() - t, 2)
 
