@@ -229,13 +229,21 @@ def component_ids(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` that stay when each component keeps one: that with the smallest id (null only
-    if it has no other), ties by all columns in order. Same columns as ``docs``. The rank limit is
-    applied before the shuffle, so a large component sends one row from each task."""
+    """The rows of ``docs`` that stay when each component keeps one: that with the smallest id (null only if it has no
+    other); of several with that id the one with the smallest fingerprint, then the first by all columns in
+    order. Same columns as ``docs``.
+
+    Which (fingerprint, id) stays is settled on narrow rows, one for each component; texts meet that list once.
+    """
     cols = docs.columns
     marked = land(docs.withColumn("__fp", fingerprints(F.col(text_col), shingle)), "simhash-docs")
-    comps = component_ids(marked.select(id_col, F.col("__fp").alias("fp")), id_col, max_bits)
-    comps = comps.select(F.col("fp").alias("__fp"), F.col("component").alias("__node"), F.col("component_id").alias("__id"))
-    w = Window.partitionBy("__node").orderBy(*(F.col(c).asc_nulls_last() for c in [id_col, *(c for c in cols if c != id_col)]))
-    first = marked.join(comps, "__fp").filter(F.col(id_col).eqNullSafe(F.col("__id")))
-    return first.withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").select(*cols)
+    prints = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"))
+    comps = land(component_ids(prints, "id", max_bits), "simhash-ids")
+    first = prints.join(comps, "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component", "fp").agg(F.min("id").alias("__id"), F.count(F.lit(1)).alias("__n"))
+    keep = first.groupBy("component").agg(F.min(F.struct("fp", "__id", "__n")).alias("k"))
+    keep = small_side(land(keep.select(F.col("k.fp").alias("__keep"), "k.__id", "k.__n"), "simhash-keep"))
+    stays = marked.join(keep, (F.col("__fp") == F.col("__keep")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    # repeated rows of one id and fingerprint: the rank limit is applied before the shuffle
+    w = Window.partitionBy("__fp").orderBy(*(F.col(c).asc_nulls_last() for c in cols))
+    tied = stays.filter("__n > 1").withColumn("__rank", F.row_number().over(w)).filter("__rank = 1")
+    return stays.filter("__n = 1").select(*cols).union(tied.select(*cols))
