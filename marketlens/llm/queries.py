@@ -245,8 +245,9 @@ FROM files f LEFT JOIN best b USING (doc_id) LEFT JOIN nearest n USING (doc_id)
 
 OP10_SQL = """
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-places AS (SELECT r, unnest(range(0, length(h) // 2 - 399)) AS i, h FROM texts WHERE length(h) >= 800),
-keys AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM places),
+pieces AS (SELECT r, base, substr(h, 2 * base + 1, 1798) AS part FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399, 500)) AS base FROM texts)),
+places AS (SELECT r, base, part, unnest(range(0, least(500, length(part) // 2 - 399))) AS i FROM pieces),
+keys AS (SELECT r, base + i AS i, md5(substr(part, 2 * i + 1, 800)) AS k FROM places),
 twice AS (SELECT k FROM keys GROUP BY k HAVING count(*) > 1),
 starts AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400, TRUE) AS opens FROM keys SEMI JOIN twice USING (k)),
 runs AS (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM starts),
