@@ -6,8 +6,9 @@ turn. A window is the conversation's system turn, a limited number of repeated t
 (context, never trained on), and the span's own turns, whose assistant texts are the targets. Each turn is
 new in exactly one window, so each target counts once.
 
-Control strings inside texts are escaped reversibly: backslashes are doubled, and a backslash is put after
-the first character of anything that could be read as a mark.
+Control strings inside texts are escaped reversibly: backslashes are doubled, and a backslash is put between the
+first two characters of anything that could be read as a mark. Only the next character decides, so what follows an
+inserted backslash is what decided on it, and no doubled backslash can be taken for one.
 
 Scale: positions and prefix sums come from two levels of windows (blocks of 64 turn numbers, then the
 blocks' totals), and repeated turns from joins on (conversation, position), so that a conversation
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import land
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
-#: What a reader of this or another common template could take for a mark.
-_MARKS = r"\||/?s>|<?/?SYS>>|/?INST\]"
+#: The second characters of what this or another common template could take for a mark: <|im_start|>, <s>, </s>, <<SYS>>, [INST], [/INST].
+_MARKS = r"[|/sS<I]"
 _BLOCK = 64
 
 

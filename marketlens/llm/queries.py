@@ -188,7 +188,7 @@ placed AS (
 ),
 sized AS (
     SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {CHAT_BUDGET} AS win,
-           24 + length(role) + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '[<\[](\||/?s>|<?/?SYS>>|/?INST\])')) AS size
+           24 + length(role) + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '[<\[][|/sS<I]')) AS size
     FROM placed
 ),
 starts AS (SELECT conv_id, win, min(pos) AS start FROM sized GROUP BY conv_id, win HAVING min(pos) > 0),
