@@ -436,6 +436,77 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+MIT_TEXT = """Copyright 2021 Jo Doe <jo@example.org>
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
+rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def _gnu(mark, name, version, what="program"):
+    text = f"""Copyright (C) 2019  Jo Doe
+
+This {what} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {name} as published by
+the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name} for more details.
+
+You should have received a copy of the GNU {name}
+along with this {what}.  If not, see <https://www.gnu.org/licenses/>."""
+    return "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n")) + "\nint x;\n"
+
+
+def test_license_headers_and_texts(spark):
+    """Standard headers, tags and licence texts that are in no test table; likenesses to another licence are no match."""
+    bsd2 = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE AUTHOR ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.\n"
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n"
+    want = {
+        "spdx/a.c": ("// SPDX-License-Identifier: MIT\nint x;", "MIT", "header"),
+        "spdx/b.py": ("#!/bin/sh\n# SPDX-License-Identifier: Apache-2.0\n", "Apache-2.0", "header"),
+        "spdx/c.h": ("/* SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note */", "GPL-2.0", "header"),
+        "spdx/d.h": ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1", "header"),
+        "spdx/e.h": ("/* SPDX-License-Identifier: Zlib */", None, None),
+        "spdx/f.h": ("/* SPDX-License-Identifier: BSD-4-Clause */", None, None),
+        "h/gpl3.py": (_gnu("#", "General Public License", 3), "GPL-3.0", "header"),
+        "h/gpl2.c": (_gnu(" *", "General Public License", 2), "GPL-2.0", "header"),
+        "h/agpl.js": (_gnu("//", "Affero General Public License", 3), "AGPL-3.0", "header"),
+        "h/lgpl.cc": ("/*\n" + _gnu("", "Lesser General Public License", 2.1, "library").replace("int x", "*/ int x"), "LGPL-2.1", "header"),
+        "h/go.go": ("// Copyright 2014 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.\npackage x", "BSD-3-Clause", "header"),
+        "h/apache.java": ("/*\n * Copyright 2020 Jo Doe\n *\n" + "".join(f" * {x}\n" for x in apache.split("\n")) + " */\nclass X {}", "Apache-2.0", "header"),
+        "h/mit.css": ("/*\n" + MIT_TEXT + "*/\nbody {}", "MIT", "header"),
+        "h/prose.txt": ("She had lost her driving licence, and the man at the desk of the office told her to come back\nwith a copy of it in the morning, or to ask for the form of the other office.", None, None),
+        "mit/LICENSE": (MIT_TEXT, "MIT", "file"),
+        "mit/src/x.c": ("int x;", "MIT", "directory"),
+        "bsd/LICENSE.txt": ("Copyright (c) 2020, Jo Doe\n\n" + bsd2, "BSD-2-Clause", "file"),
+        "bsd/y.c": ("int y;", "BSD-2-Clause", "directory"),
+        "agpl/COPYING": ("                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n", "AGPL-3.0", "file"),
+    }
+    got = licenses.scan_licenses(spark.createDataFrame([(k, v[0]) for k, v in want.items()], "path string, text string").repartition(3)).collect()
+    assert {r.path: (r.license, r.license_from) for r in got} == {k: v[1:] for k, v in want.items()}
+
+
+def test_license_units_of_long_texts(spark):
+    """Long runs of blank or comment lines and open comment marks neither overflow a pattern's stack nor hide a tag."""
+    text = "\n" * 60_000 + "# x\n" * 60_000 + "/* " * 20_000 + "\nSPDX-License-Identifier: MIT"
+    r = licenses.scan_licenses(spark.createDataFrame([("a", text)], "path string, text string")).first()
+    assert (r.license, r.cosine) == ("MIT", 1.0)
+
+
 def test_license_paths(spark):
     r = spark.range(1).select(licenses.ancestors(licenses.directory(F.lit("a/b/c.txt"))).alias("x"), licenses.ancestors(licenses.directory(F.lit("c.txt"))).alias("y"), licenses.ancestors(licenses.directory(F.lit("/r/c"))).alias("z")).first()
     assert (r.x, r.y, r.z) == (["", "a", "a/b"], [""], ["", "/r"])
