@@ -28,6 +28,8 @@ from marketlens.llm.kernels import word_hashes
 #: Text bytes of a segment (or one longer document), and benchmark items of a block.
 SEGMENT_BYTES = 2 << 20
 BLOCK_ITEMS = 20_000
+#: Places of rarest words that a proximity search looks at together.
+CANDIDATES = 1 << 20
 
 
 class Segment:
@@ -63,10 +65,14 @@ class Segment:
 
     def has(self, term: np.ndarray, position: np.ndarray) -> np.ndarray:
         """Whether each (term, position) is in the lists."""
+        wanted, keys = term << 32 | position, self.keys()
+        return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+    def keys(self) -> np.ndarray:
+        """All (term, position) as sorted numbers."""
         if self._keys is None:
             self._keys = np.repeat(np.arange(len(self.terms)), self.counts) << 32 | self.positions
-        wanted = term << 32 | position
-        return self._keys[np.minimum(np.searchsorted(self._keys, wanted), len(self._keys) - 1)] == wanted
+        return self._keys
 
     def phrases(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact matches of the phrases in the rows of ``hashes`` (n, width): (phrase, first position)."""
@@ -88,20 +94,45 @@ class Segment:
             start, which = start[ok], which[ok]
         return alive[which], start
 
-    def near(self, hashes: np.ndarray, slop: int) -> np.ndarray:
-        """Positions of the rarest of the given words at which each other word stands within ``slop`` words in the same document."""
-        term, counts = self.lookup(np.unique(hashes))
-        if not len(counts) or not counts.all():
-            return np.empty(0, np.int64)
-        order = np.argsort(counts, kind="stable")
-        found = self.positions[self.begin[term[order[0]]] : self.begin[term[order[0]] + 1]]
+    def near(self, hashes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, position): where a word of a row of ``hashes`` (n, width) stands from which on all words of the row stand, in any order,
+        within ``reach`` words of the same document. The rarest word of the segment only finds the candidates."""
+        term, counts = self.lookup(hashes)
+        alive = np.flatnonzero((counts > 0).all(axis=1))
+        if not len(alive):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        term, counts = term[alive], counts[alive]
+        ranked = np.take_along_axis(term, np.argsort(counts, axis=1, kind="stable"), axis=1)
         bounds = np.concatenate([[0], np.cumsum(self.words)])
-        for t in term[order[1:]]:
-            own = self.positions[self.begin[t] : self.begin[t + 1]]
-            low = np.maximum(found - slop, bounds[self.doc_of[found]])
-            high = np.minimum(found + slop, bounds[self.doc_of[found] + 1] - 1)
-            found = found[np.searchsorted(own, low) < np.searchsorted(own, high, side="right")]
-        return found
+        pieces = np.cumsum(counts.min(axis=1)) // CANDIDATES
+        out = [self._near(ranked[rows], reach, bounds, rows) for rows in np.split(np.arange(len(alive)), np.flatnonzero(np.diff(pieces)) + 1)]
+        return alive[np.concatenate([x[:, 0] for x in out])], np.concatenate([x[:, 1] for x in out])
+
+    def _near(self, ranked: np.ndarray, reach: int, bounds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        found, which = self.postings(ranked[:, 0])
+        for r in range(1, ranked.shape[1]):
+            doc = self.doc_of[found]
+            ok = self.between(ranked[which, r], np.maximum(found - reach + 1, bounds[doc]), np.minimum(found + reach, bounds[doc + 1]) - 1)
+            found, which = found[ok], which[ok]
+        out = [np.empty((0, 2), np.int64)]
+        for back in range(reach if len(found) else 0):
+            start, row = found - back, which
+            ok = start >= bounds[self.doc_of[found]]
+            start, row, last = start[ok], row[ok], np.minimum(start + reach, bounds[self.doc_of[found] + 1])[ok] - 1
+            ok = np.zeros(len(start), bool)
+            for r in range(ranked.shape[1]):
+                ok |= self.has(ranked[row, r], start)
+            for r in range(ranked.shape[1]):
+                start, row, last = start[ok], row[ok], last[ok]
+                ok = self.between(ranked[row, r], start, last)
+            out.append(np.stack([rows[row[ok]], start[ok]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def between(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether each term stands at one of the positions ``low`` to ``high``."""
+        keys = self.keys()
+        at = np.searchsorted(keys, term << 32 | low)
+        return (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= (term << 32 | high))
 
 
 _INDEX_SCHEMA = "words binary, terms binary, counts binary, positions binary"
@@ -242,16 +273,46 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, width: int = 10, item
     return index.mapInArrow(search, f"id {id_type}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
+def near_matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop: int = 5, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Search a stored index for the windows of ``phrase_matches`` by proximity: all words of a window, in any order, in a span that is
+    at most ``slop`` words longer than the window, of one document. One row per document row: ``id``, ``n_words``, ``n_near``
+    (words at which such a span of some item begins), ``items`` (sorted ids of the items). Every phrase match is one
+    of these too; neither the other documents of a segment nor the partitioning decide."""
+    files = _benchmark_files(benchmark, item_col, text_col)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 8):
+                part = batch.slice(at, 8)
+                segments = [_stored(part, i) for i in range(part.num_rows)]
+                items: list[list[set[str]]] = [[set() for _ in s.words] for s in segments]
+                places = [np.zeros(len(s.doc_of), bool) for s in segments]
+                for block in _read_blocks(files, width):
+                    for k, s in enumerate(segments):
+                        for w, (hashes, item) in block.windows.items():
+                            row, start = s.near(hashes, w + slop)
+                            places[k][start] = True
+                            for d, i in np.unique(np.stack([s.doc_of[start], item[row]], axis=1), axis=0).tolist():
+                                items[k][d].add(block.ids[i])
+                for k, s in enumerate(segments):
+                    n_near = np.bincount(s.doc_of[places[k]], minlength=len(s.words)).astype(np.int64)
+                    cols = [part.column("ids").slice(k, 1).flatten(), pa.array(s.words.astype(np.int64)), pa.array(n_near), pa.array([sorted(x) for x in items[k]], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "n_words", "n_near", "items"])
+
+    id_type = index.schema["ids"].dataType.elementType.simpleString()
+    return index.mapInArrow(search, f"id {id_type}, n_words long, n_near long, items array<string>")
+
+
 def proximity_matches(index: DataFrame, words: str, slop: int) -> DataFrame:
-    """(id, position): each place of the segment's rarest word of ``words`` at which every other of them stands
-    within ``slop`` words in the same document. No words, or a word that is nowhere: no rows."""
+    """(id, position): each place of one of ``words`` from which on all of them stand, in any order, at most ``slop`` words
+    further in the same document. No words, or a word that is nowhere: no rows."""
     hashes, _ = word_hashes(*packed_text(pa.array([words])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
+            for i in range(batch.num_rows if len(hashes) else 0):
                 s = _stored(batch, i)
-                found = s.near(hashes, slop)
+                _, found = s.near(np.unique(hashes)[None, :], slop + 1)
                 doc = s.doc_of[found]
                 place = found - (np.cumsum(s.words) - s.words)[doc]
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten().take(pa.array(doc)), pa.array(place)], ["id", "position"])

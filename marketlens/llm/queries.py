@@ -53,6 +53,19 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same windows by proximity: all words of one, in any order, in a span of at most five words more."""
+    found = decontam.near_matches(decontam.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_near",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("items") > 0).alias("contaminated"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules, then the MCD verdict of each document's language and source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -267,6 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_token_output": op3_token_output,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op4_benchmark_proximity": op4_benchmark_proximity,
     "op5_quality_rules": op5_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op7_line_dedup": op7_line_dedup,

@@ -105,6 +105,29 @@ def contamination(docs, items, width: int = 10):
     return out
 
 
+def proximity(docs, items, width: int = 10, slop: int = 5):
+    """-> [(doc_id, n_words, n_near, items)]"""
+
+    def split(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+
+    windows = set()
+    for i, t in items:
+        w = split(t)
+        n = min(width, len(w))
+        windows |= {("" if i is None else str(i), n + slop, frozenset(w[a : a + n])) for a in range(len(w) - n + 1 if w else 0)}
+    out = []
+    for k, t in docs:
+        w, near, found = split(t), set(), set()
+        for a in range(len(w)):
+            for item, reach, terms in windows:
+                if w[a] in terms and terms <= set(w[a : a + reach]):
+                    near.add(a)
+                    found.add(item)
+        out.append((k, len(w), len(near), sorted(found)))
+    return out
+
+
 def base_statistics(text: str | None):
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)"""
     w, t = words(text), text or ""

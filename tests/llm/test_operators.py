@@ -269,6 +269,37 @@ def test_proximity(spark):
     assert decontam.proximity_matches(index, "", 5).count() == 0
 
 
+def test_proximity_does_not_depend_on_other_documents(spark):
+    """The rarest word of a segment decides nothing: a span must hold all words, whatever stands beside it."""
+    text = "a x x x x b x x x x c"
+    for others in (["a c " * 9], ["b a " * 9], ["b c " * 9], []):
+        rows = [(1, text), (2, "c a x x x b"), *((9, o.replace(" ", " | ")) for o in others)]
+        index = decontam.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        assert {(r.id, r.position) for r in decontam.proximity_matches(index, "a b c", 5).collect()} == {(2, 0)}
+        assert {(r.id, r.position) for r in decontam.proximity_matches(index, "a b c", 10).collect() if r.id == 1} == {(1, 0)}
+
+
+def test_benchmark_proximity(spark, docs, items, pairs, monkeypatch):
+    """Benchmark windows by proximity against plain Python, however rows are packed; shuffled and padded words are found."""
+    long = pairs[0][1].replace("*", " ").split()[:10]
+    mixed = long[5:] + ["pad", "pad"] + long[:5]
+    more = docs.select("doc_id", "text").union(spark.createDataFrame([(900, " ".join(mixed)), (901, " ".join(long[::-1]))], "doc_id long, text string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.proximity([*pairs, (900, " ".join(mixed)), (901, " ".join(long[::-1]))], items)
+    for parts in (1, 5):
+        got = decontam.near_matches(decontam.build_index(more.repartition(parts)), bench.repartition(parts))
+        assert _sorted(got.collect()) == _sorted(want)
+    by = {r[0]: r for r in want}
+    assert by[900][3] and by[901][3]
+    exact = {r[0] for r in brute.contamination(pairs, items) if r[5]}
+    assert exact <= {r[0] for r in want if r[3]}
+    monkeypatch.setattr(decontam, "CANDIDATES", 3)
+    segment = decontam.Segment.of_text(pa.array([" ".join(mixed)] * 9))
+    block = decontam._Block(["5"], pa.array([pairs[0][1]]), 10)
+    row, start = segment.near(block.windows[10][0], 15)
+    assert set(segment.doc_of[start].tolist()) == set(range(9)) and len(row) == len(start)
+
+
 def test_decontamination_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.phrase_matches(decontam.build_index(empty), none).count() == 0
