@@ -95,16 +95,25 @@ def _min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, s
 
 
 def route(patterns: dict[tuple[str | None, ...], int], quotas: dict[str | None, int], most: int = MAX_COPIES) -> dict[tuple[str | None, ...], dict[str | None, int]]:
-    """Words each pattern sends to each of its sources. A source that no overlapping pattern touches is
-    settled at once; the others are one flow network."""
+    """Words each pattern sends to each of its sources. Patterns that share a source, directly or through others,
+    are one flow network; a source of its own is a network of one pattern."""
     flow: dict[tuple[str | None, ...], dict[str | None, int]] = {p: {} for p in patterns}
-    shared = {s for p in patterns if len(p) > 1 for s in p}
-    for p, words in patterns.items():
-        if len(p) == 1 and p[0] not in shared:
-            flow[p][p[0]] = min(quotas.get(p[0], 0), most * words)
-    inside = [p for p in patterns if any(s in shared for s in p)]
-    if inside:
-        sources = sorted(shared, key=lambda s: (s is None, s or ""))
+    up: dict[str | None, str | None] = {s: s for p in patterns for s in p}
+
+    def top(s: str | None) -> str | None:
+        while up[s] != s:
+            up[s] = s = up[up[s]]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            up[top(s)] = top(p[0])
+    networks: dict[str | None, list[tuple[str | None, ...]]] = {}
+    for p in patterns:
+        if p:
+            networks.setdefault(top(p[0]), []).append(p)
+    for inside in networks.values():
+        sources = sorted({s for p in inside for s in p}, key=lambda s: (s is None, s or ""))
         node = {s: 2 + len(inside) + i for i, s in enumerate(sources)}
         arcs, labels = [], []
         for i, p in enumerate(inside):

@@ -372,6 +372,17 @@ def test_flow_prefers_fresh_words_and_fills_quotas():
     assert short[("a",)]["a"] == 30
 
 
+def test_disjoint_sources_go_through_the_network(monkeypatch):
+    """Sources of their own are networks like others, of the amounts that fill the quota or three copies."""
+    sizes, real = [], mixing._min_cost_flow
+    monkeypatch.setattr(mixing, "_min_cost_flow", lambda n, *a: (sizes.append(n), real(n, *a))[1])
+    patterns = {("a",): 100, (None,): 7, ("b",): 10, ("c", "d"): 40, ("d", "e"): 40, ("f",): 0}
+    flow = mixing.route(patterns, {"a": 150, None: 30, "b": 4, "c": 40, "d": 20, "e": 20, "f": 9})
+    assert sorted(sizes) == [4, 4, 4, 4, 7]
+    assert (flow[("a",)], flow[(None,)], flow[("b",)], flow[("f",)]) == ({"a": 150}, {None: 21}, {"b": 4}, {})
+    assert sum(flow[("c", "d")].values()) == sum(flow[("d", "e")].values()) == 40
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "a", "a", "b", "c", None]), _words(rng, rng.randrange(0, 60))) for i in range(600)] + [(9999, "b", None)]
