@@ -5,8 +5,8 @@ judged by their transformed statistic vector: the minimum covariance determinant
 location and scatter of their language and source, and a cut on the robust Mahalanobis distance.
 
 MCD by concentration steps: from a start (coordinate medians and quartile scales; plain mean and
-covariance) take the ``h`` share of rows with the smallest distances, re-estimate from them, repeat,
-and keep the start whose scatter has the smaller determinant. A step is one aggregate: distances
+covariance) take the ``h`` share of rows with the smallest distances, re-estimate from them, repeat until
+the determinant of the scatter no longer falls, and keep the start whose scatter has the smaller determinant. A step is one aggregate: distances
 fall into logarithmic bins, moments are summed by (group, bin), and a window over the at most
 some hundred bins of a group finds the smallest bins that hold the share (the subset is closed under equal
 bins, so no row-level ranking, sorting or sampling is needed). Statistic values are fixed-point
@@ -15,6 +15,8 @@ integers, whose double sums are exact up to some 10^7 rows a bin, so reruns agre
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,10 @@ LEVELS = 3
 #: Quantile of chi-square with P degrees of freedom at 0.99995; and the consistency factor of the MCD scatter for a share of 0.75.
 CUTOFF = 27.4
 CONSISTENCY = 1.41
+#: Concentration steps at most; a group stops when the log determinant no longer falls by more than TOLERANCE. As subsets
+#: are closed under equal bins their sizes vary, and the estimates alone could change for ever in a cycle.
+MAX_STEPS = 100
+TOLERANCE = 1e-9
 
 
 def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -143,17 +149,28 @@ def _starts(cells: DataFrame) -> DataFrame:
     return _factor(first).withColumn("start", F.lit(0)).unionByName(plain.withColumn("start", F.lit(1)))
 
 
-def mcd_estimates(cells: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """Weighted vectors (gid, w, DIMS; landed) to one row a group: size ``total``, location m_i, factor l_i_j."""
-    params = land(_starts(cells).select("gid", "start", *_M, *_L), "mcd")
-    by = "PARTITION BY gid, start"
+def mcd_estimates(cells: DataFrame, share: float = 0.75, steps: int = MAX_STEPS) -> DataFrame:
+    """Weighted vectors (gid, w, DIMS; landed) to one row a group: size ``total``, location m_i, factor l_i_j. A group and start
+    leaves the steps when one brings no smaller determinant; one that still falls after ``steps`` is taken as it is."""
+    cols = [*_M, *_L, "logdet"]
+    params = land(_starts(cells).select("gid", "start", *_M, *_L).withColumn("logdet", F.lit(float("inf"))), "mcd")
+    by, settled = "PARTITION BY gid, start", []
     for _ in range(steps):
         rows = _with_distance(cells.join(small_side(params.select("gid", "start", *_M, *_L)), "gid"))
         binned = rows.withColumn("bin", F.expr("floor(log2(__d2 + 1e-3D) * 16)")).groupBy("gid", "start", "bin").agg(*_moments())
         cum = binned.selectExpr("gid", "start", "bin", f"sum(n) OVER ({by}) AS total", *(f"sum({c}) OVER ({by} ORDER BY bin) AS {c}" for c in _SUMS))
         first = cum.filter(f"n >= {share}D * total").selectExpr("*", f"row_number() OVER ({by} ORDER BY bin) AS __rank").filter("__rank = 1")
-        params = land(_estimate(first, "gid", "start", "total"), "mcd")
-    best = params.selectExpr("gid", "total", *_M, *_L, "row_number() OVER (PARTITION BY gid ORDER BY logdet, start) AS __rank")
+        before = params.select("gid", "start", *(F.col(c).alias(f"__{c}") for c in cols))
+        now = _estimate(first, "gid", "start", "total").join(small_side(before), ["gid", "start"])
+        now = land(now.selectExpr("gid", "start", "total", *cols, *(f"__{c}" for c in cols), f"logdet < __logdet - {TOLERANCE}D AS falls"), "mcd")
+        settled.append(now.filter("not falls").selectExpr("gid", "start", "total", *(f"__{c} AS {c}" for c in cols)))
+        params = now.filter("falls").select("gid", "start", "total", *cols)
+        if params.isEmpty():
+            break
+    else:
+        settled.append(params)
+    found = reduce(DataFrame.union, settled)
+    best = found.selectExpr("gid", "total", *_M, *_L, "row_number() OVER (PARTITION BY gid ORDER BY logdet, start) AS __rank")
     return best.filter("__rank = 1").drop("__rank")
 
 

@@ -339,6 +339,22 @@ def test_mcd_rejects_planted_outliers(spark):
     assert not any(o[0] in kept for o in odd)
 
 
+def test_mcd_steps_go_on_until_the_determinant_settles(spark):
+    """No further step lowers the determinant of a skewed, contaminated group."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, quality.P)) @ rng.normal(size=(quality.P, quality.P)) + rng.exponential(2, size=(3000, quality.P))
+    x[:700] += 5 * rng.random((700, 1)) + 2
+    x = np.round(x * quality.SCALE).astype(int)
+    cells = land(spark.createDataFrame([("g", 1.0, *map(int, r)) for r in x], "gid string, w double, " + ", ".join(f"{d} long" for d in quality.DIMS)), "test")
+    got = quality.mcd_estimates(cells).first()
+    mean = np.array([got[f"m_{i}"] for i in range(quality.P)])
+    low = np.array([[got[f"l_{i}_{j}"] if j <= i else 0.0 for j in range(quality.P)] for i in range(quality.P)])
+    bins = np.floor(np.log2((np.linalg.solve(low, (x / quality.SCALE - mean).T) ** 2).sum(axis=0) + 1e-3) * 16)
+    inside = x[bins <= np.sort(bins)[int(np.ceil(0.75 * len(x))) - 1]] / quality.SCALE
+    after = np.cov(inside.T, bias=True) * quality.CONSISTENCY + np.diag([f**2 for f in quality.FLOORS.values()])
+    assert np.linalg.slogdet(after)[1] / 2 >= np.log(np.diag(low)).sum() - 1e-6
+
+
 def test_labels_hold_on_the_small_table(spark):
     """Held-out accuracy: documents labelled good that pass the base rules stay, those labelled bad go."""
     sf = "/root/testdata/sf0.01"
