@@ -171,7 +171,7 @@ def encoder(path: str, by_pieces: bool) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text_col: str, by_pieces: bool) -> bytes:
-    """A dictionary from whole serialised id arrays of a bounded sample, trained in a task; too little to
+    """A dictionary from whole serialised id arrays of a bounded sample, in the order of hashes, trained in a task; too little to
     train on: an empty one. Only the dictionary comes to the driver."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +190,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, text_col: str
     # the limit is on hashes alone; their texts are then one row each, so neither texts nor copies pile up
     hashed = docs.select(F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
     last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
-    sample = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select("text")
-    rows = sample.coalesce(1).mapInArrow(train, "d binary").collect()
+    sample = hashed.filter(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).coalesce(1).sortWithinPartitions("h").select("text")
+    rows = sample.mapInArrow(train, "d binary").collect()
     return max((r.d for r in rows), key=len, default=b"")
 
 

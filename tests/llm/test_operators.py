@@ -212,6 +212,23 @@ def test_short_document_access(spark, docs):
         tokenbin.Shard(manifest[0].path, manifest[0].path)
 
 
+def test_dictionary_does_not_depend_on_arrival(spark, docs, monkeypatch):
+    """The byte limit of the sample cuts by hash, so partitions and row order decide nothing."""
+    from marketlens.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(tokenbin, "SAMPLE_BYTES", 6_000)
+    monkeypatch.setattr(tokenbin, "text_chunks", lambda batches, c: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+    many = docs.select("text").union(spark.range(300).select(F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.lit("one two three four five six")).alias("text")))
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    for n in (1, 3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        made.add(tokenbin.train_dictionary(many.repartition(n), tokenizer_path(), 2, "text", True))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(made) == 1 and len(made.pop()) > 0
+
+
 def test_tokens_empty_table(empty):
     import public_tokenizers
 
