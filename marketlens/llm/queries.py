@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, decontam, licenses, linededup, mixing, quality, simhash, suffixdedup, tokenbin, warc
+from marketlens.llm import chat, curvepack, decontam, licenses, linededup, mixing, quality, repair, simhash, suffixdedup, tokenalign, tokenbin, warc
 from marketlens.llm.common import land, small_side, table
 
 END_ID = 2
@@ -275,6 +275,43 @@ SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT)
 FROM texts LEFT JOIN kept USING (r)
 """
 
+#: Sequence length and end id of packed documents.
+PACK_LENGTH, PACK_END_ID = 1024, 0
+
+
+def _tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed along the curve, a row a piece."""
+    pieces = curvepack.pack(table(spark, sf_dir, "documents"), _tokenizer_file("byte_bpe_50k.json"), PACK_END_ID, PACK_LENGTH)
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by rule, then repaired at least cost."""
+    source = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = repair.damaged(source)
+    rows = repair.classed_rows(turns)
+    edited = repair.edits(rows)
+    found = repair.report(rows, edited).drop("conv_id")
+    hashed = repair.digests(repair.repaired(turns, rows, edited))
+    every = source.groupBy(repair.key("conv_id").alias("k")).agg(F.min("conv_id").alias("conv_id"))
+    out = every.join(found, "k", "left").join(hashed, "k", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level and piece tokens of all documents, aligned."""
+    docs = table(spark, sf_dir, "documents")
+    out, _ = tokenalign.align_tokenizers(docs, _tokenizer_file("byte_bpe_50k.json"), _tokenizer_file("piece_bpe_32k.model"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -287,6 +324,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_scan": op9_license_scan,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_packing": op11_packing,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE: dict[str, str] = {
