@@ -36,7 +36,9 @@ def ratio(num: str | Column, den: str | Column, scale: int = 2, mult: int = 1) -
     below = (F.abs(d) * units).cast("decimal(28,0)")
     quotient = F.call_function("div", top + below, F.lit(2).cast("decimal(1,0)") * below)
     unit = F.lit(Decimal(1).scaleb(-scale)).cast(DecimalType(scale + 1, scale))
-    return F.signum(n).cast("decimal(1,0)") * F.signum(d).cast("decimal(1,0)") * quotient.cast("decimal(19,0)") * unit
+    signed = F.signum(n).cast("decimal(1,0)") * F.signum(d).cast("decimal(1,0)") * quotient.cast("decimal(19,0)") * unit
+    # sized: products of DECIMALs widen, and sums of wide ones lose digits where they meet others (union, coalesce)
+    return signed.cast(DecimalType(19, scale))
 
 
 def pct(num: str | Column, den: str | Column, scale: int = 2) -> Column:

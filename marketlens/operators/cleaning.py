@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from marketlens.functions.exprs import count_if, pct
-from marketlens.operators.ranking import row_number_within
+from marketlens.operators.medians import group_medians, land_rows
 from marketlens.sources.schemas import CLEAN_COLUMNS, conform
 
 # Fixed values that must equal the reference's.
@@ -255,48 +255,36 @@ def valid_coordinates() -> Column:
     return F.col("geolocation_lat").between(-90, 90) & F.col("geolocation_lng").between(-180, 180)
 
 
-def group_mode(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Most frequent non-NULL value per key; ties -> smallest value (pandas mode + sort).
+def group_modes(df: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Most frequent non-NULL value of each column per key; ties -> smallest value (pandas mode + sort).
 
-    Two hash aggregations with partial aggregation: (key, value) counts, then
-    the best (count, value) per key. No group's values are held in one buffer.
+    Two hash aggregations with partial aggregation for all columns: counts of (key, column, value), then the best
+    (count, value) of each column per key. No group's values are held in one buffer.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    return counts.groupBy(key).agg(F.min_by(value, F.struct((-F.col("_c")).alias("c"), F.col(value).alias("v"))).alias(out))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in values]))
+    counts = df.select(key, cells.alias("x")).select(key, "x.c", "x.v").where(F.col("v").isNotNull()).groupBy(key, "c", "v").agg(F.count(F.lit(1)).alias("n"))
+    best = lambda c: F.min_by("v", F.when(F.col("c") == c, F.struct((-F.col("n")).alias("n"), F.col("v").alias("v"))))
+    return counts.groupBy(key).agg(*[best(c).alias(c) for c in values])
 
 
 def group_median(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    """Exact interpolating median per key (pandas ``median``), hot-key safe.
-
-    Equal values of a key are one weighted row first, so a ZIP code with one repeated coordinate is a single
-    row whatever its number; running weights come from range partitions, over which a ZIP code with a third of
-    all distinct values is spread. The rows whose weights hold the middle are the result.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_c"))
-    sizes = df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    cum = row_number_within(counts, [key], [(value, False)], out="_upto", weight="_c").join(sizes, key)
-    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    holds = lambda p: (F.col("_upto") >= p) & (F.col("_upto") - F.col("_c") < p)
-    mid = cum.where(holds(low) | holds(high))
-    lo, hi = F.min(value), F.max(value)
-    return mid.groupBy(key).agg((lo + (hi - lo) * F.lit(0.5)).alias(out))
+    """Exact interpolating median per key (pandas ``median``), hot-key safe."""
+    return group_medians(df, key, {value: out})
 
 
 def clean_geolocation(geo: DataFrame) -> DataFrame:
     """Exact dedup -> valid coordinates -> one row per ZIP (median, mode, size).
 
-    ``dropDuplicates`` and every per-ZIP aggregate shuffle on hash keys with
-    partial aggregation; medians and modes never hold a ZIP's values in one
-    buffer, so a ZIP with a third of all rows does not become one task.
+    The different rows are landed once; both medians, both modes and the size read them. Every per-ZIP aggregate
+    shuffles on hash keys with partial aggregation, and none holds a ZIP's values in one buffer, so a ZIP with a
+    third of all rows does not become one task.
     """
     k = "geolocation_zip_code_prefix"
-    valid = geo.dropDuplicates().where(valid_coordinates())
+    valid = land_rows(geo.dropDuplicates().where(valid_coordinates()), "geolocation")
     size = valid.groupBy(k).agg(F.count(F.lit(1)).cast("int").alias("geolocation_observation_count"))
-    lat = group_median(valid, k, "geolocation_lat", "geolocation_lat")
-    lng = group_median(valid, k, "geolocation_lng", "geolocation_lng")
-    city = group_mode(valid, k, "geolocation_city", "geolocation_city")
-    state = group_mode(valid, k, "geolocation_state", "geolocation_state")
-    j = size.join(lat, k, "left").join(lng, k, "left").join(city, k, "left").join(state, k, "left")
+    middle = group_medians(valid, k, {"geolocation_lat": "geolocation_lat", "geolocation_lng": "geolocation_lng"})
+    modes = group_modes(valid, k, ["geolocation_city", "geolocation_state"])
+    j = size.join(middle, k, "left").join(modes, k, "left")
     return j.select(
         k,
         F.round("geolocation_lat", 6).alias("geolocation_lat"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.exprs import avg_round, avg_round_if, count_if, distinct_counts, is_completed, money_sum, pct, ratio, round_money
+from marketlens.operators.quantiles import Tiles, with_tiles
 from marketlens.operators.ranking import rank_globally
 from marketlens.operators.sales import completed_orders
 
@@ -295,20 +296,22 @@ RISK_COLUMNS = [
 ]
 
 
-def seller_risk(seller_perf: DataFrame, high_value_rank: int = HIGH_VALUE_RANK, **kw) -> DataFrame:
+def seller_risk(seller_perf: DataFrame, high_value_rank: int = HIGH_VALUE_RANK) -> DataFrame:
     """Quartile-based operational risk for sellers with enough history.
 
-    Each NTILE(4) is a distributed global ranking; quartile 4 is the worst.
+    The borders of the three NTILE(4) come from shared histogram scans; quartile 4 is the worst.
     """
     e = seller_perf.where(
         (F.col("valid_delivery_order_count") >= MIN_VALID_DELIVERIES) & (F.col("reviewed_order_count") >= MIN_REVIEWED_ORDERS)
     ).select(*RISK_COLUMNS)
-    for rate, out in (
-        ("late_delivery_rate_pct", "late_delivery_quartile"),
-        ("shipping_limit_breach_rate_pct", "shipping_breach_quartile"),
-        ("low_review_rate_pct", "low_review_quartile"),
-    ):
-        e = rank_globally(e, [(rate, False), ("seller_id", False)], ntiles={out: 4}, **kw)
+    e = with_tiles(
+        e,
+        {
+            "late_delivery_quartile": Tiles("late_delivery_rate_pct", "seller_id", 4),
+            "shipping_breach_quartile": Tiles("shipping_limit_breach_rate_pct", "seller_id", 4),
+            "low_review_quartile": Tiles("low_review_rate_pct", "seller_id", 4),
+        },
+    )
     e = e.withColumn(
         "operational_risk_score", F.col("late_delivery_quartile") + F.col("shipping_breach_quartile") + F.col("low_review_quartile")
     )

@@ -1,4 +1,4 @@
-"""Data-quality profiles and rule checks.
+"""Data-quality profiles and rule checks.
 
 Every report is a handful of aggregations: one pass per table computing all
 of that table's metrics, then unpivoted into report rows. Key and foreign-key
@@ -291,137 +291,6 @@ def foreign_key_checks(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def schema_overview(tables: dict[str, DataFrame]) -> DataFrame:
-    """Q01: per column type, rows, non-null, missing, missing %, distinct values."""
-    parts = []
-    for t, df in tables.items():
-        fields = df.schema.fields
-        aggs = [F.count(F.lit(1)).alias("__rows")]
-        for f in fields:
-            aggs += [F.count(F.col(f.name)).alias(f"{f.name}__nn"), F.count_distinct(F.col(f.name)).alias(f"{f.name}__u")]
-        one = df.agg(*aggs)
-        rows = [
-            [
-                F.lit(t).alias("table_name"),
-                F.lit(f.name).alias("column_name"),
-                F.lit(f.dataType.simpleString()).alias("data_type"),
-                F.col("__rows").cast("long").alias("row_count"),
-                F.col(f"{f.name}__nn").cast("long").alias("non_null_count"),
-                (F.col("__rows") - F.col(f"{f.name}__nn")).cast("long").alias("missing_count"),
-                pct(F.col("__rows") - F.col(f"{f.name}__nn"), F.col("__rows")).alias("missing_pct"),
-                F.col(f"{f.name}__u").cast("long").alias("unique_count"),
-            ]
-            for f in fields
-        ]
-        parts.append(_unpivot(one, rows))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def data_type_checks(clean: dict[str, DataFrame]) -> DataFrame:
-    """C4: clean column types and missing values."""
-    parts = []
-    for t, df in clean.items():
-        one = df.agg(*[count_if(F.col(f.name).isNull()).alias(f.name) for f in df.schema.fields])
-        parts.append(
-            _unpivot(
-                one,
-                [
-                    [
-                        F.lit(t).alias("table_name"),
-                        F.lit(f.name).alias("column_name"),
-                        F.lit(f.dataType.simpleString()).alias("data_type"),
-                        F.col(f"`{f.name}`").cast("long").alias("missing_values"),
-                    ]
-                    for f in df.schema.fields
-                ],
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def dataset_inventory(tables: dict[str, DataFrame]) -> DataFrame:
-    """C20: rows, columns, exact duplicate rows and missing cells per table."""
-    parts = []
-    for t, df in tables.items():
-        cols = df.columns
-        missing = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in cols])
-        a = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(missing).alias("miss"))
-        d = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-        parts.append(
-            a.crossJoin(d).select(
-                F.lit(t).alias("table_name"),
-                F.col("rows").cast("long").alias("rows"),
-                F.lit(len(cols)).cast("long").alias("columns"),
-                (F.col("rows") - F.col("distinct_rows")).cast("long").alias("duplicate_rows"),
-                F.coalesce(F.col("miss"), F.lit(0)).cast("long").alias("missing_cells"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def cleaning_summary(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> DataFrame:
-    """C17: raw vs clean rows and columns per table."""
-    parts = []
-    for t in raw:
-        r = raw[t].agg(F.count(F.lit(1)).alias("r"))
-        c = clean[t].agg(F.count(F.lit(1)).alias("c"))
-        parts.append(
-            r.crossJoin(c).select(
-                F.lit(t).alias("table_name"),
-                F.col("r").cast("long").alias("raw_rows"),
-                F.col("c").cast("long").alias("clean_rows"),
-                (F.col("c") - F.col("r")).cast("long").alias("row_change"),
-                F.lit(len(raw[t].columns)).cast("long").alias("raw_columns"),
-                F.lit(len(clean[t].columns)).cast("long").alias("clean_columns"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
-
-
-def final_assertions(raw: dict[str, DataFrame], clean: dict[str, DataFrame]) -> DataFrame:
-    """The cleaning job's final invariants as (assertion, failing_rows, passed).
-
-    The reference's fixed geolocation shape is re-aimed at its intent: one
-    row per ZIP with six columns.
-    """
-    from marketlens.operators.cleaning import DATE_COLUMNS, parse_timestamp
-
-    parts = []
-
-    def add(name: str, df: DataFrame, failing: Column) -> None:
-        parts.append(df.agg(failing.cast("long").alias("failing_rows")).select(F.lit(name).alias("assertion"), "failing_rows"))
-
-    pf = []
-    for t, cols in DATE_COLUMNS.items():
-        cond = reduce(lambda a, b: a | b, [F.col(c).isNotNull() & parse_timestamp(c).isNull() for c in cols])
-        pf.append(raw[t].agg(count_if(cond).alias("n")))
-    parts.append(reduce(DataFrame.unionByName, pf).agg(F.sum("n").cast("long").alias("failing_rows")).select(F.lit("no_date_parse_failures").alias("assertion"), "failing_rows"))
-    add("every_product_has_english_category", clean["products"], count_if(F.col("product_category_name_english").isNull()))
-    g = clean["geolocation"]
-    parts.append(
-        g.agg(
-            (F.count(F.lit(1)) - F.count_distinct("geolocation_zip_code_prefix") + F.lit(0 if len(g.columns) == 6 else 1)).cast("long").alias("failing_rows")
-        ).select(F.lit("one_geolocation_row_per_zip").alias("assertion"), "failing_rows")
-    )
-    add("installments_at_least_one", clean["payments"], count_if(F.col("payment_installments") < 1))
-    add("weights_positive_when_present", clean["products"], count_if(F.col("product_weight_g") <= 0))
-    flags = ["has_timestamp_anomaly", "has_status_date_mismatch", "is_valid_delivery_record"]
-    add("order_flags_not_null", clean["orders"], count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in flags])))
-    for t in ["customers", "order_items", "payments", "reviews", "orders", "products", "sellers"]:
-        r = raw[t].agg(F.count(F.lit(1)).alias("r"))
-        c = clean[t].agg(F.count(F.lit(1)).alias("c"))
-        parts.append(r.crossJoin(c).select(F.lit(f"row_count_unchanged_{t}").alias("assertion"), F.abs(F.col("r") - F.col("c")).cast("long").alias("failing_rows")))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.withColumn("passed", F.col("failing_rows") == 0)
-
-
-def assert_clean(raw: dict[str, DataFrame], clean: dict[str, DataFrame], known: frozenset[str] = frozenset()) -> None:
-    """Raise when any final invariant fails but those in ``known`` (collects at most 13 check rows)."""
-    bad = {r["assertion"] for r in final_assertions(raw, clean).where(~F.col("passed")).collect()} - known
-    if bad:
-        raise AssertionError(f"cleaning invariants failed: {sorted(bad)}")
-
-
 def check_totals(checks: DataFrame) -> DataFrame:
     """Number of checks per status."""
     return checks.groupBy("status").agg(F.count(F.lit(1)).alias("check_count"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.exprs import avg_round, count_if, money, pct, ratio
-from marketlens.operators.ranking import rank_globally
+from marketlens.operators.quantiles import Tiles, with_tiles
 
 CUSTOMER = "customer_unique_id"
 
@@ -34,7 +34,7 @@ def segment_expr(r: F.Column, f: F.Column, m: F.Column, completed: F.Column) ->
     )
 
 
-def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, buckets: int | None = None) -> DataFrame:
+def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame) -> DataFrame:
     """Recency / frequency / monetary scores and segment for every customer."""
     done = _completed(order_summary)
     ref = done.agg(F.date_add(F.max("purchase_date"), 1).alias("analysis_reference_date"))
@@ -55,9 +55,8 @@ def customer_rfm(order_summary: DataFrame, customer_summary_df: DataFrame, bucke
     vals = vals.withColumns(
         {"recency_score": rec, "frequency_score": F.least(F.col("completed_order_count"), F.lit(5)).cast("int")}
     )
-    kw = {} if buckets is None else {"buckets": buckets}
-    # NTILE(5) OVER (ORDER BY value, customer): distributed, no single-partition window.
-    scored = rank_globally(vals, [("completed_payment_value", False), (CUSTOMER, False)], ntiles={"monetary_score": 5}, **kw)
+    # NTILE(5) OVER (ORDER BY value, customer): borders from histograms, nothing is sorted.
+    scored = with_tiles(vals, {"monetary_score": Tiles("completed_payment_value", CUSTOMER, 5)})
 
     cs = customer_summary_df.select(
         CUSTOMER,

@@ -373,9 +373,7 @@ def model_profile(order_summary: DataFrame) -> DataFrame:
 
 def share_checks(categories: DataFrame, products: DataFrame, sellers: DataFrame) -> DataFrame:
     """Q12: revenue shares must add up to (about) 100 % per view."""
-    parts = [
-        categories.agg(F.sum("item_revenue_share_pct").alias("total_share_pct")).select(F.lit("category_performance").alias("view_name"), "total_share_pct"),
-        products.agg(F.sum("item_revenue_share_pct").alias("total_share_pct")).select(F.lit("product_performance").alias("view_name"), "total_share_pct"),
-        sellers.agg(F.sum("seller_revenue_share_pct").alias("total_share_pct")).select(F.lit("seller_performance").alias("view_name"), "total_share_pct"),
-    ]
+    shares = [("category_performance", categories, "item_revenue_share_pct"), ("product_performance", products, "item_revenue_share_pct"), ("seller_performance", sellers, "seller_revenue_share_pct")]
+    # one type before the union: a wider one would cost another view's digits
+    parts = [df.agg(F.sum(c).cast("decimal(18,4)").alias("total_share_pct")).select(F.lit(view).alias("view_name"), "total_share_pct") for view, df, c in shares]
     return reduce(DataFrame.unionByName, parts)

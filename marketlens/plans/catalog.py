@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from marketlens.operators import cleaning, model, quality, sales
+from marketlens.operators import cleaning, digests, model, observed, sales
 from marketlens.session import ensure_checkpoint_dir
 from marketlens.sources import testdata
 
@@ -37,6 +37,7 @@ class Marketplace:
         self._land_layers = land
         self._folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketlens-{uuid.uuid4().hex[:12]}"
         self._kept: list[DataFrame] = []
+        self._metrics: dict[str, observed.Metrics] = {}
         #: Report frames built over this data root (see ``registry.Views``).
         self.memo: dict[str, DataFrame] = {}
 
@@ -53,47 +54,67 @@ class Marketplace:
             df.unpersist()
         self._kept.clear()
         self.memo.clear()
-        for name in ("raw", "clean", "models", "completed_items"):
+        for name in ("raw", "clean", "models", "completed_items", "distinct_values"):
             self.__dict__.pop(name, None)
+        self._metrics.clear()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self._folder)
         path.getFileSystem(conf).delete(path, True)
         _CACHE.pop(_cache_key(self.spark, self.sf_dir), None)
 
-    def _land(self, layer: str, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    def _land(self, layer: str, frames: dict[str, DataFrame], checks: dict | None = None) -> dict[str, DataFrame]:
         """Write a layer as parquet in the shared checkpoint folder and read it back.
 
         This is the reference's "clean CSV -> load" boundary: downstream jobs
         read a materialized table (lineage cut, survives executor loss) instead
-        of re-running the adapter and cleaning plans for every report.
+        of re-running the adapter and cleaning plans for every report. With
+        ``checks`` the layer's metrics are observed by the same pass.
         """
         if not self._land_layers:
             return frames
         base = f"{self._folder}/{layer}"
 
-        def write(item: tuple[str, DataFrame]) -> str:
+        def write(item: tuple[str, DataFrame]) -> tuple[str, dict[str, int]]:
             name, df = item
+            if checks is None:
+                df.write.mode("overwrite").parquet(f"{base}/{name}")
+                return name, {}
+            df, metrics = observed.observed(df, f"{layer}.{name}", checks.get(name, {}))
             df.write.mode("overwrite").parquet(f"{base}/{name}")
-            return name
+            return name, metrics.get
 
         # The nine writes are independent jobs; submitting them together lets
         # the scheduler overlap them instead of running nine small jobs in turn.
         with ThreadPoolExecutor(max_workers=len(frames)) as pool:
-            done = list(pool.map(write, frames.items()))
+            done = dict(pool.map(write, frames.items()))
+        if checks is not None:
+            self._metrics[layer] = done
         return {name: self.spark.read.parquet(f"{base}/{name}") for name in done}
 
+    def metrics(self, layer: str) -> observed.Metrics:
+        """Rows, missing values and checks of the raw or clean layer, observed when it was landed."""
+        frames, checks = {"raw": (self.raw, observed.RAW_CHECKS), "clean": (self.clean, observed.CLEAN_CHECKS)}[layer]
+        if layer not in self._metrics:
+            self._metrics[layer] = observed.measure(frames, checks)
+        return self._metrics[layer]
+
     @cached_property
     def raw(self) -> dict[str, DataFrame]:
-        return self._land("raw", testdata.raw_tables(self.spark, self.sf_dir))
+        return self._land("raw", testdata.raw_tables(self.spark, self.sf_dir), observed.RAW_CHECKS)
 
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
         """The clean layer; landing it raises if one of the cleaning job's final invariants fails."""
-        clean = self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS))
+        clean = self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS), observed.CLEAN_CHECKS)
         if self._land_layers:
-            quality.assert_clean(self.raw, clean, known=testdata.KNOWN_FAILURES)
+            observed.assert_clean(self._metrics["raw"], self._metrics["clean"], clean["geolocation"], known=testdata.KNOWN_FAILURES)
         return clean
 
+    @cached_property
+    def distinct_values(self) -> DataFrame:
+        """Distinct values of every raw column and of whole raw rows, counted once for all profiles."""
+        return self._land("profiles", {"distinct_values": digests.distinct_values(self.raw)})["distinct_values"]
+
     def table(self, name: str) -> DataFrame:
         return self.clean[name]
 

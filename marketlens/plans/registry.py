@@ -12,8 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.exprs import finish
-from marketlens.operators import cleaning, customers, model, operations, quality, reports, rfm, sales, validation
-from marketlens.sources import io
+from marketlens.operators import cleaning, customers, digests, model, observed, operations, quality, reports, rfm, sales, validation
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS, Marketplace, marketplace
 from marketlens.sources.testdata import HIGH_VALUE_RANK
 
@@ -200,12 +199,12 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "final_key_checks": _q(lambda v: quality.final_key_checks(v.m.clean)),
     "key_checks": _q(lambda v: quality.key_checks(v.m.raw)),
     "foreign_key_checks": _q(lambda v: quality.foreign_key_checks(v.m.raw)),
-    "schema_overview": _q(lambda v: quality.schema_overview(v.m.raw)),
-    "data_type_checks": _q(lambda v: quality.data_type_checks(v.m.clean)),
-    "dataset_inventory": _q(lambda v: quality.dataset_inventory(v.m.raw)),
-    "cleaning_summary": _q(lambda v: quality.cleaning_summary(v.m.raw, v.m.clean)),
-    "table_row_counts": _q(lambda v: io.table_row_counts(v.m.clean)),
-    "final_assertions": _q(lambda v: quality.final_assertions(v.m.raw, v.m.clean)),
+    "schema_overview": _q(lambda v: digests.schema_overview(v.m.raw, v.m.metrics("raw"), v.m.distinct_values)),
+    "data_type_checks": _q(lambda v: observed.data_type_checks(v.m.clean, v.m.metrics("clean"))),
+    "dataset_inventory": _q(lambda v: digests.dataset_inventory(v.m.raw, v.m.metrics("raw"), v.m.distinct_values)),
+    "cleaning_summary": _q(lambda v: observed.cleaning_summary(v.m.spark, v.m.metrics("raw"), v.m.metrics("clean"))),
+    "table_row_counts": _q(lambda v: observed.table_row_counts(v.m.spark, v.m.metrics("clean"))),
+    "final_assertions": _q(lambda v: observed.final_assertions(v.m.metrics("raw"), v.m.metrics("clean"), v.t("geolocation"))),
     "model_profile": _q(lambda v: validation.model_profile(v.os)),
     "share_checks": _q(lambda v: validation.share_checks(v.categories(), v.products(), v.sellers())),
 }

@@ -429,10 +429,7 @@ MODEL_PROFILE = (
     "COUNT(*) FILTER (WHERE NOT has_review_record) AS orders_without_reviews, "
     "SUM(item_count) AS reconstructed_item_count, SUM(review_record_count) AS reconstructed_review_count FROM v_order_summary"
 )
-SHARE_CHECKS = (
-    "SELECT 'category_performance' AS view_name, SUM(item_revenue_share_pct) AS total_share_pct FROM v_category_performance"
-    + U
-    + "SELECT 'product_performance', SUM(item_revenue_share_pct) FROM v_product_performance"
-    + U
-    + "SELECT 'seller_performance', SUM(seller_revenue_share_pct) FROM v_seller_performance"
+SHARE_CHECKS = U.join(
+    f"SELECT '{view}' AS view_name, CAST(SUM({column}) AS DECIMAL(18,4)) AS total_share_pct FROM v_{view}"
+    for view, column in (("category_performance", "item_revenue_share_pct"), ("product_performance", "item_revenue_share_pct"), ("seller_performance", "seller_revenue_share_pct"))
 )

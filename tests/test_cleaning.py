@@ -60,17 +60,38 @@ def test_treatments(spark):
 def test_final_assertions_hold_on_test_tables(spark):
     from conftest import SF_SMALL
 
-    from marketlens.operators import quality
+    from marketlens.operators import observed
     from marketlens.plans.catalog import marketplace
 
     m = marketplace(spark, SF_SMALL)
-    rows = quality.final_assertions(m.raw, m.clean).collect()
+    of = m.metrics("raw"), m.metrics("clean"), m.clean["geolocation"]
+    rows = observed.final_assertions(*of).collect()
     failing = {r["assertion"]: r["failing_rows"] for r in rows if not r["passed"]}
     # the adapter plants malformed approval times
     assert len(rows) == 13 and set(failing) == {"no_date_parse_failures"} and failing["no_date_parse_failures"] > 0
-    quality.assert_clean(m.raw, m.clean, known=frozenset({"no_date_parse_failures"}))  # does not raise
+    observed.assert_clean(*of, known=frozenset({"no_date_parse_failures"}))  # does not raise
     with pytest.raises(AssertionError, match="no_date_parse_failures"):
-        quality.assert_clean(m.raw, m.clean)
+        observed.assert_clean(*of)
+
+
+def test_observed_metrics_equal_a_scan(spark):
+    from conftest import SF_SMALL
+
+    from marketlens.operators import observed
+    from marketlens.plans.catalog import marketplace
+
+    m = marketplace(spark, SF_SMALL)
+    assert m.metrics("raw") == observed.measure(m.raw, observed.RAW_CHECKS)
+    assert m.metrics("clean") == observed.measure(m.clean, observed.CLEAN_CHECKS)
+
+
+def test_a_broken_layer_is_noticed_by_its_landing(spark, tmp_path):
+    from marketlens.operators import observed
+
+    bad = spark.createDataFrame([(0, "a"), (2, None), (None, "c")], "payment_installments int, note string")
+    seen, metrics = observed.observed(bad, "payments", observed.CLEAN_CHECKS["payments"])
+    seen.write.parquet(str(tmp_path / "p"))
+    assert metrics.get == {"rows": 3, "missing:payment_installments": 1, "missing:note": 1, "installments_below_one": 1}
 
 
 @pytest.mark.parametrize(
