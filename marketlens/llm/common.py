@@ -21,6 +21,7 @@ BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +29,8 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, so that tasks can import it where it is not installed."""
+    """Send this package to the executors, once an application, so that tasks can import it where it is not installed.
+    A Python function takes along what was sent before it was made, so operators call this first."""
     import marketlens
 
     sc, top = spark.sparkContext, Path(marketlens.__file__).parent

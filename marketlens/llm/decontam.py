@@ -1,6 +1,6 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is cut by documents: each row of it is a segment with the postings (word hash to sorted
+The index is cut by documents: each row of it is a segment with the postings (word digest to sorted
 positions) of some whole documents, stored as Parquet in the shared folder, so that neither building
 nor searching it shuffles text or postings, and a word as frequent as can be only lengthens lists
 inside segments. A phrase is found by intersecting the lists of its words, each adjusted by
@@ -8,8 +8,7 @@ the word's offset, from the rarest word of the segment on; a phrase with a word
 lacks costs one lookup. The stated query set (the benchmark) is read by the tasks in blocks from the
 shared folder, never through the driver, so it may be large as well.
 
-Words are compared by 64-bit hashes: a false match needs such a collision at its place in a phrase
-whose other words all match.
+Words are compared by 128-bit BLAKE2 digests of their bytes.
 """
 
 from __future__ import annotations
@@ -22,8 +21,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import land, packed_text, shared_files, text_chunks
-from marketlens.llm.kernels import word_hashes
+from marketlens.llm.common import land, packed_text, shared_files, ship_package, text_chunks
+from marketlens.llm.kernels import word_digests
 
 #: Text bytes of a segment (or one longer document), and benchmark items of a block.
 SEGMENT_BYTES = 2 << 20
@@ -43,19 +42,19 @@ class Segment:
 
     @classmethod
     def of_text(cls, col: pa.Array) -> Segment:
-        hashes, rows = word_hashes(*packed_text(col))
-        order = np.argsort(hashes, kind="stable")
-        ordered = hashes[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
-        counts = np.diff(np.append(first, len(ordered)))
-        return cls(ordered[first], counts, order, np.bincount(rows, minlength=len(col)))
-
-    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers of word hashes, and their counts (0: not in this segment)."""
+        digests, word, rows = word_digests(*packed_text(col))
+        by_digest = np.argsort(digests)
+        rank = np.empty(len(digests), np.int64)
+        rank[by_digest] = np.arange(len(digests))
+        term = rank[word]
+        return cls(digests[by_digest], np.bincount(term, minlength=len(digests)), np.argsort(term, kind="stable"), np.bincount(rows, minlength=len(col)))
+
+    def lookup(self, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of words, and their counts (0: not in this segment)."""
         if not len(self.terms):
-            return np.zeros(hashes.shape, np.int64), np.zeros(hashes.shape, np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        return at, np.where(self.terms[at] == hashes, self.counts[at], 0)
+            return np.zeros(digests.shape, np.int64), np.zeros(digests.shape, np.int64)
+        at = np.minimum(np.searchsorted(self.terms, digests), len(self.terms) - 1)
+        return at, np.where(self.terms[at] == digests, self.counts[at], 0)
 
     def postings(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All positions of the given terms, and which of the terms each belongs to."""
@@ -74,10 +73,10 @@ class Segment:
             self._keys = np.repeat(np.arange(len(self.terms)), self.counts) << 32 | self.positions
         return self._keys
 
-    def phrases(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact matches of the phrases in the rows of ``hashes`` (n, width): (phrase, first position)."""
-        width = hashes.shape[1]
-        term, counts = self.lookup(hashes)
+    def phrases(self, known: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact matches of the phrases in the rows of ``words`` (n, width; numbers of looked-up words): (phrase, first position)."""
+        width = words.shape[1]
+        term, counts = known[0][words], known[1][words]
         alive = np.flatnonzero((counts > 0).all(axis=1))
         term, rank = term[alive], np.argsort(counts[alive], axis=1, kind="stable")
         ranked = np.take_along_axis(term, rank, axis=1)
@@ -94,10 +93,11 @@ class Segment:
             start, which = start[ok], which[ok]
         return alive[which], start
 
-    def near(self, hashes: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, position): where a word of a row of ``hashes`` (n, width) stands from which on all words of the row stand, in any order,
-        within ``reach`` words of the same document. The rarest word of the segment only finds the candidates."""
-        term, counts = self.lookup(hashes)
+    def near(self, known: tuple[np.ndarray, np.ndarray], words: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, position): where a word of a row of ``words`` (n, width; numbers of looked-up words) stands from which on all words
+        of the row stand, in any order, within ``reach`` words of the same document. The rarest word of the segment only finds
+        the candidates."""
+        term, counts = known[0][words], known[1][words]
         alive = np.flatnonzero((counts > 0).all(axis=1))
         if not len(alive):
             return np.empty(0, np.int64), np.empty(0, np.int64)
@@ -142,6 +142,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The stored index of ``docs``: one row a segment, with the ids of its documents (rows of ``docs``, repeated
     ones too, null ids too). Positions are stored as differences inside a list."""
     id_type = docs.select(F.col(id_col)).schema[0].dataType
+    ship_package(docs.sparkSession)
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_chunks(batches, "text", SEGMENT_BYTES):
@@ -149,7 +150,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             gaps = np.diff(s.positions, prepend=0).astype(np.int64)
             gaps[s.begin[:-1]] = s.positions[s.begin[:-1]]
             ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
-            raw = [s.words.astype("<u4"), s.terms.astype("<u8"), s.counts.astype("<u4"), gaps.astype("<u4")]
+            raw = [s.words.astype("<u4"), s.terms, s.counts.astype("<u4"), gaps.astype("<u4")]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["ids", "words", "terms", "counts", "positions"])
 
     schema = f"ids array<{id_type.simpleString()}>, {_INDEX_SCHEMA}"
@@ -157,7 +158,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _stored(batch: pa.RecordBatch, i: int) -> Segment:
-    words, terms, counts, gaps = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("words", "<u4"), ("terms", "<u8"), ("counts", "<u4"), ("positions", "<u4")))
+    words, terms, counts, gaps = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("words", "<u4"), ("terms", "S16"), ("counts", "<u4"), ("positions", "<u4")))
     counts = counts.astype(np.int64)
     run = np.cumsum(gaps.astype(np.int64))
     first = np.cumsum(counts) - counts
@@ -166,11 +167,12 @@ def _stored(batch: pa.RecordBatch, i: int) -> Segment:
 
 
 class _Block:
-    """Windows of some benchmark items: for each width, word hashes (n, width) and the item of each window."""
+    """Windows of some benchmark items: digests of their words, and for each width the word numbers (n, width) and the
+    item of each window."""
 
     def __init__(self, ids: list[str], texts: pa.Array, width: int) -> None:
         self.ids = ids
-        hashes, rows = word_hashes(*packed_text(texts))
+        self.digests, word, rows = word_digests(*packed_text(texts))
         words = np.bincount(rows, minlength=len(ids))
         first = np.cumsum(words) - words
         self.windows = {}
@@ -180,7 +182,7 @@ class _Block:
             which = np.repeat(items, n)
             start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[which]
             if len(which):
-                self.windows[w] = (hashes[start[:, None] + np.arange(w)], which)
+                self.windows[w] = (word[start[:, None] + np.arange(w)], which)
 
 
 _blocks: dict[tuple[str, int], list[_Block]] = {}
@@ -210,8 +212,9 @@ def _hits(segments: list[Segment], files: list[str], width: int) -> Iterator[tup
     items = [set() for _ in segments]
     for block in _read_blocks(files, width):
         for k, s in enumerate(segments):
-            for w, (hashes, item) in block.windows.items():
-                phrase, start = s.phrases(hashes)
+            known = s.lookup(block.digests)
+            for w, (words, item) in block.windows.items():
+                phrase, start = s.phrases(known, words)
                 if len(start):
                     spans[k].append(np.stack([start, start + w], axis=1))
                     pairs = np.unique(np.stack([s.doc_of[start], item[phrase]], axis=1), axis=0)
@@ -289,8 +292,9 @@ def near_matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop:
                 places = [np.zeros(len(s.doc_of), bool) for s in segments]
                 for block in _read_blocks(files, width):
                     for k, s in enumerate(segments):
-                        for w, (hashes, item) in block.windows.items():
-                            row, start = s.near(hashes, w + slop)
+                        known = s.lookup(block.digests)
+                        for w, (rows, item) in block.windows.items():
+                            row, start = s.near(known, rows, w + slop)
                             places[k][start] = True
                             for d, i in np.unique(np.stack([s.doc_of[start], item[row]], axis=1), axis=0).tolist():
                                 items[k][d].add(block.ids[i])
@@ -306,13 +310,13 @@ def near_matches(index: DataFrame, benchmark: DataFrame, width: int = 10, slop:
 def proximity_matches(index: DataFrame, words: str, slop: int) -> DataFrame:
     """(id, position): each place of one of ``words`` from which on all of them stand, in any order, at most ``slop`` words
     further in the same document. No words, or a word that is nowhere: no rows."""
-    hashes, _ = word_hashes(*packed_text(pa.array([words])))
+    digests, _, _ = word_digests(*packed_text(pa.array([words])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows if len(hashes) else 0):
+            for i in range(batch.num_rows if len(digests) else 0):
                 s = _stored(batch, i)
-                _, found = s.near(np.unique(hashes)[None, :], slop + 1)
+                _, found = s.near(s.lookup(digests), np.arange(len(digests))[None, :], slop + 1)
                 doc = s.doc_of[found]
                 place = found - (np.cumsum(s.words) - s.words)[doc]
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1).flatten().take(pa.array(doc)), pa.array(place)], ["id", "position"])
@@ -330,7 +334,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, text
     """The rows of ``docs`` without a hit word, with the columns of ``docs``. The postings of a task's documents
     are searched where they are made, so that rows need no identity; the rest is as in
     ``phrase_matches``."""
-    files = _benchmark_files(benchmark, "item_id", "text")
+    files = _benchmark_files(benchmark, "item_id", "text")  # lands a frame, so the package is sent
     names = docs.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BYTES = np.arange(256)
@@ -39,16 +41,47 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(np.add.reduceat(body, first))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of packed rows, and each word's row. Words never cross rows."""
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different byte ranges (disjoint, ascending, non-empty): the number of one range of each, and each range's group.
+    Hashes only sort them; ranges are in one group if their bytes are equal."""
+    _, at, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    lengths, model = ends - starts, at[which]
+    same = lengths == lengths[model]
+    rows = np.flatnonzero(same & (model != np.arange(len(starts))))
+    n = lengths[rows]
+    first = np.cumsum(n) - n
+    place = np.arange(n.sum()) - np.repeat(first, n)
+    differ = data[place + np.repeat(starts[rows], n)] != data[place + np.repeat(starts[model[rows]], n)]
+    odd = rows[np.add.reduceat(differ, first, dtype=np.int64) > 0] if len(rows) else rows
+    odd = np.concatenate([np.flatnonzero(~same), odd])
+    if len(odd):  # other bytes of the same hash: groups of their own
+        own: dict[bytes, int] = {}
+        more = []
+        for i in odd.tolist():
+            raw = data[starts[i] : ends[i]].tobytes()
+            if raw not in own:
+                own[raw] = len(at) + len(more)
+                more.append(i)
+            which[i] = own[raw]
+        at = np.concatenate([at, more])
+    return at, which
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """128-bit BLAKE2 digests of the different lower-cased words of packed rows, and each word's number among them
+    and row. Words never cross rows."""
     low = LOWER[data]
     inside = WORD[low]
+    none = np.empty(0, np.int64)
     if not inside.any():
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, "S16"), none, none
     follows = np.empty(len(data) + 1, bool)  # byte i continues the word of byte i - 1
     follows[0] = follows[-1] = False
     np.logical_and(inside[1:], inside[:-1], out=follows[1:-1])
     follows[offsets[:-1]] = False
     starts = np.flatnonzero(inside & ~follows[:-1])
     ends = np.flatnonzero(inside & ~follows[1:]) + 1
-    return range_hashes(low, starts, ends), np.searchsorted(offsets, starts, side="right") - 1
+    at, which = distinct_ranges(low, starts, ends)
+    raw = low.tobytes()
+    digests = [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    return np.array(digests, "S16"), which, np.searchsorted(offsets, starts, side="right") - 1

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import land, small_side
+from marketlens.llm.common import land, ship_package, small_side
 from marketlens.llm.components import connected_components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id take part, and are never a smallest id; a component without any id has a null
     ``component_id``. Repeated rows stay. Empty table: no rows. Other columns are not looked at.
     """
+    ship_package(docs.sparkSession)
     prints = land(docs.select(F.col(id_col), fingerprints(F.col(text_col), shingle).alias("fp")), "simhash")
     return prints.join(component_ids(prints, id_col, max_bits), "fp").select(
         id_col, "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"

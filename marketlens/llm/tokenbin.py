@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import land, packed_text, shared_files, shared_folder, text_chunks
-from marketlens.llm.kernels import LOWER, range_hashes
+from marketlens.llm.kernels import LOWER, distinct_ranges
 
 MAGIC = b"MLTOK01\n"
 _ROW = np.dtype([("offset", "<u8"), ("length", "<u4"), ("n", "<u4"), ("id", "<u8")])
@@ -141,7 +141,7 @@ class Encoder:
             return [x.tobytes() for x in self._whole(texts)]
         data, offsets = packed_text(col)
         body, starts, ends, rows, letters = segments(data, offsets)
-        _, at, which = np.unique(range_hashes(body, starts, ends), return_index=True, return_inverse=True)
+        at, which = distinct_ranges(body, starts, ends)
         raw = body.tobytes()
         words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         new = [i for i, w in enumerate(words) if w not in self.slots]
