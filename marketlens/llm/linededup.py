@@ -1,6 +1,6 @@
 """Corpus-wide line dedup in DataFrame functions.
 
-Lines are exploded as 128-bit keys of their normalised form, counted over documents, and the positions
+Lines are exploded as 120-bit keys of their normalised form, counted over documents, and the positions
 of lines over the threshold come back to their text, where the kept pieces between them are joined
 again. Only narrow rows are shuffled for counting: equal texts are one group (their number is the
 weight of each of their keys), so a text with very many copies, or a line found in a third of all
@@ -19,8 +19,9 @@ _BLANKS = "\x20\x09\x0b\x0c\x0d"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _hash128(c: Column) -> Column:
-    return F.struct(F.xxhash64(c).alias("a"), F.xxhash64(F.lit(7), c).alias("b"))
+def _key(c: Column) -> Column:
+    """120 bits of SHA-256 as text: one plain value, which array functions put into hash sets (structs are compared pair by pair)."""
+    return F.base64(F.substring(F.unhex(F.sha2(c, 256)), 1, 15))
 
 
 def _lines(text: Column) -> Column:
@@ -43,8 +44,8 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
     """
     text = F.col(text_col)
     body = F.coalesce(text, F.lit(""))
-    keyed = docs.select(_hash128(body).alias("__t"), body.alias("__text"))
-    hashed = F.transform(line_keys(F.col("__text")), lambda x: F.when(F.char_length(x) >= min_key_chars, _hash128(x)))
+    keyed = docs.select(_key(body).alias("__t"), body.alias("__text"))
+    hashed = F.transform(line_keys(F.col("__text")), lambda x: F.when(F.char_length(x) >= min_key_chars, _key(x)))
     # one row per text: its number of copies and its line keys (equal texts have equal keys)
     texts = land(
         keyed.select("__t", hashed.alias("keys")).groupBy("__t").agg(F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys")),
@@ -55,7 +56,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
     common = land(distinct.groupBy("key").agg(F.sum("copies").alias("n")).filter(F.col("n") >= min_docs).select("key"), "common-lines")
     drops = lines.join(small_side(common), "key", "left_semi").groupBy("__t").agg(F.sort_array(F.collect_list("pos")).alias("__drop"))
     # landed, so that the join below has a plain exchange on either side and a text with very many copies can be split
-    out = docs.withColumn("__t", _hash128(body)).join(land(drops, "line-drops"), "__t", "left")
+    out = docs.withColumn("__t", _key(body)).join(land(drops, "line-drops"), "__t", "left")
     n = F.size("__drop")
     # the slices before the first, between consecutive and after the last dropped lines
     starts = F.concat(F.array(F.lit(0)), F.transform("__drop", lambda p: p + 1))
