@@ -9,22 +9,23 @@ read off sorted suffixes; but only suffixes that can matter are sorted:
    from them on, d being that offset.
 2. If they do, they agree in half the length on one side. Anchors neither of whose halves (by hash) is
    found twice are dropped, by a count with map-side sums: unique text ends here.
-3. Anchors with equal surroundings are one context with a number, so copies collapse before anything is
-   exchanged. A context found twice is settled. What is left to compare are different contexts
-   with the same gram.
+3. Anchors with equal surroundings (a 128-bit BLAKE2 digest of their bytes) are one context with a number, so copies
+   collapse before anything is exchanged. A context found twice is settled. What is left to compare are different
+   contexts with the same gram.
 4. Tasks sort the suffixes of their contexts, and exchange these runs front-coded (length of the prefix
    shared with the one before, and the rest), cut into ranges of the gram's hash. A range is
    merged by a loser tree that carries common prefix lengths and goes on comparing where the known
    prefix ends. Grams of the merged order with more than one context are compared: which offsets d
    have an equal partner.
-5. A gram with more than ``hot`` contexts does not go to one task: its windows are counted as 128-bit hashes.
+5. A gram with more than ``hot`` contexts does not go to one task: its windows are counted by 128-bit digests.
 
-Positions are found by hash, equality of what is compared in 4 by bytes. Texts stand in the shared folder
+Positions are found by rolling hash, which can only add work; equality is told by bytes in 4, else by digest. Texts stand in the shared folder
 with row numbers once and are never shuffled; what tasks need for their rows they read from there.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,6 +98,11 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray, length: int, hashes: Rol
     return np.flatnonzero(mark)
 
 
+def _context(around: bytes, right: int) -> bytes:
+    """The digest that stands for the bytes around an anchor and for where it lies among them."""
+    return hashlib.blake2b(around, digest_size=16, salt=right.to_bytes(16, "little")).digest()
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     half, reach = length // 2, length - GRAM
     names = ["left", "right", "gram", "context", "uid", "pos"]
@@ -113,11 +119,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         has_left, has_right = at - half >= start, at + length - half <= end
         left = hashes.of(np.maximum(at - half, 0), at)
         right = hashes.of(at, np.minimum(at + length - half, len(data))) ^ np.uint64(0x5851F42D4C957F2D)
-        around = mix(hashes.of(to_left, at) + (at - to_left).astype(np.uint64)) * np.uint64(3) + hashes.of(at, to_right) + (to_right - at).astype(np.uint64)
+        raw = data.tobytes()
+        around = [_context(raw[a:b], b - c) for a, b, c in zip(to_left.tolist(), to_right.tolist(), at.tolist(), strict=True)]
         gram = mix(hashes.of(at, at + GRAM) ^ np.uint64(0x2545F4914F6CDD1D))
         uid = part.column("uid").to_numpy()[row]
         cols = [pa.array(left.view(np.int64), mask=~has_left), pa.array(right.view(np.int64), mask=~has_right)]
-        cols += [pa.array(gram.view(np.int64)), pa.array(mix(around).view(np.int64)), pa.array(uid), pa.array(at - start)]
+        cols += [pa.array(gram.view(np.int64)), pa.array(around, pa.binary()), pa.array(uid), pa.array(at - start)]
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
@@ -168,10 +175,10 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return n - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8
 
 
-_HEAD = np.dtype([("shared", "<u2"), ("key", "<u2"), ("same_left", "<u2"), ("left", "<u2"), ("n", "u1"), ("context", "<i8")])
+_HEAD = np.dtype([("shared", "<u2"), ("key", "<u2"), ("same_left", "<u2"), ("left", "<u2"), ("n", "u1"), ("context", "V16")])
 
 
-def front_code(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
+def front_code(entries: list[tuple[bytes, bytes, int, bytes]]) -> bytes:
     """Sorted entries (key, reversed left side, number, context) as heads and the bytes that are not
     shared with the entry before."""
     heads, rest = np.zeros(len(entries), _HEAD), []
@@ -184,7 +191,7 @@ def front_code(entries: list[tuple[bytes, bytes, int, int]]) -> bytes:
     return len(entries).to_bytes(4, "little") + heads.tobytes() + b"".join(rest)
 
 
-def front_decode(blob: bytes) -> Iterator[tuple[bytes, bytes, int, int, int]]:
+def front_decode(blob: bytes) -> Iterator[tuple[bytes, bytes, int, bytes, int]]:
     """(key, reversed left side, number, context, prefix shared with the key before)."""
     n = int.from_bytes(blob[:4], "little")
     at = 4 + n * _HEAD.itemsize
@@ -197,7 +204,7 @@ def front_decode(blob: bytes) -> Iterator[tuple[bytes, bytes, int, int, int]]:
         yield key, left, count, context, shared
 
 
-def merge_runs(runs: list[Iterator[tuple[bytes, bytes, int, int, int]]]) -> Iterator[tuple[bytes, bytes, int, int, int]]:
+def merge_runs(runs: list[Iterator[tuple[bytes, bytes, int, bytes, int]]]) -> Iterator[tuple[bytes, bytes, int, bytes, int]]:
     """Merge sorted runs by a loser tree; yields entries with the prefix each key shares with the one before.
 
     Every candidate carries its common prefix with the last key put out. Of two candidates the one with the
@@ -243,14 +250,14 @@ def merge_runs(runs: list[Iterator[tuple[bytes, bytes, int, int, int]]]) -> Iter
 # --- offsets at which contexts of one gram have an equal partner ------------------------------
 
 
-def equal_offsets(group: list[tuple[bytes, bytes, int, int, int]], length: int) -> dict[int, list[tuple[int, int]]]:
+def equal_offsets(group: list[tuple[bytes, bytes, int, bytes, int]], length: int) -> dict[bytes, list[tuple[int, int]]]:
     """For each context of a group with one gram, in key order: the ranges (first, last) of offsets d at which
     d bytes to the left and length - d bytes on the right are those of another member as well.
 
     Key: 8 bytes of range order, then the right side. A context with a number over 1 has itself as partner.
     """
     reach = length - GRAM
-    out: dict[int, list[tuple[int, int]]] = {}
+    out: dict[bytes, list[tuple[int, int]]] = {}
     if len(group) <= 24:
         for i, (key, left, _, context, _) in enumerate(group):
             for j in range(i):
@@ -290,8 +297,8 @@ def equal_offsets(group: list[tuple[bytes, bytes, int, int, int]], length: int)
 
 def _merged_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     def solve(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, int]] = []
-        group: list[tuple[bytes, bytes, int, int, int]] = []
+        rows: list[tuple[int, bytes, int, int]] = []
+        group: list[tuple[bytes, bytes, int, bytes, int]] = []
 
         def settle() -> None:
             if len(group) > 1:
@@ -322,9 +329,10 @@ def _merged_spans(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa
         yield from solve(blobs)
 
 
-def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    cols = np.array(rows, np.int64).reshape(-1, 4)
-    return pa.RecordBatch.from_arrays([pa.array(cols[:, i]) for i in range(4)], ["gram", "context", "first", "last"])
+def _span_batch(rows: list[tuple[int, bytes, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], ["gram", "context", "first", "last"])
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -373,19 +381,14 @@ def _hot_windows(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                     start = np.arange(max(0, at - reach), min(at, len(near) - length) + 1)
                     if not len(start):
                         continue
-                    a = RollingHash(near).of(start, start + length)
-                    b = RollingHash(LATIN[near]).of(start, start + length)
-                    cols = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(at - start)]
-                    same = [pa.array(np.full(len(start), x, np.int64)) for x in (gram, context)]
-                    yield pa.RecordBatch.from_arrays([*cols, *same], ["a", "b", "d", "gram", "context"])
-
-    rows = land(texts.mapInArrow(windows, "a long, b long, d long, gram long, context long"), "dedup-windows")
-    twice = land(rows.groupBy("a", "b", "d").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "dedup-window-counts")
-    return rows.join(twice, ["a", "b", "d"], "left_semi").select("gram", "context", F.col("d").alias("first"), F.col("d").alias("last"))
-
+                    around = near.tobytes()
+                    found = [hashlib.blake2b(around[a : a + length], digest_size=16).digest() for a in start.tolist()]
+                    cols = [pa.array(found, pa.binary()), pa.array(at - start), pa.array(np.full(len(start), gram)), pa.array([context] * len(start), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["window", "d", "gram", "context"])
 
-#: A second reading of bytes, so that two hashes of a window are independent.
-LATIN = np.random.default_rng(5).permutation(256).astype(np.uint8)
+    rows = land(texts.mapInArrow(windows, "window binary, d long, gram long, context binary"), "dedup-windows")
+    twice = land(rows.groupBy("window", "d").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"), "dedup-window-counts")
+    return rows.join(twice, ["window", "d"], "left_semi").select("gram", "context", F.col("d").alias("first"), F.col("d").alias("last"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot: int = 50_000) -> DataFrame:
@@ -402,7 +405,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = land(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("uid")), "dedup-texts")
     long = texts.filter(F.octet_length("text") >= length).select("uid", "text")
-    anchors = land(long.mapInArrow(lambda it: _anchor_rows(it, length), "left long, right long, gram long, context long, uid long, pos long"), "dedup-anchors")
+    anchors = land(long.mapInArrow(lambda it: _anchor_rows(it, length), "left long, right long, gram long, context binary, uid long, pos long"), "dedup-anchors")
     halves = anchors.select(F.explode(F.array("left", "right")).alias("half"), "gram", "context", "uid", "pos").filter("half is not null")
     # landed, so that both sides of the join are plain exchanges and a hot half can be split
     twice = land(halves.groupBy("half").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("half"), "dedup-halves")
@@ -411,7 +414,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = land(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "dedup-grams")
     open_ = land(contexts.join(small_side(sizes), "gram").select("at.uid", "at.pos", "gram", "context", "n", "members"), "dedup-open")
     runs = _front_coded_runs(long, open_.filter(F.col("members") <= hot).drop("members"), length, n)
-    spans = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(lambda it: _merged_spans(it, length), "gram long, context long, first long, last long")
+    spans = runs.repartition(n, "range").sortWithinPartitions("range").mapInArrow(lambda it: _merged_spans(it, length), "gram long, context binary, first long, last long")
     full = contexts.filter("n > 1").select("gram", "context", F.lit(0).cast("long").alias("first"), F.lit(length - GRAM).cast("long").alias("last"))
     found = full.union(spans)
     if not open_.filter(F.col("members") > hot).isEmpty():

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import chat, decontam, kernels, licenses, linededup, mixing, quality, simhash, suffixdedup, tokenbin, warc
+from marketlens.llm import chat, decontam, kernels, licenses, linededup, mixing, quality, queries, simhash, suffixdedup, tokenbin, warc
 from marketlens.llm.common import land
 from marketlens.llm.components import connected_components
 
@@ -313,7 +313,7 @@ def test_benchmark_proximity(spark, docs, items, pairs, monkeypatch):
     monkeypatch.setattr(decontam, "CANDIDATES", 3)
     segment = decontam.Segment.of_text(pa.array([" ".join(mixed)] * 9))
     block = decontam._Block(["5"], pa.array([pairs[0][1]]), 10)
-    row, start = segment.near(block.windows[10][0], 15)
+    row, start = segment.near(segment.lookup(block.digests), block.windows[10][0], 15)
     assert set(segment.doc_of[start].tolist()) == set(range(9)) and len(row) == len(start)
 
 
@@ -323,11 +323,67 @@ def test_decontamination_empty_tables(spark, docs, empty):
     assert decontam.phrase_matches(decontam.build_index(docs), none).filter("size(spans) > 0").count() == 0
 
 
-def test_word_hashes_follow_the_words():
+def test_word_digests_follow_the_words():
     texts = ["Ab-c é9!x", "", None, "x", "-"]
-    h, row = kernels.word_hashes(*decontam.packed_text(pa.array(texts)))
+    digests, word, row = kernels.word_digests(*decontam.packed_text(pa.array(texts)))
     assert row.tolist() == [0, 0, 0, 0, 3]
-    assert h[3] == h[4] and len(set(h.tolist())) == 4
+    assert word[3] == word[4] and len(set(word.tolist())) == 4 == len(set(digests.tolist()))
+
+
+def _complements(n=1024, letters="ab"):
+    """Two words that any polynomial hash modulo 2^64 with an odd base takes for one: a Thue-Morse word and its complement."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_of_one_hash_are_two_words():
+    one, other = _complements()
+    data, offsets = decontam.packed_text(pa.array([one, other, one, f"{other} {one}"]))
+    starts, ends = np.array([0, 1024, 2048, 3072, 4097]), np.array([1024, 2048, 3072, 4096, 5121])
+    assert len(set(kernels.range_hashes(data, starts, ends).tolist())) == 1
+    at, which = kernels.distinct_ranges(data, starts, ends)
+    assert which.tolist() == [which[0], which[1], which[0], which[1], which[0]] and which[0] != which[1] and len(at) == 2
+
+
+def test_no_match_of_words_of_one_hash(spark):
+    one, other = _complements()
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", other)], "item_id string, text string")
+    found = {r.id: r["items"] for r in decontam.phrase_matches(decontam.build_index(docs), items).collect()}
+    assert found == {1: [], 2: ["i"]}
+
+
+def test_tokens_of_words_of_one_hash(spark):
+    from tokenizers import Tokenizer
+
+    one, other = _complements()
+    texts = [f"{one} {other}", other, one]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    got = {r.id: np.frombuffer(r.ids, "<u4").tolist() for r in tokenbin.read_tokens(tokenbin.write_tokens(docs, queries.tokenizer_path(), 2, shards=1)).collect()}
+    assert got == {i: [*whole.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+
+
+def test_different_texts_of_one_hash_stay(spark):
+    """Surroundings of one rolling hash, and windows of one, are told apart by their digests."""
+    one, other = _complements(2048, "xy")
+    for texts in ([one, other], [one[:1024] + "Q" * 500, other[:1024] + "Q" * 500], [one + "1" * 400 + other, one]):
+        rows = list(enumerate(texts))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for hot in (50_000, 0):
+            out = suffixdedup.remove_repeats(docs, hot=hot).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256))
+            assert _sorted(out.collect()) == _sorted(brute.repeats(rows))
+
+
+def test_a_text_of_very_many_lines(spark):
+    import time
+
+    lines = "\n".join(f"line {i}" for i in range(200_000))
+    docs = spark.createDataFrame([(i, lines if i == 0 else "line 7\nx") for i in range(12)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped").collect()}
+    assert got == {0: (200_000, 1)} | {i: (2, 2) for i in range(1, 12)}
+    assert time.time() - began < 60
 
 
 # --- Quality ---------------------------------------------------------------------------------
