@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -48,10 +49,57 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+#: Folders made inside ``recorded`` blocks, by application, until ``release`` deletes them.
+_recorded: dict[str, list[str]] = {}
+_recording = False
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``."""
     ship_package(spark)
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    if _recording:
+        _recorded.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextmanager
+def recorded() -> Iterator[None]:
+    """Folders made in this block hold the intermediates of one step; ``release`` may delete them later."""
+    global _recording
+    before, _recording = _recording, True
+    try:
+        yield
+    finally:
+        _recording = before
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def release(result: DataFrame) -> None:
+    """Delete the recorded intermediates that ``result``, the landed outcome of the steps so far, does not read."""
+    spark = result.sparkSession
+    files = result.inputFiles()
+    held = _recorded.pop(spark.sparkContext.applicationId, [])
+    names = {path: path.rpartition("/")[2] for path in held}
+    used = {path for path in held if any(names[path] in f for f in files)}
+    for path in held:
+        if path not in used:
+            delete_folder(spark, path)
+    if used:
+        _recorded[spark.sparkContext.applicationId] = [path for path in held if path in used]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as keep it apart from the frame's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def land(df: DataFrame, name: str) -> DataFrame:

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import land, ship_package, small_side
 from marketlens.llm.components import connected_components
+from marketlens.llm.places import in_files, place, rows_at
 
 WIDTHS = (13, 13, 13, 13, 12)
 SEGMENTS = len(WIDTHS)
@@ -189,7 +190,8 @@ def near_links(prints: DataFrame, max_bits: int = 4, block: int = BLOCK) -> Data
     if not 0 <= max_bits <= 4:
         raise ValueError("max_bits must be between 0 and 4")
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.select("fp").mapInArrow(_keys, "key long, fp long")
+    # a landed file of fingerprints is small; its 64-fold keys are not
+    keyed = prints.select("fp").repartition(n).mapInArrow(_keys, "key long, fp long")
     shared = land(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "simhash-keys")
     two = shared.filter("n = 2").select("a", "b").mapInArrow(lambda it: _linked(it, True, max_bits), "a long, b long")
     members = keyed.join(small_side(shared.filter("n > 2").select("key", "n")), "key")
@@ -224,27 +226,27 @@ def component_ids(prints: DataFrame, id_col: str, max_bits: int) -> DataFrame:
     fingerprint of a landed frame."""
     nodes = land(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "simhash-nodes")
     comps = land(connected_components(near_links(nodes, max_bits)), "simhash-comps")
-    joined = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    reps = joined.groupBy("component").agg(F.min("rep").alias("component_id"))
+    joined = land(nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-members")
+    # landed as well, so that the join has plain exchanges on either side and a large component can be split
+    reps = land(joined.groupBy("component").agg(F.min("rep").alias("component_id")), "simhash-reps")
     return joined.join(reps, "component").select("fp", "component", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps one: that with the smallest id (null only if it has no
-    other); of several with that id the one with the smallest fingerprint, then the first by all columns in
-    order. Same columns as ``docs``.
+    other); of several with that id the one with the smallest fingerprint, then with the smallest hash of its columns (maps
+    aside), then the first as it stands in the files. Same columns as ``docs``, whatever their names.
 
-    Which (fingerprint, id) stays is settled on narrow rows, one for each component; texts meet that list once.
+    Which row stays is settled on narrow rows told by their places; texts are read where they are and never shuffled.
     """
-    cols = docs.columns
-    marked = land(docs.withColumn("__fp", fingerprints(F.col(text_col), shingle)), "simhash-docs")
-    prints = marked.select(F.col(id_col).alias("id"), F.col("__fp").alias("fp"))
-    comps = land(component_ids(prints, "id", max_bits), "simhash-ids")
-    first = prints.join(comps, "fp").filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component", "fp").agg(F.min("id").alias("__id"), F.count(F.lit(1)).alias("__n"))
-    keep = first.groupBy("component").agg(F.min(F.struct("fp", "__id", "__n")).alias("k"))
-    keep = small_side(land(keep.select(F.col("k.fp").alias("__keep"), "k.__id", "k.__n"), "simhash-keep"))
-    stays = marked.join(keep, (F.col("__fp") == F.col("__keep")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    # repeated rows of one id and fingerprint: the rank limit is applied before the shuffle
-    w = Window.partitionBy("__fp").orderBy(*(F.col(c).asc_nulls_last() for c in cols))
-    tied = stays.filter("__n > 1").withColumn("__rank", F.row_number().over(w)).filter("__rank = 1")
-    return stays.filter("__n = 1").select(*cols).union(tied.select(*cols))
+    ship_package(docs.sparkSession)
+    docs = in_files(docs, "simhash-docs")
+    file, at = place(docs)
+    content = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    told = docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), shingle).alias("fp"), F.xxhash64(*content).alias("tie"), file.alias("file"), at.alias("at"))
+    prints = land(told, "simhash")
+    comps = land(component_ids(prints.select("id", "fp"), "id", max_bits), "simhash-ids")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "tie", "file", "at")).alias("first")
+    # rows that can be a component's first: of each fingerprint the least, before fingerprints meet their components
+    least = prints.groupBy("fp").agg(first).join(comps, "fp").groupBy("component").agg(F.min("first").alias("first"))
+    return rows_at(docs, least.select("first.file", "first.at"))

@@ -129,6 +129,46 @@ def test_one_of_each(docs, pairs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+def test_one_of_each_with_names_of_its_own(spark, tmp_path):
+    """Columns called as the working ones are, a MAP column, repeated rows, null ids; files and plain frames alike."""
+    same = "the quick brown fox jumps over the lazy dog again and again"
+    rows = [(4, same, 1, "x", {"a": 1}, 7), (4, same, 1, "x", {"a": 1}, 7), (9, same, 2, "y", None, 8), (None, same, 3, "z", None, 9), (5, None, 4, None, None, 1), (6, "", 5, None, None, 2), (7, "other words here", 6, "f", {}, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long, file string, at map<string, int>, __fp long")
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    for some in (docs, spark.read.parquet(str(tmp_path / "d"))):
+        kept = simhash.one_of_each(some)
+        assert kept.columns == docs.columns
+        assert sorted(tuple(r)[:3] for r in kept.collect()) == [(4, same, 1), (5, None, 4), (7, "other words here", 6)]
+        assert simhash.one_of_each(some.filter("false")).count() == 0
+
+
+def test_chosen_rows_stay_where_they_are(spark, tmp_path):
+    from marketlens.llm import places
+
+    spark.range(1000).withColumn("text", F.repeat(F.lit("x"), F.col("id").cast("int"))).repartition(7).write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    file, at = places.place(docs)
+    chosen = docs.select("id", file.alias("file"), at.alias("at")).filter("id % 3 = 1").drop("id")
+    out = places.rows_at(docs, chosen)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in out.collect()) == list(range(1, 1000, 3))
+
+
+def test_intermediates_go_once_their_outcome_is_landed(spark):
+    import os
+
+    from marketlens.llm import common
+
+    with common.recorded():
+        one = land(spark.range(3).toDF("a"), "gone")
+        two = land(one.filter("a > 0"), "stays")
+    paths = [p for held in common._recorded.values() for p in held][-2:]
+    common.release(two)
+    assert [os.path.exists(p.removeprefix("file:")) for p in paths] == [False, True] and two.count() == 2
+    common.release(land(two, "outcome"))
+    assert not os.path.exists(paths[1].removeprefix("file:"))
+
+
 @pytest.mark.parametrize("block", [3, 2000])
 def test_near_links_lose_no_connection(spark, block):
     """Clusters of fingerprints at 1 to 6 bits from a centre: blocks as small as three rows connect what all pairs connect."""
