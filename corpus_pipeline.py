@@ -6,14 +6,32 @@ that need a document's text again are taken where the text is, so that no stage
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import decontam, mixing, quality, simhash, tokenbin
-from marketlens.llm.common import land, table
+from marketlens.llm.common import delete_folder, land, recorded, release, table
 from marketlens.llm.queries import END_ID, tokenizer_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage whose intermediates go when the next stage begins: by then its outcome is landed and read from there."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(docs)
+        with recorded():
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or are outliers of their language and source, go."""
     return quality.good_documents(docs)
@@ -41,11 +59,11 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("simhash_near_dedup", near_duplicates),
-    ("benchmark_decontamination", decontamination),
-    ("source_mix", source_mix),
-    ("token_output", token_output),
+    ("quality_rules", _stage(quality_rules)),
+    ("simhash_near_dedup", _stage(near_duplicates)),
+    ("benchmark_decontamination", _stage(decontamination)),
+    ("source_mix", _stage(source_mix)),
+    ("token_output", _stage(token_output)),
 ]
 
 #: Robust estimates, fingerprints, components and token files have no SQL form.
@@ -53,8 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written as Parquet and read back."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written as Parquet, read back, and deleted once the next stage's are landed."""
+    docs, landed = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = land(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, before = land(stage(spark, docs, sf_dir), f"pipeline-{name}"), landed
+        landed = docs._jdf.queryExecution().analyzed().relation().location().rootPaths().head().toString()
+        if before:
+            delete_folder(spark, before)
     return docs
