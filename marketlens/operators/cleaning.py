@@ -147,7 +147,7 @@ def standardize_text(df: DataFrame) -> DataFrame:
 
 
 def text_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per text column missing before, blanks removed, missing after.
+    """Per text column missing before, blanks removed, missing after, and the type it has then.
 
     ``tables`` are the frames as they enter the text step (dates and ZIPs done).
     """
@@ -156,6 +156,7 @@ def text_report(tables: dict[str, DataFrame]) -> DataFrame:
         cols = text_columns(df)
         if not cols:
             continue
+        after = standardize_text(df).schema
         aggs = []
         for c in cols:
             stripped = F.regexp_replace(F.col(c), _STRIP, "")
@@ -172,6 +173,7 @@ def text_report(tables: dict[str, DataFrame]) -> DataFrame:
                     F.col(f"{c}__mb").cast("long").alias("missing_before"),
                     F.col(f"{c}__bl").cast("long").alias("blank_strings_removed"),
                     (F.col(f"{c}__mb") + F.col(f"{c}__bl")).cast("long").alias("missing_after"),
+                    F.lit(after[c].dataType.simpleString()).alias("data_type_after"),
                 )
             )
     return reduce(DataFrame.unionByName, parts)

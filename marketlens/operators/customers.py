@@ -176,12 +176,54 @@ def monthly_customer_growth(metrics: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ cohorts
-def cohort_retention(customer_summary_df: DataFrame, activity: DataFrame) -> DataFrame:
-    """Dense cohort x month-offset grid from offset 0 to the latest activity month."""
-    sizes = customer_summary_df.groupBy(F.col("first_order_month").alias("cohort_month")).agg(
-        F.count(F.lit(1)).alias("cohort_size")
+WORD_BITS = 64
+
+
+def month_sets(order_summary: DataFrame, origin: str = "_origin") -> DataFrame:
+    """One row per customer: the cohort month and the set of active months as a bitmap.
+
+    Bit i of the bitmap (64-bit words, lowest first) is the i-th month from ``origin``, the earliest month of all, which
+    stands in every row. The words are ORed by one hash aggregation with partial sums, so a customer is one row per
+    map task whatever the number of orders, and no (customer, month) rows are made distinct.
+    """
+    span = order_summary.agg(F.min("purchase_month").alias("lo"), F.max("purchase_month").alias("hi")).first()
+    months = 0 if span.lo is None else (span.hi.year - span.lo.year) * 12 + span.hi.month - span.lo.month + 1
+    first = F.lit(span.lo).cast("date")
+    at = months_between_int("purchase_month", first)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(WORD_BITS)))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(at / WORD_BITS) == w, bit)), F.lit(0).cast("long")) for w in range(-(-months // WORD_BITS) or 1)]
+    return order_summary.groupBy(CUSTOMER).agg(F.min("purchase_month").alias("cohort_month"), F.array(*words).alias("months")).withColumn(origin, first)
+
+
+def months_in(months: str, origin: str) -> F.Column:
+    """The months of a bitmap, as an array of dates."""
+    bits = F.transform(
+        F.col(months),
+        lambda word, w: F.filter(
+            F.transform(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.when(F.getbit(word, i) == 1, w * WORD_BITS + i)), lambda i: i.isNotNull()
+        ),
+    )
+    return F.transform(F.flatten(bits), lambda i: F.add_months(F.col(origin), i))
+
+
+def cohort_activity(sets: DataFrame, origin: str = "_origin") -> DataFrame:
+    """``cohort_month, activity_month, active_customer_count``: customers with equal cohort and bitmap are counted first (there
+    are few different bitmaps, as most customers are active in one month), then the set bits of each bitmap add its number."""
+    patterns = sets.groupBy("cohort_month", "months", origin).agg(F.count(F.lit(1)).alias("n"))
+    return patterns.select("cohort_month", F.explode(months_in("months", origin)).alias("activity_month"), "n").groupBy("cohort_month", "activity_month").agg(
+        F.sum("n").alias("active_customer_count")
     )
-    latest = activity.agg(F.max("activity_month").alias("_latest"))
+
+
+def cohort_retention(sets: DataFrame, activity: DataFrame) -> DataFrame:
+    """Dense cohort x month-offset grid from offset 0 to the latest activity month.
+
+    Customers are counted from the bitmaps of ``month_sets``: a cohort's size is the number of its bitmaps, and a cell
+    the number of those with the month's bit. Orders and payments are sums over ``activity``.
+    """
+    sizes = sets.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
+    counted = cohort_activity(sets)
+    latest = counted.agg(F.max("activity_month").alias("_latest"))
     span = months_between_int("_latest", "cohort_month")
     # generate_series(0, n) is empty for n < 0; sequence(0, NULL) yields no rows (trap T5).
     grid = (
@@ -193,12 +235,11 @@ def cohort_retention(customer_summary_df: DataFrame, activity: DataFrame) -> Dat
         )
         .withColumn("activity_month", F.add_months("cohort_month", F.col("months_since_first_order")))
     )
-    ca = activity.groupBy("cohort_month", "activity_month", "months_since_first_order").agg(
-        F.count(F.lit(1)).alias("active_customer_count"),
+    sums = activity.groupBy("cohort_month", "activity_month").agg(
         F.sum("monthly_order_count").alias("order_count"),
         money(F.sum("monthly_payment_value"), 24).alias("payment_value"),
     )
-    j = grid.join(ca, ["cohort_month", "activity_month", "months_since_first_order"], "left")
+    j = grid.join(counted, ["cohort_month", "activity_month"], "left").join(sums, ["cohort_month", "activity_month"], "left")
     active = F.coalesce("active_customer_count", F.lit(0))
     orders = F.coalesce("order_count", F.lit(0))
     pay = F.coalesce("payment_value", F.lit(0))

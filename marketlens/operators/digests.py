@@ -30,14 +30,14 @@ def _text(f: StructField) -> Column:
     return F.encode(c.cast("string"), "UTF-8")
 
 
-def _row(fields: list[StructField]) -> Column:
+def row_bytes(df: DataFrame) -> Column:
     """All values of a row, each after its length, so that no two rows read alike."""
-    parts = [F.coalesce(F.concat(F.encode(F.length(_text(f)).cast("string"), "UTF-8"), F.lit(b":"), _text(f)), F.lit(b"-")) for f in fields]
+    parts = [F.coalesce(F.concat(F.encode(F.length(_text(f)).cast("string"), "UTF-8"), F.lit(b":"), _text(f)), F.lit(b"-")) for f in df.schema.fields]
     return F.concat(*parts)
 
 
 def _cells(df: DataFrame, number: int) -> DataFrame:
-    values = [_row(df.schema.fields), *[_text(f) for f in df.schema.fields]]
+    values = [row_bytes(df), *[_text(f) for f in df.schema.fields]]
     cells = [F.struct(F.lit(number + i).alias("c"), F.unhex(F.md5(v)).alias("digest"), F.xxhash64(v).alias("check")) for i, v in enumerate(values)]
     return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where(F.col("digest").isNotNull())
 

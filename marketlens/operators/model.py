@@ -16,14 +16,27 @@ from marketlens.functions.exprs import day_diff, money, money_sum, ratio
 
 
 def order_items_agg(order_items: DataFrame) -> DataFrame:
-    """One row per order with item totals."""
-    return order_items.groupBy("order_id").agg(
-        F.count(F.lit(1)).cast("int").alias("item_count"),
-        F.count_distinct("product_id").cast("int").alias("distinct_product_count"),
-        F.count_distinct("seller_id").cast("int").alias("seller_count"),
+    """One row per order with item totals.
+
+    Each distinct count groups its column with the order first, so a hot order is many small groups, and items that lie
+    in buckets of the order stay there (one aggregate with two distincts would deal its multiplied rows anew).
+    """
+    products = order_items.groupBy("order_id", "product_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        money_sum("price").alias("price"),
+        money_sum("freight_value").alias("freight"),
+        money_sum(F.col("price") + F.col("freight_value")).alias("gross"),
+    )
+    totals = products.groupBy("order_id").agg(
+        F.sum("n").cast("int").alias("item_count"),
+        F.count("product_id").cast("int").alias("distinct_product_count"),
         money(money_sum("price")).alias("item_price_total"),
-        money(money_sum("freight_value")).alias("freight_total"),
-        money(money_sum(F.col("price") + F.col("freight_value"))).alias("gross_item_value"),
+        money(money_sum("freight")).alias("freight_total"),
+        money(money_sum("gross")).alias("gross_item_value"),
+    )
+    sellers = order_items.select("order_id", "seller_id").distinct().groupBy("order_id").agg(F.count("seller_id").cast("int").alias("seller_count"))
+    return totals.join(sellers, "order_id").select(
+        "order_id", "item_count", "distinct_product_count", "seller_count", "item_price_total", "freight_total", "gross_item_value"
     )
 
 
@@ -80,15 +93,29 @@ def _delivery_columns() -> dict:
     }
 
 
+CUSTOMER_COLUMNS = ["customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state"]
+
+
+def order_customers(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """The customer columns of each order, by ``order_id``."""
+    c = customers.select("customer_id", *CUSTOMER_COLUMNS)
+    return orders.select("order_id", "customer_id").join(c, "customer_id", "left").select("order_id", *CUSTOMER_COLUMNS)
+
+
+def _with_customer(df: DataFrame, customers: DataFrame) -> DataFrame:
+    """Customer columns joined by order (``order_customers``) or else by customer."""
+    key = "order_id" if "order_id" in customers.columns else "customer_id"
+    return df.join(customers.select(key, *CUSTOMER_COLUMNS), key, "left")
+
+
 def order_summary(
     orders: DataFrame, customers: DataFrame, order_items: DataFrame, payments: DataFrame, reviews: DataFrame
 ) -> DataFrame:
-    """One row per order, 51 columns."""
+    """One row per order, 51 columns. ``customers``: the table, or ``order_customers``."""
     oi = order_items_agg(order_items).withColumn("_oi", F.lit(True))
     pa = payments_agg(payments).withColumn("_pa", F.lit(True))
     ra = reviews_agg(reviews).withColumn("_ra", F.lit(True))
-    c = customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state")
-    j = orders.join(c, "customer_id", "left").join(oi, "order_id", "left").join(pa, "order_id", "left").join(ra, "order_id", "left")
+    j = _with_customer(orders, customers).join(oi, "order_id", "left").join(pa, "order_id", "left").join(ra, "order_id", "left")
 
     p = F.col("order_purchase_timestamp")
     a = F.col("order_approved_at")
@@ -172,10 +199,9 @@ def order_item_detail(
         "has_status_date_mismatch",
         "is_valid_delivery_record",
     )
-    c = customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state")
     p = products.select("product_id", "product_category_name", "product_category_name_english")
     s = sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
-    j = order_items.join(o, "order_id", "left").join(c, "customer_id", "left").join(p, "product_id", "left").join(s, "seller_id", "left")
+    j = _with_customer(order_items.join(o, "order_id", "left"), customers).join(p, "product_id", "left").join(s, "seller_id", "left")
     dates = _order_dates()
     deliv = _delivery_columns()
     car = F.col("order_delivered_carrier_date")

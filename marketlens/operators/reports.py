@@ -77,13 +77,13 @@ def segment_distribution(segments: DataFrame) -> DataFrame:
 
 
 def top_categories_frame(categories: DataFrame, k: int = 10) -> DataFrame:
-    """Top-k categories by revenue, plus the overall freight share of all categories."""
+    """Top-k categories by revenue, smallest first for display (O6), plus the overall freight share of all categories."""
     overall = categories.agg(pct(F.sum("freight_total"), F.sum(F.col("item_price_total") + F.col("freight_total"))).alias("overall_freight_share_pct"))
     top = categories.orderBy(F.desc("item_price_total"), "product_category_name_english").limit(k)
     label = F.initcap(F.regexp_replace("product_category_name_english", "_", " "))
     return top.crossJoin(F.broadcast(overall)).select(
         "product_category_name_english", label.alias("category_label"), "item_price_total", "freight_share_pct", "overall_freight_share_pct"
-    )
+    ).orderBy("item_price_total", F.desc("product_category_name_english"))
 
 
 def _order_by_list(col: str, values: list[str]) -> F.Column:

@@ -27,6 +27,10 @@ TEST_MANUAL_TRANSLATIONS = cleaning.MANUAL_TRANSLATIONS + [
 ]
 
 
+#: Clean tables that nearly every model and report groups or joins by one key.
+BUCKETS = {"orders": "order_id", "order_items": "order_id", "payments": "order_id", "reviews": "order_id", "customers": "customer_id"}
+
+
 class Marketplace:
     """Raw, clean and model frames for one data root."""
 
@@ -38,6 +42,7 @@ class Marketplace:
         self._folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/marketlens-{uuid.uuid4().hex[:12]}"
         self._kept: list[DataFrame] = []
         self._metrics: dict[str, observed.Metrics] = {}
+        self._tables: list[str] = []
         #: Report frames built over this data root (see ``registry.Views``).
         self.memo: dict[str, DataFrame] = {}
 
@@ -54,42 +59,59 @@ class Marketplace:
             df.unpersist()
         self._kept.clear()
         self.memo.clear()
-        for name in ("raw", "clean", "models", "completed_items", "distinct_values"):
+        for name in ("raw", "clean", "models", "order_customers", "completed_items", "distinct_values"):
             self.__dict__.pop(name, None)
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._tables.clear()
         self._metrics.clear()
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self._folder)
         path.getFileSystem(conf).delete(path, True)
         _CACHE.pop(_cache_key(self.spark, self.sf_dir), None)
 
-    def _land(self, layer: str, frames: dict[str, DataFrame], checks: dict | None = None) -> dict[str, DataFrame]:
+    def _land(self, layer: str, frames: dict[str, DataFrame], checks: dict | None = None, buckets: dict[str, str] | None = None) -> dict[str, DataFrame]:
         """Write a layer as parquet in the shared checkpoint folder and read it back.
 
         This is the reference's "clean CSV -> load" boundary: downstream jobs
         read a materialized table (lineage cut, survives executor loss) instead
         of re-running the adapter and cleaning plans for every report. With
-        ``checks`` the layer's metrics are observed by the same pass.
+        ``checks`` the layer's metrics are observed by the same pass. Tables in
+        ``buckets`` are written in buckets of that key, one file each, so that
+        groupings and joins on it need no exchange.
         """
         if not self._land_layers:
             return frames
-        base = f"{self._folder}/{layer}"
+        base, buckets = f"{self._folder}/{layer}", buckets or {}
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
         def write(item: tuple[str, DataFrame]) -> tuple[str, dict[str, int]]:
             name, df = item
-            if checks is None:
-                df.write.mode("overwrite").parquet(f"{base}/{name}")
-                return name, {}
-            df, metrics = observed.observed(df, f"{layer}.{name}", checks.get(name, {}))
-            df.write.mode("overwrite").parquet(f"{base}/{name}")
-            return name, metrics.get
-
-        # The nine writes are independent jobs; submitting them together lets
-        # the scheduler overlap them instead of running nine small jobs in turn.
+            metrics = None
+            if name in buckets:
+                df = df.repartition(n, buckets[name])
+            if checks is not None:
+                # above the exchange: in the write's own stage, whose tasks count once
+                df, metrics = observed.observed(df, f"{layer}.{name}", checks.get(name, {}))
+            writer = df.write.mode("overwrite").format("parquet")
+            if name in buckets:
+                writer = writer.bucketBy(n, buckets[name]).sortBy(buckets[name])
+                writer.option("path", f"{base}/{name}").saveAsTable(self._table_name(layer, name))
+                self._tables.append(self._table_name(layer, name))
+            else:
+                writer.save(f"{base}/{name}")
+            return name, metrics.get if metrics else {}
+
+        # The writes are independent jobs; submitting them together lets
+        # the scheduler overlap them instead of running small jobs in turn.
         with ThreadPoolExecutor(max_workers=len(frames)) as pool:
             done = dict(pool.map(write, frames.items()))
         if checks is not None:
             self._metrics[layer] = done
-        return {name: self.spark.read.parquet(f"{base}/{name}") for name in done}
+        return {name: self.spark.table(self._table_name(layer, name)) if name in buckets else self.spark.read.parquet(f"{base}/{name}") for name in done}
+
+    def _table_name(self, layer: str, name: str) -> str:
+        return f"{self._folder.rpartition('/')[2].replace('-', '_')}_{layer}_{name}"
 
     def metrics(self, layer: str) -> observed.Metrics:
         """Rows, missing values and checks of the raw or clean layer, observed when it was landed."""
@@ -105,7 +127,7 @@ class Marketplace:
     @cached_property
     def clean(self) -> dict[str, DataFrame]:
         """The clean layer; landing it raises if one of the cleaning job's final invariants fails."""
-        clean = self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS), observed.CLEAN_CHECKS)
+        clean = self._land("clean", cleaning.clean_tables(self.raw, TEST_MANUAL_TRANSLATIONS), observed.CLEAN_CHECKS, BUCKETS)
         if self._land_layers:
             observed.assert_clean(self._metrics["raw"], self._metrics["clean"], clean["geolocation"], known=testdata.KNOWN_FAILURES)
         return clean
@@ -122,14 +144,20 @@ class Marketplace:
     def models(self) -> dict[str, DataFrame]:
         """V05 and V06 landed as parquet: every report scans the model with
         column pruning and filter pushdown instead of re-planning its lineage."""
-        c = self.clean
+        c, customers = self.clean, self.order_customers
         frames = {
-            "order_summary": model.order_summary(c["orders"], c["customers"], c["order_items"], c["payments"], c["reviews"]),
-            "order_item_detail": model.order_item_detail(c["order_items"], c["orders"], c["customers"], c["products"], c["sellers"]),
+            "order_summary": model.order_summary(c["orders"], customers, c["order_items"], c["payments"], c["reviews"]),
+            "order_item_detail": model.order_item_detail(c["order_items"], c["orders"], customers, c["products"], c["sellers"]),
         }
         if not self._land_layers:
             return {k: self.keep(v) for k, v in frames.items()}
-        return self._land("model", frames)
+        return self._land("model", frames, buckets={name: "order_id" for name in frames})
+
+    @cached_property
+    def order_customers(self) -> DataFrame:
+        """The customer of each order, in the orders' buckets: the one join on the customer key, taken once for both models."""
+        frame = model.order_customers(self.clean["orders"], self.clean["customers"])
+        return self._land("links", {"order_customers": frame}, buckets={"order_customers": "order_id"})["order_customers"]
 
     @cached_property
     def completed_items(self) -> DataFrame:

@@ -32,7 +32,8 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                 ('column_name', 'string'),
                 ('missing_before', 'bigint'),
                 ('blank_strings_removed', 'bigint'),
-                ('missing_after', 'bigint')],
+                ('missing_after', 'bigint'),
+                ('data_type_after', 'string')],
  'clean_zip': [('table_name', 'string'),
                ('column_name', 'string'),
                ('missing_values', 'bigint'),
@@ -238,6 +239,11 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                       ('actual_value', 'double'),
                       ('expected_value', 'double'),
                       ('status', 'string')],
+ 'model_fingerprints': [('check_name', 'string'),
+                        ('source_rows', 'bigint'),
+                        ('model_rows', 'bigint'),
+                        ('differing_keys', 'bigint'),
+                        ('passed', 'boolean')],
  'monthly_customer_growth': [('activity_month', 'date'),
                              ('active_customer_count', 'bigint'),
                              ('new_customer_count', 'bigint'),

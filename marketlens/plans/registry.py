@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.exprs import finish
-from marketlens.operators import cleaning, customers, digests, model, observed, operations, quality, reports, rfm, sales, validation
+from marketlens.operators import cleaning, customers, digests, fingerprints, model, observed, operations, quality, reports, rfm, sales, validation
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS, Marketplace, marketplace
 from marketlens.sources.testdata import HIGH_VALUE_RANK
 
@@ -25,7 +25,7 @@ class Views:
         self._memo = m.memo
 
     # Views read by several reports are kept (MEMORY_AND_DISK) once built.
-    SHARED = {"cs", "act", "sop", "ms", "ret"}
+    SHARED = {"cs", "act", "sets", "sop", "ms", "ret"}
 
     def _get(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
         if key not in self._memo:
@@ -52,11 +52,14 @@ class Views:
     def activity(self):
         return self._get("act", lambda: customers.customer_monthly_activity(self.os))
 
+    def month_sets(self):
+        return self._get("sets", lambda: customers.month_sets(self.os))
+
     def monthly_metrics(self):
         return self._get("mcm", lambda: customers.monthly_customer_metrics(self.activity()))
 
     def retention(self):
-        return self._get("ret", lambda: customers.cohort_retention(self.customer_summary(), self.activity()))
+        return self._get("ret", lambda: customers.cohort_retention(self.month_sets(), self.activity()))
 
     def rfm(self):
         return self._get("rfm", lambda: rfm.customer_rfm(self.os, self.customer_summary()))
@@ -206,6 +209,7 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_row_counts": _q(lambda v: observed.table_row_counts(v.m.spark, v.m.metrics("clean"))),
     "final_assertions": _q(lambda v: observed.final_assertions(v.m.metrics("raw"), v.m.metrics("clean"), v.t("geolocation"))),
     "model_profile": _q(lambda v: validation.model_profile(v.os)),
+    "model_fingerprints": _q(lambda v: fingerprints.compare(fingerprints.model_pairs(v.m.clean, v.os, v.oid, v.activity()))[0]),
     "share_checks": _q(lambda v: validation.share_checks(v.categories(), v.products(), v.sellers())),
 }
 

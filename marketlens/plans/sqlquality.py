@@ -78,7 +78,7 @@ def clean_text() -> str:
             parts.append(
                 f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) FILTER (WHERE {e} IS NULL) AS missing_before, "
                 f"COUNT(*) FILTER (WHERE {blank}) AS blank_strings_removed, "
-                f"COUNT(*) FILTER (WHERE {e} IS NULL) + COUNT(*) FILTER (WHERE {blank}) AS missing_after FROM raw_{t}"
+                f"COUNT(*) FILTER (WHERE {e} IS NULL) + COUNT(*) FILTER (WHERE {blank}) AS missing_after, 'string' AS data_type_after FROM raw_{t}"
             )
     return U.join(parts)
 
@@ -393,6 +393,7 @@ def bodies(manual_rows: int) -> dict[str, str]:
         "final_assertions": final_assertions(),
         "model_profile": MODEL_PROFILE,
         "share_checks": SHARE_CHECKS,
+        "model_fingerprints": model_fingerprints(),
     }
 
 
@@ -433,3 +434,43 @@ SHARE_CHECKS = U.join(
     f"SELECT '{view}' AS view_name, CAST(SUM({column}) AS DECIMAL(18,4)) AS total_share_pct FROM v_{view}"
     for view, column in (("category_performance", "item_revenue_share_pct"), ("product_performance", "item_revenue_share_pct"), ("seller_performance", "seller_revenue_share_pct"))
 )
+
+
+def model_fingerprints() -> str:
+    """Source and model rows by EXCEPT ALL both ways: rows of either side, and keys with a row that the other lacks."""
+    line = "order_id, order_item_id, product_id, seller_id, price, freight_value"
+    head = "order_id, customer_id, order_status, order_purchase_timestamp, order_delivered_customer_date, is_valid_delivery_record"
+    money = "CAST(COALESCE({0}, 0) AS DECIMAL(18,2))"
+    pairs = [
+        ("items_in_item_detail", f"SELECT {line} FROM cl_order_items", f"SELECT {line} FROM v_order_item_detail"),
+        ("orders_in_order_summary", f"SELECT {head} FROM cl_orders", f"SELECT {head} FROM v_order_summary"),
+        (
+            "item_totals_of_orders",
+            f"SELECT order_id, COUNT(*), {money.format('SUM(price)')}, {money.format('SUM(freight_value)')} FROM cl_order_items GROUP BY order_id",
+            f"SELECT order_id, item_count, {money.format('item_price_total')}, {money.format('freight_total')} FROM v_order_summary WHERE has_item_record",
+        ),
+        (
+            "payment_totals_of_orders",
+            f"SELECT order_id, COUNT(*), {money.format('SUM(payment_value)')} FROM cl_payments GROUP BY order_id",
+            f"SELECT order_id, payment_record_count, {money.format('payment_value_total')} FROM v_order_summary WHERE has_payment_record",
+        ),
+        (
+            "review_counts_of_orders",
+            "SELECT order_id, COUNT(*), MIN(review_score) FROM cl_reviews GROUP BY order_id",
+            "SELECT order_id, review_record_count, minimum_review_score FROM v_order_summary WHERE has_review_record",
+        ),
+        (
+            "months_of_customers",
+            "SELECT customer_unique_id, date_trunc('month', order_purchase_timestamp), COUNT(*) FROM cl_orders JOIN cl_customers USING (customer_id) GROUP BY ALL",
+            "SELECT customer_unique_id, activity_month, monthly_order_count FROM v_customer_monthly_activity",
+        ),
+    ]
+    out = []
+    for name, a, b in pairs:
+        key = "customer_unique_id" if name == "months_of_customers" else "order_id"
+        differ = f"(SELECT COUNT(DISTINCT {key}) FROM ((({a}) EXCEPT ALL ({b})) UNION ALL (({b}) EXCEPT ALL ({a}))))"
+        out.append(
+            f"SELECT '{name}' AS check_name, (SELECT COUNT(*) FROM ({a})) AS source_rows, (SELECT COUNT(*) FROM ({b})) AS model_rows, "
+            f"{differ} AS differing_keys, {differ} = 0 AS passed"
+        )
+    return U.join(out)

@@ -96,7 +96,34 @@ def test_cohort_grid_is_dense(tables):
     orders, cust, items, pays, revs = tables
     os = model.order_summary(orders, cust, items, pays, revs)
     act = customers.customer_monthly_activity(os)
-    ret = customers.cohort_retention(customers.customer_summary(os), act)
+    ret = customers.cohort_retention(customers.month_sets(os), act)
     rows = ret.where("cohort_month = DATE '2017-01-01'").collect()
     assert sorted(r["months_since_first_order"] for r in rows) == [0, 1, 2]  # Jan..Mar even when inactive
     assert {r["months_since_first_order"]: r["retention_rate_pct"] for r in rows}[1] == Decimal("0.00")
+
+
+def test_month_sets_over_many_years(spark):
+    """Bitmaps of three words: counts per cohort and month equal distinct (customer, month) rows."""
+    import datetime
+    import random
+
+    rng = random.Random(4)
+    month = lambda i: datetime.date(2001 + i // 12, i % 12 + 1, 1)
+    rows = [(f"c{rng.randrange(60)}", month(rng.choice([0, 63, 64, 127, 128, 149, rng.randrange(150)]))) for _ in range(900)] + [("hot", month(i)) for i in range(150)] * 3
+    orders = spark.createDataFrame(rows, "customer_unique_id string, purchase_month date")
+    sets = customers.month_sets(orders)
+    assert len(sets.first().months) == 3
+    first = {}
+    for c, m in rows:
+        first[c] = min(first.get(c, m), m)
+    want = {}
+    for c, m in set(rows):
+        want[first[c], m] = want.get((first[c], m), 0) + 1
+    assert {(r.cohort_month, r.activity_month): r.active_customer_count for r in customers.cohort_activity(sets).collect()} == want
+    assert customers.cohort_activity(customers.month_sets(orders.limit(0))).count() == 0
+
+
+def test_bitmaps_make_no_customer_month_rows(spark):
+    orders = spark.createDataFrame([("a", None)], "customer_unique_id string, purchase_month date")
+    plan = customers.month_sets(orders)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[customer_unique_id" in plan and "purchase_month" not in plan.split("keys=[")[1].split("]")[0]
