@@ -113,6 +113,10 @@ class Marketplace:
     def _table_name(self, layer: str, name: str) -> str:
         return f"{self._folder.rpartition('/')[2].replace('-', '_')}_{layer}_{name}"
 
+    def scratch(self, name: str) -> str:
+        """A folder for what a report writes on its way; ``close`` deletes it."""
+        return f"{self._folder}/{name}-{uuid.uuid4().hex[:8]}"
+
     def metrics(self, layer: str) -> observed.Metrics:
         """Rows, missing values and checks of the raw or clean layer, observed when it was landed."""
         frames, checks = {"raw": (self.raw, observed.RAW_CHECKS), "clean": (self.clean, observed.CLEAN_CHECKS)}[layer]

@@ -96,6 +96,15 @@ BODIES.update(
         "recent_activity": _list("v_monthly_customer_metrics", "activity_month DESC", 10),
         "top_activity_months": _list("v_monthly_customer_growth", "active_customer_count DESC, activity_month", 5),
         "cohort_drill_down": _list("v_customer_cohort_retention", "age", 13, "cohort_month = DATE '2017-01-01'"),
+        "function_cohort_drill_down": (
+            "SELECT cohort_month, activity_month, age AS months_since_first_order, cohort_size, active_customer_count, retention_rate_pct "
+            "FROM (SELECT *, months_since_first_order AS age FROM v_customer_cohort_retention) WHERE cohort_month = DATE '2017-01-01' AND age < 13"
+        ),
+        "function_products_to_rank": "SELECT item_revenue_rank, product_id, item_price_total FROM v_product_performance WHERE item_revenue_rank <= 25",
+        "function_sales_between": (
+            "SELECT CAST(c.month AS DATE) AS month, coalesce(s.order_count, 0) AS order_count, coalesce(s.payment_value_total, 0) AS payment_value_total "
+            "FROM (SELECT unnest(generate_series(DATE '2017-03-01', DATE '2018-02-01', INTERVAL 1 MONTH)) AS month) AS c LEFT JOIN v_monthly_sales AS s ON s.sales_month = c.month"
+        ),
         "customer_profile": (
             "SELECT count(*) AS customer_count, count(DISTINCT customer_unique_id) AS unique_customer_count, sum(order_count) AS reconstructed_order_count, "
             "count(*) FILTER (WHERE order_count > 1) AS repeat_customer_count, count(*) FILTER (WHERE order_count = 1) AS one_time_customer_count FROM v_customer_summary"

@@ -215,6 +215,16 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                         ('orphan_unique_values', 'bigint'),
                         ('coverage_pct', 'double'),
                         ('relationship_valid', 'boolean')],
+ 'function_cohort_drill_down': [('cohort_month', 'date'),
+                                ('activity_month', 'date'),
+                                ('months_since_first_order', 'bigint'),
+                                ('cohort_size', 'bigint'),
+                                ('active_customer_count', 'bigint'),
+                                ('retention_rate_pct', 'double')],
+ 'function_products_to_rank': [('item_revenue_rank', 'bigint'),
+                               ('product_id', 'string'),
+                               ('item_price_total', 'double')],
+ 'function_sales_between': [('month', 'date'), ('order_count', 'bigint'), ('payment_value_total', 'double')],
  'growth_sign': [('activity_month', 'date'),
                  ('active_customer_count', 'bigint'),
                  ('active_customer_growth_pct', 'double'),
@@ -229,6 +239,11 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                 ('is_valid_key', 'boolean'),
                 ('expectation', 'string')],
  'late_rate': [('late_delivery_rate_pct', 'double')],
+ 'model_fingerprints': [('check_name', 'string'),
+                        ('source_rows', 'bigint'),
+                        ('model_rows', 'bigint'),
+                        ('differing_keys', 'bigint'),
+                        ('passed', 'boolean')],
  'model_profile': [('order_count', 'bigint'),
                    ('orders_without_items', 'bigint'),
                    ('orders_without_payments', 'bigint'),
@@ -239,11 +254,6 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                       ('actual_value', 'double'),
                       ('expected_value', 'double'),
                       ('status', 'string')],
- 'model_fingerprints': [('check_name', 'string'),
-                        ('source_rows', 'bigint'),
-                        ('model_rows', 'bigint'),
-                        ('differing_keys', 'bigint'),
-                        ('passed', 'boolean')],
  'monthly_customer_growth': [('activity_month', 'date'),
                              ('active_customer_count', 'bigint'),
                              ('new_customer_count', 'bigint'),
@@ -506,6 +516,7 @@ OUTPUT_TYPES: dict[str, list[tuple[str, str]]] = {'business_rules': [('check_nam
                      ('average_delay_days_when_late', 'double'),
                      ('average_review_score', 'double'),
                      ('low_review_rate_pct', 'double')],
+ 'rejected_payments': [('reason', 'string'), ('rows', 'bigint'), ('without_value', 'bigint')],
  'retention_heatmap_frame': [('cohort_label', 'string'),
                              ('cohort_month', 'date'),
                              ('month_label', 'string'),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.functions.exprs import finish
 from marketlens.operators import cleaning, customers, digests, fingerprints, model, observed, operations, quality, reports, rfm, sales, validation
+from marketlens.sources import rejects
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS, Marketplace, marketplace
 from marketlens.sources.testdata import HIGH_VALUE_RANK
 
@@ -209,6 +210,7 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "table_row_counts": _q(lambda v: observed.table_row_counts(v.m.spark, v.m.metrics("clean"))),
     "final_assertions": _q(lambda v: observed.final_assertions(v.m.metrics("raw"), v.m.metrics("clean"), v.t("geolocation"))),
     "model_profile": _q(lambda v: validation.model_profile(v.os)),
+    "rejected_payments": _q(lambda v: rejects.rejected_payments(v.m.raw["payments"], v.m.scratch("rejects"))),
     "model_fingerprints": _q(lambda v: fingerprints.compare(fingerprints.model_pairs(v.m.clean, v.os, v.oid, v.activity()))[0]),
     "share_checks": _q(lambda v: validation.share_checks(v.categories(), v.products(), v.sellers())),
 }
@@ -237,7 +239,24 @@ LIST_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "database_check_totals": _q(lambda v: quality.check_totals(validation.database_validation(v.m.clean, v.m.raw, len(TEST_MANUAL_TRANSLATIONS)))),
 }
 
-ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**ANALYTIC_QUERIES, **QUALITY_QUERIES, **REPORT_QUERIES, **LIST_QUERIES}
+def _call(name: str, *arguments: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from marketlens.plans.functions import call  # it makes its functions over the views of this module
+
+        return finish(call(spark, sf_dir, name, *arguments))
+
+    return run
+
+
+FUNCTION_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "function_cohort_drill_down": _call("cohort_drill_down", "DATE'2017-01-01'", "13"),
+    "function_products_to_rank": _call("products_to_rank", "25"),
+    "function_sales_between": _call("sales_between", "DATE'2017-03-15'", "DATE'2018-02-01'"),
+}
+
+ALL_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **ANALYTIC_QUERIES, **QUALITY_QUERIES, **REPORT_QUERIES, **LIST_QUERIES, **FUNCTION_QUERIES
+}
 
 
 def register_views(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> list[str]:

@@ -394,6 +394,7 @@ def bodies(manual_rows: int) -> dict[str, str]:
         "model_profile": MODEL_PROFILE,
         "share_checks": SHARE_CHECKS,
         "model_fingerprints": model_fingerprints(),
+        "rejected_payments": REJECTED_PAYMENTS,
     }
 
 
@@ -474,3 +475,11 @@ def model_fingerprints() -> str:
             f"{differ} AS differing_keys, {differ} = 0 AS passed"
         )
     return U.join(out)
+
+
+_FATE = "CAST('0x' || substr(md5(order_id || ':' || payment_sequential), 1, 8) AS BIGINT) % 100"
+REJECTED_PAYMENTS = f"""
+SELECT CASE WHEN fate < 3 THEN 'too many columns' WHEN fate < 5 THEN 'too few columns' WHEN fate < 9 THEN 'payment_value is not double' ELSE 'accepted' END AS reason,
+       COUNT(*) AS rows, COUNT(*) FILTER (WHERE fate >= 9 AND payment_value IS NULL) AS without_value
+FROM (SELECT payment_value, {_FATE} AS fate FROM raw_payments) GROUP BY 1
+"""

@@ -86,3 +86,50 @@ def test_report_catalogue(spark, tmp_path):
         head, *lines = f.read_text().splitlines()
         values += [float(x.split(",")[head.split(",").index("item_price_total")]) for x in lines]
     assert values == sorted(values, reverse=True)
+
+
+def test_rejected_rows_keep_their_file_and_reason(spark, tmp_path):
+    from marketlens.sources import rejects
+
+    head = "order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+    (tmp_path / "a.csv").write_text(head + "o1,1,boleto,1,2.50\no2,x,boleto,1,2.00\no3,1,card\no4,1,,,\n")
+    (tmp_path / "b.csv").write_text(head + 'o5,1,"two, words",3,9\no6,1,card,1,7.00,more\no7,1,card,1,zero\n')
+    (tmp_path / "r.csv").write_text(
+        "review_id,order_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\n"
+        'r1,o1,5,,"line one\nline two",2018-01-01 00:00:00,2018-01-02 10:00:00\nr2,o2,five,,"a\nb",2018-01-03 00:00:00,2018-01-04 00:00:00\n'
+    )
+    frames, bad = rejects.land_raw_csv(spark, {"payments": str(tmp_path / "[ab].csv"), "reviews": str(tmp_path / "r.csv")}, str(tmp_path / "landed"))
+    assert sorted(r[0] for r in frames["payments"].collect()) == ["o1", "o4", "o5"]
+    assert frames["payments"].where("order_id = 'o5'").first()["payment_type"] == "two, words"
+    assert [r["review_comment_message"] for r in frames["reviews"].collect()] == ["line one\nline two"]
+    got = sorted((r.table_name, r.file_name, r.record.split(",")[0], r.reason) for r in bad.collect())
+    assert got == [
+        ("payments", "a.csv", "o2", "payment_sequential is not int"),
+        ("payments", "a.csv", "o3", "too few columns"),
+        ("payments", "b.csv", "o6", "too many columns"),
+        ("payments", "b.csv", "o7", "payment_value is not double"),
+        ("reviews", "r.csv", "r2", "review_score is not int"),
+    ]
+    assert {tuple(r) for r in rejects.reject_counts(bad).where("table_name = 'reviews'").collect()} == {("reviews", "review_score is not int", 1)}
+    assert [f.name for f in frames["payments"].schema.fields] == [c for c, _ in RAW_COLUMNS["payments"]]
+
+
+def test_no_rejects_without_faults(spark, tmp_path):
+    from marketlens.sources import rejects
+
+    (tmp_path / "s.csv").write_text("seller_id,seller_zip_code_prefix,seller_city,seller_state\ns1,01001,x,SP\n")
+    frames, bad = rejects.land_raw_csv(spark, {"sellers": str(tmp_path / "s.csv")}, str(tmp_path / "landed"))
+    assert frames["sellers"].count() == 1 and bad.count() == 0
+
+
+def test_file_profile(spark, tmp_path):
+    from marketlens.sources import rejects
+
+    head = "seller_id,seller_zip_code_prefix,seller_city,seller_state\n"
+    (tmp_path / "one.csv").write_text(head + "s1,1,x,SP\ns1,1,x,SP\ns2,,,\n")
+    (tmp_path / "two.csv").write_text(head + "s1,1,x,SP\n" + "".join(f"t{i},{i},{'city' * 30},RJ\n" for i in range(20_000)))
+    profile = rejects.file_profile(spark, {"sellers": str(tmp_path / "*.csv")})
+    assert profile.columns == ["file_name", "rows", "columns", "duplicate_rows", "missing_cells", "file_size_mb"]
+    got = {r.file_name: tuple(r)[1:] for r in profile.collect()}
+    assert got["one.csv"] == (3, 4, 1, 3, 0.0)
+    assert got["two.csv"] == (20_001, 4, 0, 0, round((tmp_path / "two.csv").stat().st_size / 1024**2, 2))
