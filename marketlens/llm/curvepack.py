@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.bytelevel import ByteLevel
 from marketlens.llm.common import land, ship_package, text_chunks
-from marketlens.llm.wordcut import Remembered, piece_text, words
 from marketlens.operators.ranking import rank_globally
 
 BUCKETS, DIMS, BITS, SEED = 512, 4, 15, 17
@@ -72,22 +72,13 @@ def places(ids: np.ndarray, rows: np.ndarray, n_rows: int) -> np.ndarray:
     return hilbert_index(np.minimum((level * (1 << BITS)).astype(np.int64), (1 << BITS) - 1))
 
 
-_coders: dict[str, tuple[Remembered, type]] = {}
+_coders: dict[str, tuple[ByteLevel, np.dtype]] = {}
 
 
-def _coder(path: str) -> tuple[Remembered, type]:
+def _coder(path: str) -> tuple[ByteLevel, np.dtype]:
     if path not in _coders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-
-        def learn(keys: list) -> tuple[list[np.ndarray]]:
-            return ([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(list(map(piece_text, keys)), add_special_tokens=False)],)
-
-        _coders[path] = Remembered(learn), np.dtype("<u2") if tokenizer.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        coder = ByteLevel(path)
+        _coders[path] = coder, np.dtype("<u2" if coder.tokenizer.get_vocab_size(True) <= 1 << 16 else "<u4")
     return _coders[path]
 
 
@@ -97,19 +88,14 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
     ship_package(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, kind = _coder(tokenizer)
+        coder, kind = _coder(tokenizer)
+        end = np.array([end_id], kind)
         for part in text_chunks(batches, "text"):
-            cut = [words(t or "") for t in part.column("text").to_pylist()]
-            sizes = np.fromiter(map(len, cut), np.int64, len(cut))
-            ids, per_piece = memory.spread(memory.slots_of([k for c in cut for k in c]), 0)
-            rows = np.repeat(np.repeat(np.arange(len(cut)), sizes), per_piece)
-            n = np.bincount(rows, minlength=len(cut))
-            stop = np.cumsum(n)
-            end = np.array([end_id], kind).tobytes()
-            raw = ids.astype(kind).tobytes()
-            width = np.dtype(kind).itemsize
-            packed = [raw[a * width : b * width] + end for a, b in zip((stop - n).tolist(), stop.tolist(), strict=True)]
-            columns = [part.column("id"), pa.array(n + 1), pa.array(places(ids, rows, len(cut))), pa.array(packed, pa.binary())]
+            found = [np.array(coder.ids(t or ""), kind) for t in part.column("text").to_pylist()]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            key = places(np.concatenate(found), np.repeat(np.arange(len(found)), n), len(found))
+            packed = [np.append(ids, end).tobytes() for ids in found]
+            columns = [part.column("id"), pa.array(n + 1), pa.array(key), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n", "key", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

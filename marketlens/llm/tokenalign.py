@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,56 +25,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.bytelevel import ByteLevel, byte_chars
 from marketlens.llm.common import land, ship_package, text_chunks
 from marketlens.llm.wordcut import Remembered, piece_text, words
 
-BATCH_BYTES = 4 << 20
-
-
-def _byte_level() -> dict[str, int]:
-    """The byte of each character of a byte-level vocabulary: printable Latin-1 stands for itself, the rest for U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
+#: Text of a batch, and pieces that a worker remembers: they bound its memory.
+BATCH_BYTES, REMEMBERED = 2 << 20, 300_000
 
 
 class Pair:
     """The two tokenizers, with the bytes of each token of a text, remembered by piece."""
 
     def __init__(self, byte_level: str, pieces: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True
+        self.a = ByteLevel(byte_level, special=False)
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        chars = _byte_level()
-        self.a_bytes = {i: bytes(chars[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items()}
+        chars = {c: b for b, c in byte_chars().items()}
+        self.a_bytes = [b""] * self.a.tokenizer.get_vocab_size(True)
+        for t, i in self.a.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.a_bytes[i] = bytes(chars[c] for c in t)
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
-        self.memory = Remembered(self._learn)
+        self.memory = Remembered(self._learn, REMEMBERED)
 
     def _piece(self, i: int) -> bytes:
         if self.b.is_byte(i):
             return bytes([int(self.b.id_to_piece(i)[1:-1], 16)])
         return self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def _learn(self, keys: list) -> tuple[list[np.ndarray], ...]:
-        """Ids and byte lengths of both sides' tokens of pieces that begin with a space, and whether both spell the piece."""
-        texts = list(map(piece_text, keys))
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, keys: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        """B's ids of pieces that begin with a space, and whether they spell the piece."""
         b = [x or [self.space] for x in self.b.encode(list(keys), num_threads=1)]  # the model adds the space, but to an empty text
-        out: tuple[list[np.ndarray], ...] = ([], [], [], [], [])
-        for text, x, y in zip(texts, a, b, strict=True):
-            raw = text.encode()
-            xs, ys = [self.a_bytes.get(i, b"") for i in x], [self.b_bytes[i] for i in y]
-            spelled = b"".join(xs) == raw and b"".join(ys) == raw
-            for column, values in zip(out, (x, map(len, xs), y, map(len, ys), [spelled]), strict=True):
-                column.append(np.array(list(values), np.int64))
-        return out
+        count = np.fromiter(map(len, b), np.int64, len(b))
+        spelled = [b"".join([self.b_bytes[i] for i in x]) == piece_text(k).encode() for x, k in zip(b, keys, strict=True)]
+        return [(np.fromiter(chain.from_iterable(b), np.int64, int(count.sum())), count), (np.array(spelled, np.int64), np.ones(len(b), np.int64))]
+
+    def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and documents of both sides' tokens of texts; a text that a side doesn't spell has none."""
+        n = len(texts)
+        whole = [" " + t if t else "" for t in texts]
+        cut = [words(t) for t in whole]
+        slots = self.memory.slots_of([k for c in cut for k in c])
+        doc_of = np.repeat(np.arange(n), np.fromiter(map(len, cut), np.int64, n))
+        found = [np.array(self.a.ids(t), np.int64) for t in whole]
+        good = np.array([self.a_size[ids].sum() == len(t.encode()) for ids, t in zip(found, whole, strict=True)], bool)
+        good[doc_of[self.memory.spread(slots, 1)[0] == 0]] = False
+        kept = [ids if g else ids[:0] for ids, g in zip(found, good, strict=True)]
+        slots, doc_of = slots[good[doc_of]], doc_of[good[doc_of]]
+        b, n_b = self.memory.spread(slots, 0)
+        return np.concatenate(kept), np.repeat(np.arange(n), np.fromiter(map(len, kept), np.int64, n)), b, np.repeat(doc_of, n_b)
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -131,23 +133,12 @@ _spelled: dict[str, np.ndarray] = {}
 
 def _aligned(part: pa.RecordBatch, both: Pair, batch: int) -> Iterator[pa.RecordBatch]:
     """A batch's rows: one a document, one a different id pair."""
-    texts = part.column("text").to_pylist()
-    n = len(texts)
-    cut = [words(" " + t) if t else [] for t in texts]
-    sizes = np.fromiter(map(len, cut), np.int64, n)
-    slots = both.memory.slots_of([k for c in cut for k in c])
-    doc_of = np.repeat(np.arange(n), sizes)
-    good = np.ones(n, bool)
-    ok, _ = both.memory.spread(slots, 4)
-    good[doc_of[ok == 0]] = False
-    slots, doc_of = slots[good[doc_of]], doc_of[good[doc_of]]
-    a, n_a = both.memory.spread(slots, 0)
-    b, n_b = both.memory.spread(slots, 2)
-    size_a, size_b = both.memory.spread(slots, 1)[0], both.memory.spread(slots, 3)[0]
-    doc_a, doc_b = np.repeat(doc_of, n_a), np.repeat(doc_of, n_b)
+    n = part.num_rows
+    a, doc_a, b, doc_b = both.tokens(part.column("text").to_pylist())
+    size_a, size_b = both.a_size[a], both.b_size[b]
     link_a, link_b, opens_a, opens_b = align(doc_a, size_a, doc_b, size_b)
     if "names" not in _spelled:
-        _spelled["names"] = _names(max(max(both.a_bytes, default=0) + 1, len(both.b_bytes)))
+        _spelled["names"] = _names(max(len(both.a_bytes), len(both.b_bytes)))
     groups = spelled_groups(a, b, opens_a, opens_b, doc_a, n, _spelled["names"])
     count = lambda x: np.bincount(x, minlength=n).astype(np.int64)
     which, pairs = pd.factorize(a[link_a] << 32 | b[link_b])

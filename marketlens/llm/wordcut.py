@@ -30,12 +30,12 @@ def piece_text(key: Hashable) -> str:
 
 
 class Remembered:
-    """Arrays learned for each distinct piece, laid back to back; a worker forgets them all beyond ``most`` pieces.
+    """Numbers (below 2^31) learned for each distinct piece, laid back to back; a worker forgets them all beyond ``most`` pieces.
 
-    ``learn`` maps new keys to one tuple of equally long arrays a key, and may give a number beside them.
+    ``learn`` maps new keys to columns: the numbers of all keys back to back, and how many each key has.
     """
 
-    def __init__(self, learn: Callable[[list[Hashable]], tuple[list[np.ndarray], ...]], most: int = 1_000_000) -> None:
+    def __init__(self, learn: Callable[[list[Hashable]], list[tuple[np.ndarray, np.ndarray]]], most: int = 400_000) -> None:
         self.learn, self.most = learn, most
         self._forget()
 
@@ -45,31 +45,34 @@ class Remembered:
 
     def slots_of(self, keys: list[Hashable]) -> np.ndarray:
         found = list(map(self.slots.get, keys))
-        if None in found:
-            new = list(dict.fromkeys(k for k, s in zip(keys, found, strict=True) if s is None))
+        missing = [i for i, s in enumerate(found) if s is None]
+        if missing:
+            new = list(dict.fromkeys([keys[i] for i in missing]))
             if self.slots and len(self.slots) + len(new) > self.most:
                 self._forget()
-                new = list(dict.fromkeys(keys))
-            for at in range(0, len(new), 10_000):
-                self._add(new[at : at + 10_000])
-            found = list(map(self.slots.__getitem__, keys))
+                new, missing = list(dict.fromkeys(keys)), range(len(keys))
+            self._add(new)
+            for i in missing:
+                found[i] = self.slots[keys[i]]
         return np.array(found, np.int64)
 
     def _add(self, keys: list[Hashable]) -> None:
-        for i, arrays in enumerate(self.learn(keys)):
-            count = np.fromiter(map(len, arrays), np.int64, len(arrays))
-            if len(self.columns) <= i:
-                self.columns.append((np.concatenate(arrays), np.cumsum(count) - count, count))
-                continue
-            values, first, counts = self.columns[i]
-            self.columns[i] = (np.concatenate([values, *arrays]), np.concatenate([first, len(values) + np.cumsum(count) - count]), np.concatenate([counts, count]))
+        for i, (values, count) in enumerate(self.learn(keys)):
+            values, count = values.astype(np.int32), count.astype(np.int32)
+            first = np.cumsum(count, dtype=np.int64) - count
+            if len(self.columns) > i:
+                before = self.columns[i]
+                values, first, count = np.concatenate([before[0], values]), np.concatenate([before[1], first + len(before[0])]), np.concatenate([before[2], count])
+                self.columns[i] = (values, first, count)
+            else:
+                self.columns.append((values, first, count))
         self.slots.update(zip(keys, range(len(self.slots), len(self.slots) + len(keys)), strict=True))
 
     def spread(self, slots: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
         """The values of these slots back to back, and how many each slot has."""
         if not len(slots):
-            return np.empty(0, np.int64), slots
+            return np.empty(0, np.int32), slots
         values, first, counts = self.columns[column]
-        n = counts[slots]
+        n = counts[slots].astype(np.int64)
         upto = np.cumsum(n)
         return values[np.arange(upto[-1]) + np.repeat(first[slots] - upto + n, n)], n

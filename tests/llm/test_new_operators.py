@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marketlens.llm import curvepack, queries, repair, tokenalign, wordcut
+from marketlens.llm import bytelevel, curvepack, queries, repair, tokenalign, wordcut
 
 BYTE_LEVEL, PIECES = (str(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 SCHEMA = "doc_id long, text string, lang string, source string, id long, n long, key long, batch long"
@@ -41,14 +41,39 @@ def test_words_join_to_the_text(texts):
 
 
 def test_pieces_are_encoded_as_in_the_whole_text(texts):
-    whole = Tokenizer.from_file(BYTE_LEVEL)
-    for t in texts:
-        parts = [whole.encode(wordcut.piece_text(k), add_special_tokens=False).ids for k in wordcut.words(t or "")]
-        assert sum(parts, []) == whole.encode(t or "", add_special_tokens=False).ids, t
+    import sentencepiece
+
+    whole = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    both = tokenalign.Pair(BYTE_LEVEL, PIECES)
+    for t in filter(None, texts):
+        ids, _ = both.memory.spread(both.memory.slots_of(wordcut.words(" " + t)), 0)
+        assert ids.tolist() == whole.encode(t), t
+
+
+def test_the_rank_form_gives_the_tokenizers_ids(texts):
+    import pyarrow.parquet as pq
+
+    odd = [*texts, "x<|endoftext|>y", "  \u3000\u2028 a\x1c\x1d b\x85\xa0c", "I'll we've don't 'S x's1 ½²三 a\u0301b _a__ \t\r\n  ", "p <|endoftext|> q"]
+    odd += pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    for special in (True, False):
+        coder = bytelevel.ByteLevel(BYTE_LEVEL, special)
+        assert coder.ranked
+        for t in odd:
+            assert coder.ids(t or "") == coder.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert bytelevel.ByteLevel(BYTE_LEVEL).ids("x<|endoftext|>")[-1] == 50256 != bytelevel.ByteLevel(BYTE_LEVEL, False).ids("x<|endoftext|>")[-1]
+
+
+def test_a_file_of_another_kind_goes_through_its_tokenizer():
+    coder = bytelevel.ByteLevel(queries.tokenizer_path())
+    assert coder.ranked is None and coder.ids("one Two!") == coder.tokenizer.encode("one Two!", add_special_tokens=False).ids
 
 
 def test_remembered_pieces_are_forgotten_at_the_bound():
-    memory = wordcut.Remembered(lambda keys: ([np.array([len(k)] * len(k)) for k in keys],), most=3)
+    def learn(keys):
+        n = np.array([len(k) for k in keys])
+        return [(np.repeat(n, n), n)]
+
+    memory = wordcut.Remembered(learn, most=3)
     for keys in (["a", "bb"], ["ccc", "dd", "a"], ["a", "bb", "eeee", "fffff"]):
         values, n = memory.spread(memory.slots_of(keys), 0)
         assert n.tolist() == [len(k) for k in keys]
@@ -203,7 +228,7 @@ def test_structure_repair_of_nothing(spark):
 def _token_bytes():
     import sentencepiece
 
-    chars = tokenalign._byte_level()
+    chars = {c: b for b, c in bytelevel.byte_chars().items()}
     a = Tokenizer.from_file(BYTE_LEVEL)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=PIECES)
