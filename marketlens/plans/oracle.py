@@ -96,6 +96,8 @@ BODIES.update(
         "recent_activity": _list("v_monthly_customer_metrics", "activity_month DESC", 10),
         "top_activity_months": _list("v_monthly_customer_growth", "active_customer_count DESC, activity_month", 5),
         "cohort_drill_down": _list("v_customer_cohort_retention", "age", 13, "cohort_month = DATE '2017-01-01'"),
+        "refreshed_order_summary": "SELECT * FROM v_order_summary",
+        "refreshed_item_detail": "SELECT * FROM v_order_item_detail",
         "function_cohort_drill_down": (
             "SELECT cohort_month, activity_month, age AS months_since_first_order, cohort_size, active_customer_count, retention_rate_pct "
             "FROM (SELECT *, months_since_first_order AS age FROM v_customer_cohort_retention) WHERE cohort_month = DATE '2017-01-01' AND age < 13"

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketlens.functions.exprs import finish
 from marketlens.operators import cleaning, customers, digests, fingerprints, model, observed, operations, quality, reports, rfm, sales, validation
 from marketlens.sources import rejects
+from marketlens.plans import refresh
 from marketlens.plans.catalog import TEST_MANUAL_TRANSLATIONS, Marketplace, marketplace
 from marketlens.sources.testdata import HIGH_VALUE_RANK
 
@@ -80,6 +81,10 @@ class Views:
     def products(self):
         return self._get("pp", lambda: self.products_ranked().select(*sales.PRODUCT_COLUMNS))
 
+    def refreshed(self):
+        """The models of an earlier state, refreshed to the present one."""
+        return self._get("refreshed", lambda: refresh.refreshed(self.m.clean, self.m.scratch("refreshed")))
+
     def seller_orders(self):
         return self._get("sop", lambda: operations.seller_order_performance(self.oid, self.os))
 
@@ -211,6 +216,8 @@ QUALITY_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "final_assertions": _q(lambda v: observed.final_assertions(v.m.metrics("raw"), v.m.metrics("clean"), v.t("geolocation"))),
     "model_profile": _q(lambda v: validation.model_profile(v.os)),
     "rejected_payments": _q(lambda v: rejects.rejected_payments(v.m.raw["payments"], v.m.scratch("rejects"))),
+    "refreshed_order_summary": _q(lambda v: v.refreshed()["order_summary"]),
+    "refreshed_item_detail": _q(lambda v: v.refreshed()["order_item_detail"]),
     "model_fingerprints": _q(lambda v: fingerprints.compare(fingerprints.model_pairs(v.m.clean, v.os, v.oid, v.activity()))[0]),
     "share_checks": _q(lambda v: validation.share_checks(v.categories(), v.products(), v.sellers())),
 }
