@@ -138,7 +138,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 400-byte strings that start elsewhere too go."""
     out = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    kept = F.octet_length("kept").cast("long").alias("kept_bytes")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), kept)
 
 
 OP1_SQL = """
@@ -271,7 +272,7 @@ kept AS (
     FROM cuts JOIN texts USING (r) GROUP BY r
 )
 SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256, CAST(length(h) // 2 - coalesce(n_removed, 0) AS BIGINT) AS kept_bytes
 FROM texts LEFT JOIN kept USING (r)
 """
 
@@ -312,6 +313,67 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+#: CRC-32 bit by bit; the cheapest edits forwards, a turn of all conversations at a time, least audit per state; at most two
+#: inserts can help before a turn or at the end.
+OP12_SQL = """
+WITH RECURSIVE
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+fated AS (
+    SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, CAST(3988292384 AS BIGINT)) ELSE x // 2 END)), CAST(4294967295 AS BIGINT)) % 20 AS fate
+    FROM src
+),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) AS copy,
+           CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM fated WHERE fate <> 0
+),
+placed AS (
+    SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged
+),
+rows AS (
+    SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                   WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+           left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS pair
+    FROM placed
+),
+emit(s, r, t) AS (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+ins AS (
+    SELECT s, s AS t, 0 AS n, '' AS lines FROM emit
+    UNION ALL SELECT s, t, 1, chr(10) || r || ':' FROM emit
+    UNION ALL SELECT a.s, b.t, 2, chr(10) || a.r || ':' || chr(10) || b.r || ':' FROM emit a JOIN emit b ON a.t = b.s
+),
+edit AS (
+    SELECT s, 'D' AS letter, s AS t, 2 AS cost, CAST(NULL AS VARCHAR) AS initial, CAST(NULL AS VARCHAR) AS r FROM emit
+    UNION ALL SELECT s, 'R', t, 1, CAST(NULL AS VARCHAR), r FROM emit
+    UNION ALL SELECT * FROM (VALUES (0, 'K', 1, 0, 's', CAST(NULL AS VARCHAR)), (0, 'K', 2, 0, 'u', NULL), (1, 'K', 2, 0, 'u', NULL), (2, 'K', 3, 0, 'a', NULL), (3, 'K', 2, 0, 'u', NULL))
+),
+moves AS (SELECT ins.s, e.t, 5 * n + e.cost AS cost, repeat('I', n) || letter AS letters, letter, initial, r, lines FROM ins JOIN edit e ON ins.t = e.s),
+walk AS (
+    SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS lines FROM damaged
+    UNION ALL
+    SELECT conv_id, i, s, best.cost, best.audit, best.lines FROM (
+        SELECT w.conv_id, f.i, m.t AS s, min({'cost': w.cost + m.cost + CASE WHEN f.fault = 'truncated' AND m.letter <> 'D' THEN 5 ELSE 0 END, 'audit': w.audit || m.letters,
+            'lines': w.lines || m.lines || CASE WHEN m.letter = 'D' THEN '' ELSE chr(10) || coalesce(m.r, f.role) || ':' || f.text END}) AS best
+        FROM walk w JOIN rows f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+        JOIN moves m ON m.s = w.s AND (m.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate') AND (m.letter = 'R' OR m.initial = left(f.role, 1)))
+        GROUP BY w.conv_id, f.i, m.t
+    )
+),
+counts AS (
+    SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+           count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM rows GROUP BY conv_id
+),
+ended AS (
+    SELECT w.conv_id, min({'cost': w.cost + 5 * ins.n, 'audit': w.audit || repeat('I', ins.n), 'lines': w.lines || ins.lines}) AS best
+    FROM walk w JOIN counts c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i JOIN ins ON ins.s = w.s AND ins.t IN (0, 3) GROUP BY w.conv_id
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost, coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.lines, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -336,4 +398,5 @@ ORACLE: dict[str, str] = {
     "op8_chat_formatting": OP8_SQL,
     "op9_license_scan": OP9_SQL,
     "op10_suffix_dedup": OP10_SQL,
+    "op12_structure_repair": OP12_SQL,
 }
