@@ -30,16 +30,22 @@ def _text(f: StructField) -> Column:
     return F.encode(c.cast("string"), "UTF-8")
 
 
+def _row(texts: list[Column]) -> Column:
+    return F.concat(*[F.coalesce(F.concat(F.encode(F.length(t).cast("string"), "UTF-8"), F.lit(b":"), t), F.lit(b"-")) for t in texts])
+
+
 def row_bytes(df: DataFrame) -> Column:
     """All values of a row, each after its length, so that no two rows read alike."""
-    parts = [F.coalesce(F.concat(F.encode(F.length(_text(f)).cast("string"), "UTF-8"), F.lit(b":"), _text(f)), F.lit(b"-")) for f in df.schema.fields]
-    return F.concat(*parts)
+    return _row([_text(f) for f in df.schema.fields])
 
 
 def _cells(df: DataFrame, number: int) -> DataFrame:
-    values = [row_bytes(df), *[_text(f) for f in df.schema.fields]]
-    cells = [F.struct(F.lit(number + i).alias("c"), F.unhex(F.md5(v)).alias("digest"), F.xxhash64(v).alias("check")) for i, v in enumerate(values)]
-    return df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where(F.col("digest").isNotNull())
+    # texts, then the row, then the hashes: each is worked out once, however often the next step reads it
+    texts = [f"v{i}" for i in range(1, len(df.columns) + 1)]
+    named = df.select(*[_text(f).alias(t) for f, t in zip(df.schema.fields, texts, strict=True)])
+    values = named.select(_row([F.col(t) for t in texts]).alias("v0"), *texts)
+    cells = [F.struct(F.lit(number + i).alias("c"), F.unhex(F.md5(v)).alias("digest"), F.xxhash64(v).alias("check")) for i, v in enumerate(values.columns)]
+    return values.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").where(F.col("digest").isNotNull())
 
 
 def distinct_values(tables: dict[str, DataFrame]) -> DataFrame:

@@ -32,3 +32,11 @@ def test_inventory(spark):
     frames = {"t": t}
     r = digests.dataset_inventory(frames, observed.measure(frames, {}), digests.distinct_values(frames)).first()
     assert tuple(r) == ("t", 3, 2, 1, 2)
+
+
+def test_texts_are_worked_out_once(spark):
+    """A cell's text is one expression of the plan, though its row and both hashes read it."""
+    df = spark.range(3).selectExpr("id", "id / 3.0D AS price")
+    plan = digests._cells(df, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS v2#") == 1
+    assert plan.count("as string), UTF-8") - plan.count("length(v") == 2
