@@ -75,3 +75,20 @@ def _activity(m):
     from marketlens.operators.customers import customer_monthly_activity
 
     return customer_monthly_activity(m.order_summary)
+
+
+def test_sums_are_longs_and_null_keys_are_compared(spark):
+    """Digests are summed as LONGs, not as DECIMALs made of texts; rows without a key are a key of their own."""
+    df = spark.createDataFrame(_rows(5), SCHEMA)
+    assert {f.dataType.simpleString() for f in fp._sums(fp._limbs(df, "order_id"), "range").schema.fields if f.name != "range"} == {"bigint"}
+    rows = [*_rows(), (None, "p", Decimal(1))]
+    assert _compare(spark, rows, [*rows[:-1], (None, "p", Decimal(2))])[1] == {(None, 1, 1)}
+    assert _compare(spark, rows, rows[:-1])[1] == {(None, 1, 0)}
+
+
+def test_equal_values_have_equal_digests(spark):
+    """One zero, whole numbers of any width, NULL apart from every value."""
+    sums = lambda rows, schema: tuple(fp._sums(fp._limbs(spark.createDataFrame(rows, schema), "k")).first())
+    assert sums([("a", 0.0, 1)], "k string, x double, n int") == sums([("a", -0.0, 1)], "k string, x double, n long")
+    different = [sums([("a", *r)], "k string, x string, y string") for r in [(None, "b"), ("b", None), ("", "b"), ("b", ""), (None, None), ("", "")]]
+    assert len(set(different)) == 6

@@ -79,3 +79,15 @@ def test_nothing_changed(clean, tmp_path):
     base = str(tmp_path / "models")
     refresh.build(clean, base)
     assert refresh.refresh(clean, refresh.changed_orders(clean, clean), base, str(tmp_path)) == []
+
+
+def test_a_refresh_writes_each_month_once(clean, tmp_path, monkeypatch):
+    """The months go straight to their folder, which is read by the same job; nothing else holds whole months."""
+    base, deleted = str(tmp_path / "models"), []
+    refresh.build(clean, base)
+    new = dict(clean)
+    new["reviews"] = clean["reviews"].limit(0)
+    monkeypatch.setattr(refresh, "_delete", lambda spark, path: deleted.append(path))
+    assert refresh.refresh(new, refresh.changed_orders(clean, new), base, str(tmp_path))
+    assert sorted(os.listdir(deleted[-1])) == ["changed", *sorted(refresh.MODELS)]
+    _same(refresh.read_models(clean["orders"].sparkSession, base, refresh._models(clean)), refresh._models(new))
