@@ -182,3 +182,11 @@ def test_each_order_rule_fires_alone(spark):
     flagged = {r["case"]: r for r in cleaning.add_order_flags(df).collect()}
     assert flagged["non_delivered_status_with_delivery_date"]["has_status_date_mismatch"] is True
     assert flagged["estimated_before_purchase"]["is_valid_delivery_record"] is False
+
+
+def test_strip_takes_the_whitespace_of_the_pattern_without_matching(spark):
+    points = [p for p in range(1, 0x3100) if not 0xD800 <= p < 0xE000]
+    df = spark.createDataFrame([(p, f"{chr(p)}\n a {chr(p)} b{chr(p)}{chr(p)}") for p in points], "p int, t string")
+    want = F.nullif(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    assert df.where(~cleaning.strip_text("t").eqNullSafe(want)).isEmpty()
+    assert "regexp" not in str(cleaning.strip_text("t"))

@@ -127,3 +127,28 @@ def test_bitmaps_make_no_customer_month_rows(spark):
     orders = spark.createDataFrame([("a", None)], "customer_unique_id string, purchase_month date")
     plan = customers.month_sets(orders)._jdf.queryExecution().executedPlan().toString()
     assert "keys=[customer_unique_id" in plan and "purchase_month" not in plan.split("keys=[")[1].split("]")[0]
+
+
+def test_a_model_is_landed_when_it_is_read(spark):
+    """A report of one model doesn't land the other."""
+    from conftest import SF_SMALL
+
+    from marketlens.plans.catalog import Marketplace
+
+    m = Marketplace(spark, SF_SMALL)
+    try:
+        assert m.order_summary.count() > 0 and "order_item_detail" not in vars(m)
+        assert not any("model_order_item_detail" in t for t in m._tables)
+        assert m.order_item_detail.count() > 0
+    finally:
+        m.close()
+
+
+def test_sums_of_sums_stay_cents(spark):
+    """No DECIMAL division; the totals are exact, and an item without freight counts in its price alone."""
+    rows = [("o", f"p{i % 3}", "s", Decimal(i) / 100, Decimal("9999999999.99") if i else None) for i in range(50)]
+    df = spark.createDataFrame(rows, "order_id string, product_id string, seller_id string, price decimal(12,2), freight_value decimal(12,2)")
+    agg = model.order_items_agg(df)
+    r = agg.first()
+    assert (r.item_price_total, r.freight_total, r.gross_item_value) == (Decimal("12.25"), Decimal("489999999999.51"), Decimal("490000000011.76"))
+    assert " / " not in agg._jdf.queryExecution().optimizedPlan().toString()

@@ -128,3 +128,16 @@ def test_total_sum(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("k"), F.col("id").cast("decimal(12,2)").alias("v"))
     r = rank_globally(df, [("v", True), ("k", False)], row_number="rn", total_sum=("v", "t"), buckets=5)
     assert {float(x.t) for x in r.collect()} == {1225.0}
+
+
+@pytest.mark.parametrize("limit", [1, 5, 10**6])
+def test_number_rows_of_small_and_large_groups(spark, limit):
+    """Groups beyond the limit are numbered apart; a head that comes twice doubles its rows before they are numbered."""
+    from marketlens.operators.ranking import number_rows
+
+    rows = [(g, s) for g in range(8) for s in range(g * g)] + [(None, 1), (99, 1)]
+    heads = [(g, f"h{g}") for g in range(8)] + [(3, "again"), (None, "h")]
+    df = spark.createDataFrame(rows, "g int, s int")
+    got = sorted(tuple(r) for r in number_rows(df, spark.createDataFrame(heads, "g int, h string"), "g", [("s", False)], out="rn", limit=limit).select("g", "s", "rn").collect())
+    want = [(g, s, s + 1) for g in range(8) if g != 3 for s in range(g * g)] + [(3, i // 2, i + 1) for i in range(18)]
+    assert got == sorted(want)
