@@ -190,3 +190,41 @@ def test_strip_takes_the_whitespace_of_the_pattern_without_matching(spark):
     want = F.nullif(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""), F.lit(""))
     assert df.where(~cleaning.strip_text("t").eqNullSafe(want)).isEmpty()
     assert "regexp" not in str(cleaning.strip_text("t"))
+
+
+def test_large_tables_are_cleaned_in_the_pass_that_makes_them(spark):
+    """The clean layer lands no raw copy of the bucketed tables; their raw metrics come from the same pass, and rows don't depend on
+    whether the raw layer was landed before."""
+    import os
+
+    from conftest import SF_SMALL
+
+    from marketlens.operators import observed
+    from marketlens.plans.catalog import BUCKETS, TEST_MANUAL_TRANSLATIONS, Marketplace
+
+    m = Marketplace(spark, SF_SMALL)
+    try:
+        clean = m.clean
+        assert not {t for t in BUCKETS if os.path.exists(f"{m._folder}/raw/{t}")}
+        seen = dict(m._metrics["raw"])
+        assert seen == observed.measure(m.raw, observed.RAW_CHECKS) and set(seen) == set(m.raw)
+        again = cleaning.clean_tables(m.raw, TEST_MANUAL_TRANSLATIONS)
+        for t in BUCKETS:
+            assert clean[t].exceptAll(again[t]).isEmpty() and again[t].exceptAll(clean[t]).isEmpty()
+    finally:
+        m.close()
+
+
+def test_items_and_payments_are_dealt_out_once(spark):
+    from conftest import SF_SMALL
+
+    from marketlens.sources import testdata
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        raw = testdata.raw_tables(spark, SF_SMALL)
+        for t in ("order_items", "payments"):
+            plan = raw[t].repartition(8, "order_id")._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION" not in plan and plan.count("hashpartitioning(order_id") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
