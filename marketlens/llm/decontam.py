@@ -21,12 +21,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import land, packed_text, shared_files, ship_package, text_chunks
+from marketlens.llm.common import LONG_ROWS, land, packed_text, shared_files, ship_package, text_chunks
 from marketlens.llm.kernels import word_digests
 
-#: Text bytes of a segment (or one longer document), and benchmark items of a block.
+#: Text bytes of a segment (or one longer document), and items and text bytes of a block of the benchmark.
 SEGMENT_BYTES = 2 << 20
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 1 << 20
 #: Places of rarest words that a proximity search looks at together.
 CANDIDATES = 1 << 20
 
@@ -154,7 +155,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["ids", "words", "terms", "counts", "positions"])
 
     schema = f"ids array<{id_type.simpleString()}>, {_INDEX_SCHEMA}"
-    return land(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(segments, schema), "postings")
+    return land(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(segments, schema), "postings", LONG_ROWS)
 
 
 def _stored(batch: pa.RecordBatch, i: int) -> Segment:
@@ -197,7 +198,7 @@ def _read_blocks(files: list[str], width: int) -> Iterator[_Block]:
         source, path = shared_files(key[0])
         with source.open_input_file(path) as f:
             parsed = []
-            for batch in pq.ParquetFile(f).iter_batches(BLOCK_ITEMS):
+            for batch in text_chunks(pq.ParquetFile(f).iter_batches(BLOCK_ITEMS), "text", BLOCK_BYTES):
                 block = _Block(batch.column("item").to_pylist(), batch.column("text"), width)
                 parsed = [*parsed, block] if len(files) == 1 and not parsed else [None]
                 yield block
