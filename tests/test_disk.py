@@ -10,7 +10,7 @@ from marketlens.functions.exprs import distinct_counts
 from marketlens.operators import digests, model, operations
 from marketlens.plans import refresh
 from marketlens.plans.catalog import Marketplace, marketplace
-from marketlens.plans.registry import ALL_QUERIES, views
+from marketlens.plans.registry import ALL_QUERIES, Views, views
 from marketlens.session import _CLEANUP, shuffles_deleted
 
 
@@ -65,6 +65,16 @@ def test_seller_orders_are_not_cached(spark):
     assert "InMemoryTableScan" not in _plan(v.seller_orders())
 
 
+def test_sellers_land_no_items(spark):
+    m = Marketplace(spark, SF_SMALL)
+    v = Views(m)
+    rows = sorted(v.sellers().collect())
+    assert rows and "completed_items" not in m.__dict__
+    landed = operations.seller_performance(v.seller_orders(), m.completed_items)
+    assert sorted(landed.collect()) == rows and m.items_of_sellers() is m.completed_items
+    m.close()
+
+
 def test_sellers_customers_months_and_states(spark):
     """Distinct customers counted apart from the sums, also of a NULL seller and a NULL state."""
     v = views(spark, SF_SMALL)
